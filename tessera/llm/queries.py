@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op2_stream_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import roundtrip
+    from .tokens import vocabulary_path
+
+    return roundtrip(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path("byte_bpe_50k.json"), end_id=0)
+
+
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import exact_shards
 
@@ -23,6 +30,19 @@ def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+    from .tokens import vocabulary_path
+
+    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path("word_bpe_49k.json"), end_id=1)
+
+
+def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import payload_digest
+
+    return payload_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_prefix_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contaminated
 
@@ -46,7 +66,10 @@ FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_stream_vbyte": op2_stream_vbyte,
         "op5_hypergeometric_shards": op5_hypergeometric_shards,
+        "op6_configuration_packing": op6_configuration_packing,
+        "op8_progressive_jpeg": op8_progressive_jpeg,
         "op10_prefix_set_join": op10_prefix_set_join,
     }
 
