@@ -121,10 +121,10 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     if not n:
         return words
     if n < width:
-        out = U64(n)
-        for w in words:
-            out = mix(np.array([out * _BASE + w], dtype=U64))[0]
-        return np.array([out], dtype=U64)
+        short = np.array([n], dtype=U64)
+        for k in range(n):
+            short = mix(short * _BASE + words[k : k + 1])
+        return short
     out = np.zeros(n - width + 1, dtype=U64)
     for j in range(width):
         out *= _BASE

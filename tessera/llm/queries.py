@@ -43,6 +43,12 @@ def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_prefix_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contaminated
 
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_hypergeometric_shards": op5_hypergeometric_shards,
         "op6_configuration_packing": op6_configuration_packing,
         "op8_progressive_jpeg": op8_progressive_jpeg,
+        "op9_token_group_join": op9_token_group_join,
         "op10_prefix_set_join": op10_prefix_set_join,
     }
 
