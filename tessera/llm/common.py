@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,3 +142,50 @@ def size_checked(df: DataFrame, most_rows: int) -> tuple[DataFrame, bool]:
     """The frame, as a broadcast only if its row count is within the bound; and whether it is."""
     small = df.limit(most_rows + 1).count() <= most_rows
     return (F.broadcast(df) if small else df), small
+
+
+# --- tables of fixed size, gathered from all rows ------------------------------------------------------------
+
+
+def reduce_tables(rows: DataFrame, dtype: str, how: str, parts: int = 16) -> np.ndarray | None:
+    """Sum or union of equally long binary tables: in parts on the executors, the last few on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column(0):
+                t = np.frombuffer(x.as_buffer(), dtype=dtype)
+                total = t.copy() if total is None else (total + t if how == "sum" else total | t)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["t"])
+
+    last = [np.frombuffer(r["t"], dtype=dtype) for r in rows.repartition(parts).mapInArrow(run, "t binary").collect()]
+    if not last:
+        return None
+    return np.sum(last, axis=0) if how == "sum" else np.bitwise_or.reduce(last)
+
+
+def _filter_places(keys: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(keys.astype(np.int64).view(U64) + U64(0x9E3779B97F4A7C15))
+    most = U64(n_bits - 1)
+    return (h & most).astype(np.int64), ((h >> U64(32)) & most).astype(np.int64)
+
+
+def key_filter(keys: DataFrame, n_bits: int) -> np.ndarray:
+    """A filter of n_bits (a power of two, whatever the number of keys) over a column of longs. It lets every key pass, and few
+    others while it isn't full: to thin rows out before an exact join."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n_bits, dtype=bool)
+        for batch in batches:
+            for at in _filter_places(batch.column(0).to_numpy(), n_bits):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["t"])
+
+    made = reduce_tables(keys.mapInArrow(mark, "t binary"), "uint8", "union", parts=4)
+    return made if made is not None else np.zeros(n_bits // 8, dtype=np.uint8)
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    one, two = _filter_places(keys, 8 * len(bits))
+    return ((bits[one >> 3] >> (7 - (one & 7)).astype(np.uint8)) & (bits[two >> 3] >> (7 - (two & 7)).astype(np.uint8)) & 1).astype(bool)

@@ -70,24 +70,6 @@ def _profile(width: int):
     return run
 
 
-def reduce_tables(rows: DataFrame, dtype: str, how: str) -> np.ndarray | None:
-    """Sum or union of equally long binary tables: in parts on the executors, the last sixteen on the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for x in batch.column(0):
-                t = np.frombuffer(x.as_buffer(), dtype=dtype)
-                total = t.copy() if total is None else (total + t if how == "sum" else total | t)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["t"])
-
-    parts = [np.frombuffer(r["t"], dtype=dtype) for r in rows.repartition(16).mapInArrow(run, "t binary").collect()]
-    if not parts:
-        return None
-    return np.sum(parts, axis=0) if how == "sum" else np.bitwise_or.reduce(parts)
-
-
 def extra(n):
     """How many prefix tokens a linked pair must share, by set size."""
     return 1 + n // 20
@@ -131,26 +113,11 @@ def shared_prefix_tokens(docs: DataFrame, counts: np.ndarray, width: int, heavy_
     return found.distinct()
 
 
-def _filter_bits(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = common.mix(x.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64) & (FILTER_BITS - 1)
-
-
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    for batch in batches:
-        for at in _filter_bits(batch.column(0).to_numpy()):
-            bits[at] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["t"])
-
-
 def _sets(bits_of, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(bits_of.value).view(bool)
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
-            one, two = _filter_bits(batch.column("doc_id").to_numpy())
-            batch = batch.filter(pa.array(bits[one] & bits[two]))
+            batch = batch.filter(pa.array(common.in_filter(bits_of.value, batch.column("doc_id").to_numpy())))
             for a, b in text_runs(batch.column("text")):
                 s = [shingle_set(t, width) for t in batch.column("text").slice(a, b - a).to_pylist()]
                 fp = pa.array([_fingerprint(x) for x in s], pa.int64())
@@ -165,8 +132,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     A filter of fixed size drops most other documents before hashing; the join behind it is exact.
     """
     spark = docs.sparkSession
-    marks = reduce_tables(wanted.select("rep").mapInArrow(_mark, "t binary"), "uint8", "union")
-    bits = spark.sparkContext.broadcast(marks if marks is not None else np.zeros(FILTER_BITS // 8, dtype=np.uint8))
+    bits = spark.sparkContext.broadcast(common.key_filter(wanted.select("rep"), FILTER_BITS))
     made = docs.select("doc_id", "text").mapInArrow(_sets(bits, width), "rep long, fp long, s binary")
     return made.join(wanted.select("fp", "rep"), ["fp", "rep"]).select("fp", "s").dropDuplicates(["fp"])
 
@@ -239,7 +205,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HE
     profile = common.store(docs.mapInArrow(_profile(width), "doc_id long, n long, fp long, mins array<long>, counts binary"), "profiles")
     rows = profile.filter("counts is null").select("doc_id", "n", "fp", "mins")
     sets = common.store(rows.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "sets")
-    counts = reduce_tables(profile.filter("counts is not null").select("counts"), "int64", "sum")
+    counts = common.reduce_tables(profile.filter("counts is not null").select("counts"), "int64", "sum")
     tokens = common.store(shared_prefix_tokens(docs, counts if counts is not None else np.zeros(CELLS, dtype=np.int64), width, heavy_rows), "prefix-tokens")
     # every set of a link shares a prefix token with another set, so the others' texts aren't needed again
     wanted = tokens.select("fp").distinct().join(sets.select("fp", "n", "rep", "mins"), "fp").filter("rep is not null")

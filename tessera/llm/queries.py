@@ -37,6 +37,12 @@ def op6_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import payload_digest
 
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_stream_vbyte": op2_stream_vbyte,
         "op5_hypergeometric_shards": op5_hypergeometric_shards,
         "op6_configuration_packing": op6_configuration_packing,
+        "op7_compact_windows": op7_compact_windows,
         "op8_progressive_jpeg": op8_progressive_jpeg,
         "op9_token_group_join": op9_token_group_join,
         "op10_prefix_set_join": op10_prefix_set_join,
