@@ -17,6 +17,12 @@ def op2_stream_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op3_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import identify
+
+    return identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import exact_shards
 
@@ -79,6 +85,7 @@ FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_stream_vbyte": op2_stream_vbyte,
+        "op3_partial_matching": op3_partial_matching,
         "op5_hypergeometric_shards": op5_hypergeometric_shards,
         "op6_configuration_packing": op6_configuration_packing,
         "op7_compact_windows": op7_compact_windows,
