@@ -207,9 +207,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HE
     sets = common.store(rows.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "sets")
     counts = common.reduce_tables(profile.filter("counts is not null").select("counts"), "int64", "sum")
     tokens = common.store(shared_prefix_tokens(docs, counts if counts is not None else np.zeros(CELLS, dtype=np.int64), width, heavy_rows), "prefix-tokens")
-    # every set of a link shares a prefix token with another set, so the others' texts aren't needed again
-    wanted = tokens.select("fp").distinct().join(sets.select("fp", "n", "rep", "mins"), "fp").filter("rep is not null")
+    # a linked set has at least 0.75 n tokens, so it shares extra(0.75 n) prefix tokens at least: other texts aren't needed again
+    wanted = tokens.groupBy("fp").agg(F.count("*").alias("c")).join(sets, "fp").filter("rep is not null and c >= 1 + ((3 * n + 3) div 4) div 20").drop("c")
     wanted = common.store(wanted, "wanted-sets")
+    tokens = tokens.join(wanted.select("fp"), "fp", "left_semi")
     content = common.store(fetch_sets(docs, wanted, width), "set-content")
     stars = common.store(verified(_sized(_star_pairs(wanted), wanted), content), "star-links")
     groups = connected(stars)
