@@ -26,22 +26,27 @@ _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.u
 
 def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(ranks, control, data) of a block of ids."""
-    seen, at, n = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank_of = np.empty(len(seen), dtype=np.uint32)
-    rank_of[order] = np.arange(len(seen), dtype=np.uint32)
-    rank = rank_of[at]
-    length = 1 + (rank > 0xFF).astype(np.int64) + (rank > 0xFFFF) + (rank > 0xFFFFFF)
-    off = np.cumsum(length) - length
-    data = np.empty(int(length.sum()), dtype=np.uint8)
-    for b in range(4):
-        has = length > b
-        data[off[has] + b] = (rank[has] >> np.uint32(8 * b)).astype(np.uint8)
+    n = np.bincount(ids)
+    order = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
+    rank_of = np.zeros(len(n), dtype=np.uint32)
+    rank_of[order] = np.arange(len(order), dtype=np.uint32)
+    rank = rank_of[ids]
+    length = np.ones(len(ids), dtype=np.uint8)
+    places = [slice(None)]  # of the ranks that have a byte more
+    for b in range(1, 4):
+        if len(order) <= 1 << (8 * b):
+            break
+        places.append(np.flatnonzero(rank >= np.uint32(1 << (8 * b))))
+        length[places[b]] += 1
+    off = np.cumsum(length, dtype=np.int64) - length
+    data = np.empty(int(off[-1]) + int(length[-1]) if len(ids) else 0, dtype=np.uint8)
+    for b, at in enumerate(places):
+        data[off[at] + b] = (rank[at] >> np.uint32(8 * b)).astype(np.uint8)
     code = np.zeros(-(-len(ids) // 4) * 4, dtype=np.uint8)
     code[: len(ids)] = length - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    return seen[order].astype("<u4").tobytes(), control.tobytes(), data.tobytes()
+    return order.astype("<u4").tobytes(), control.tobytes(), data.tobytes()
 
 
 def decode_block(ranks: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -50,7 +55,7 @@ def decode_block(ranks: bytes, control: bytes, data: bytes, n: int) -> np.ndarra
     off = np.cumsum(length) - length
     raw = np.frombuffer(data, dtype=np.uint8)
     rank = raw[off].astype(np.uint32)
-    for b in range(1, 4):
+    for b in range(1, int(length.max(initial=1))):
         has = np.flatnonzero(length > b)
         rank[has] |= raw[off[has] + b].astype(np.uint32) << np.uint32(8 * b)
     return np.frombuffer(ranks, dtype="<u4")[rank]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import regex
@@ -81,15 +82,15 @@ class PieceEncoder:
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > REMEMBERED:
             self._reset()
-        at = [np.fromiter(map(self.index.__getitem__, p), np.int64, len(p)) for p in (self._pieces(t or "") for t in texts)]
+        pieces = [self._pieces(t or "") for t in texts]
+        n_pieces = np.array([len(p) for p in pieces], dtype=np.int64)
+        every = np.fromiter(map(self.index.__getitem__, chain.from_iterable(pieces)), np.int64, int(n_pieces.sum()))
         if self.index.new:
             self._learn()
-        every = np.concatenate(at) if at else np.empty(0, dtype=np.int64)
         count = self.count[every]
         ends = np.cumsum(count)
         ids = self.flat[np.repeat(self.first[every] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        last = np.cumsum([len(a) for a in at], dtype=np.int64)
-        total = np.concatenate([[0], ends])[last] if at else np.empty(0, dtype=np.int64)
+        total = np.concatenate([[0], ends])[np.cumsum(n_pieces)]
         return ids, np.diff(total, prepend=0)
 
 
