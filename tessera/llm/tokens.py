@@ -14,8 +14,8 @@ from itertools import chain
 import numpy as np
 import regex
 
-#: Pieces a worker remembers before it starts anew (bounded memory; results don't depend on it).
-REMEMBERED = 1_000_000
+#: Pieces a worker remembers; beyond that it keeps the half it used most (bounded memory; results don't depend on it).
+REMEMBERED = 400_000
 #: Fixed value: the piece pattern of byte-level tokenizers that name none in their file.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -56,7 +56,18 @@ class PieceEncoder:
 
     def _reset(self) -> None:
         self.index, self.n_ids, self.flat = _Index(), 0, np.empty(1 << 16, dtype=np.uint32)
-        self.first, self.count = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.first, self.count, self.used = (np.empty(0, dtype=np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED // 2])
+        names = list(self.index)
+        index, first, count, used, flat = _Index(), self.first[keep], self.count[keep], self.used[keep] // 2, self.flat
+        for k, i in enumerate(keep.tolist()):
+            dict.__setitem__(index, names[i], k)
+        ends = np.cumsum(count)
+        self.n_ids = int(ends[-1])
+        self.flat = flat[np.repeat(first - (ends - count), count) + np.arange(self.n_ids)]
+        self.index, self.first, self.count, self.used = index, ends - count, count, used
 
     def _pieces(self, text: str) -> list[str]:
         if self.lower:  # one character at a time, as the library does: no final sigma
@@ -67,8 +78,8 @@ class PieceEncoder:
         new = self.index.new
         self.index.new = []
         counts, flat = [], []
-        for k in range(0, len(new), 20_000):
-            for e in self.tokenizer.encode_batch(new[k : k + 20_000], add_special_tokens=False):
+        for k in range(0, len(new), 5_000):
+            for e in self.tokenizer.encode_batch(new[k : k + 5_000], add_special_tokens=False):
                 counts.append(len(e.ids))
                 flat += e.ids
         more = np.array(counts, dtype=np.int64)
@@ -78,15 +89,17 @@ class PieceEncoder:
         self.flat[self.n_ids : need] = flat
         self.n_ids = need
         self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, more])
+        self.used = np.concatenate([self.used, np.zeros(len(more), dtype=np.int64)])
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > REMEMBERED:
-            self._reset()
+            self._forget()
         pieces = [self._pieces(t or "") for t in texts]
         n_pieces = np.array([len(p) for p in pieces], dtype=np.int64)
         every = np.fromiter(map(self.index.__getitem__, chain.from_iterable(pieces)), np.int64, int(n_pieces.sum()))
         if self.index.new:
             self._learn()
+        self.used += np.bincount(every, minlength=len(self.used))
         count = self.count[every]
         ends = np.cumsum(count)
         ids = self.flat[np.repeat(self.first[every] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
