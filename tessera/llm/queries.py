@@ -23,6 +23,12 @@ def op3_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op4_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import exact_shards
 
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_stream_vbyte": op2_stream_vbyte,
         "op3_partial_matching": op3_partial_matching,
+        "op4_minimum_cut": op4_minimum_cut,
         "op5_hypergeometric_shards": op5_hypergeometric_shards,
         "op6_configuration_packing": op6_configuration_packing,
         "op7_compact_windows": op7_compact_windows,
