@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import licence_scan
+
+    return licence_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_stream_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import roundtrip
     from .tokens import vocabulary_path
@@ -90,6 +96,7 @@ FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licence_classifier": op1_licence_classifier,
         "op2_stream_vbyte": op2_stream_vbyte,
         "op3_partial_matching": op3_partial_matching,
         "op4_minimum_cut": op4_minimum_cut,
