@@ -96,6 +96,8 @@ TRAIN_DOCS = 1000
 TRAIN_LINES = 1000
 VARIANTS = 30
 LEAST_SHARED = 0.5
+#: An unknown licence has so many different words that only licences have.
+LEAST_CUES = 2
 _WORD = re.compile(r"[^\W_]+(?:[.+][^\W_]+)*")
 
 
@@ -124,7 +126,8 @@ class Model:
     families: list[str]
     weights: np.ndarray  # cells x (families + none)
     bias: np.ndarray
-    least: float
+    least: float  # probability that a family needs
+    least_any: float  # 1 - probability of `none` that `unknown` needs
     cues: frozenset[str]  # words of the templates that ordinary paragraphs of the sample don't have
     templates: dict[str, list[frozenset[str]]]
 
@@ -135,13 +138,12 @@ class Model:
             return NONE, 1.0
         p = self._probability(vector_of(words))
         best = int(p[:-1].argmax())
-        if p[-1] >= 0.5 and p[best] < self.least:
-            return NONE, float(p[-1])
         family, grams = self.families[best], set(grams_of(words))
         shared = max(len(t & grams) / len(t) for t in self.templates[family])
         if p[best] >= self.least and shared >= LEAST_SHARED:
             return family, float(p[best])
-        return (UNKNOWN, float(1 - p[-1])) if p[-1] < 0.5 else (NONE, float(p[-1]))
+        some = 1 - p[-1] >= self.least_any and len(self.cues.intersection(words)) >= LEAST_CUES
+        return (UNKNOWN, float(1 - p[-1])) if some else (NONE, float(p[-1]))
 
     def _probability(self, cells: np.ndarray) -> np.ndarray:
         z = self.weights[cells].sum(axis=0) / np.sqrt(max(1, len(cells))) + self.bias
@@ -227,9 +229,12 @@ def fit(ordinary: list[str], seed: int = 1) -> Model:
         if proposed.any() and (best[proposed] == truth[proposed]).mean() >= 0.995:
             least = float(t)
             break
+    # more than all but one in a thousand ordinary paragraphs that were held out
+    other = 1 - p[truth == len(families), -1]
+    least_any = max(0.5, float(np.quantile(other, 0.999))) if len(other) else 0.5
     full = np.zeros((1 << BITS, len(families) + 1))
     full[used] = weights
-    return Model(families, full.astype(np.float32), bias, least, cues, templates)
+    return Model(families, full.astype(np.float32), bias, least, least_any, cues, templates)
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
