@@ -85,6 +85,7 @@ TEMPLATES: dict[str, list[str]] = {
     "proprietary": [
         "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
         "Copyright. All rights reserved. No part of this work may be reproduced without written permission.",
+        "All rights reserved.",
         "This work is proprietary and may not be redistributed.",
     ],
 }
