@@ -25,6 +25,8 @@ PERCENT = 75
 BANDS, BAND_ROWS = 6, 2
 #: Cells of the table of token counts that orders tokens by rarity, and bits of the filter before the fetch of sets.
 CELLS, FILTER_BITS = 1 << 16, 1 << 24
+#: Bits of the map of each set that bounds a pair's overlap before the sets are fetched.
+BITMAP = 512
 #: A token in more rows than this is matched by a pre-aggregated join instead of a window over its rows.
 HEAVY = 1_000_000
 _A = common.mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -40,6 +42,13 @@ def _fingerprint(s: np.ndarray) -> int:
         return int((common.mix(s * np.uint64(0xD6E8FEB86659FD93)).sum() ^ np.uint64(len(s))).astype(np.int64)) if len(s) else 0
 
 
+def _bitmap(s: np.ndarray) -> list[int]:
+    """BITMAP bits: those that the set's tokens hash to."""
+    on = np.zeros(BITMAP, dtype=bool)
+    on[((s >> np.uint64(20)) & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+    return np.packbits(on).view(np.int64).tolist()
+
+
 def _cell(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(48)).astype(np.int64)
 
@@ -47,10 +56,10 @@ def _cell(s: np.ndarray) -> np.ndarray:
 def _profile(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, dtype=np.int64)
-        names = ["doc_id", "n", "fp", "mins", "counts"]
+        names = ["doc_id", "n", "fp", "mins", "bits", "counts"]
         for batch in batches:
             for a, b in text_runs(batch.column("text")):
-                n, fp, mins = [], [], []
+                n, fp, mins, bits = [], [], [], []
                 for text in batch.column("text").slice(a, b - a).to_pylist():
                     s = shingle_set(text, width)
                     n.append(len(s))
@@ -58,14 +67,19 @@ def _profile(width: int):
                     if len(s):
                         np.add.at(counts, _cell(s), 1)
                         mins.append(common.to_long(np.array([(s * x).min() for x in _A])).tolist())
+                        bits.append(_bitmap(s))
                     else:
                         mins.append(None)
+                        bits.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.nulls(b - a, pa.binary())], names=names
-                )
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.tobytes()], pa.binary())], names=names
-        )
+                    [
+                        batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(mins, pa.list_(pa.int64())),
+                        pa.array(bits, pa.list_(pa.int64())), pa.nulls(b - a, pa.binary()),
+                    ],
+                    names=names,
+                )
+        nothing = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.list_(pa.int64()))] * 2
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([counts.tobytes()], pa.binary())], names=names)
 
     return run
 
@@ -155,17 +169,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "s_a", "s_b").mapInArrow(_overlaps, "a long, b long")
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    p = pairs.join(sizes.select(F.col("fp").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("fp").alias("b"), F.col("n").alias("n_b")), "b")
-    return p.filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")).select("a", "b")
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose sizes and bitmaps allow the similarity: a token whose bit the other set lacks isn't shared."""
+    p = pairs
+    for x in ("a", "b"):
+        p = p.join(sets.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+
+    def alone(x: str, y: str):
+        return sum((F.bit_count(F.col(f"bits_{x}")[k].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[k]))) for k in range(BITMAP // 64)), F.lit(0))
+
+    most = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
+    return p.filter((100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _star_pairs(sets: DataFrame) -> DataFrame:
-    """Each set with the head of every min-hash band bucket it is in: as many pairs as bucket entries, never all pairs."""
+    """Each set with the head of every min-hash band bucket it is in: as many pairs as bucket entries, never all pairs.
+
+    The head is the set whose buckets are the fullest: near copies resemble the text they were made from more than each other.
+    """
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col("mins")[b * BAND_ROWS + r] for r in range(BAND_ROWS)]).alias("key")) for b in range(BANDS)])
     rows = sets.select("fp", F.explode(keys).alias("k")).select("fp", "k.band", "k.key")
-    heads = rows.groupBy("band", "key").agg(F.min_by("fp", F.xxhash64("fp", "band")).alias("head"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    full = rows.groupBy("band", "key").agg(F.count("*").alias("c")).filter("c > 1")
+    rows = common.store(rows.join(full, ["band", "key"]), "band-rows")
+    middle = rows.groupBy("fp").agg(F.sum("c").alias("score"))
+    heads = rows.join(middle, "fp").groupBy("band", "key").agg(F.max_by("fp", F.struct("score", "fp")).alias("head"))
     pairs = rows.join(heads, ["band", "key"]).filter("fp <> head")
     return pairs.select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct()
 
@@ -202,9 +229,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HE
     Sets are known by 64-bit hashes of shingles and of whole sets.
     """
     docs = docs.select("doc_id", "text")
-    profile = common.store(docs.mapInArrow(_profile(width), "doc_id long, n long, fp long, mins array<long>, counts binary"), "profiles")
-    rows = profile.filter("counts is null").select("doc_id", "n", "fp", "mins")
-    sets = common.store(rows.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "sets")
+    profile = common.store(docs.mapInArrow(_profile(width), "doc_id long, n long, fp long, mins array<long>, bits array<long>, counts binary"), "profiles")
+    rows = profile.filter("counts is null").select("doc_id", "n", "fp", "mins", "bits")
+    sets = common.store(rows.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("mins").alias("mins"), F.first("bits").alias("bits")), "sets")
     counts = common.reduce_tables(profile.filter("counts is not null").select("counts"), "int64", "sum")
     tokens = common.store(shared_prefix_tokens(docs, counts if counts is not None else np.zeros(CELLS, dtype=np.int64), width, heavy_rows), "prefix-tokens")
     # a linked set has at least 0.75 n tokens, so it shares extra(0.75 n) prefix tokens at least: other texts aren't needed again
@@ -212,9 +239,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HE
     wanted = common.store(wanted, "wanted-sets")
     tokens = tokens.join(wanted.select("fp"), "fp", "left_semi")
     content = common.store(fetch_sets(docs, wanted, width), "set-content")
-    stars = common.store(verified(_sized(_star_pairs(wanted), wanted), content), "star-links")
+    stars = common.store(verified(_possible(_star_pairs(wanted), wanted), content), "star-links")
     groups = connected(stars)
-    rest = common.store(verified(_sized(_matrix_pairs(tokens, wanted, groups), wanted), content), "matrix-links")
+    rest = common.store(verified(_possible(_matrix_pairs(tokens, wanted, groups), wanted), content), "matrix-links")
     between = rest.join(groups.select(F.col("node").alias("a"), F.col("component").alias("g_a")), "a", "left").join(
         groups.select(F.col("node").alias("b"), F.col("component").alias("g_b")), "b", "left"
     )
