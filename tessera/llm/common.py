@@ -189,3 +189,61 @@ def key_filter(keys: DataFrame, n_bits: int) -> np.ndarray:
 def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     one, two = _filter_places(keys, 8 * len(bits))
     return ((bits[one >> 3] >> (7 - (one & 7)).astype(np.uint8)) & (bits[two >> 3] >> (7 - (two & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+class Places:
+    """Numbers 0, 1, 2 ... of distinct 64-bit keys in the order they were added; look-ups take whole arrays."""
+
+    def __init__(self) -> None:
+        self._n, self._bits = 0, 10
+        self._all = np.empty(1 << 8, dtype=U64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self._key, self._place = np.zeros(1 << self._bits, dtype=U64), np.full(1 << self._bits, -1, dtype=np.int32)
+
+    def __len__(self) -> int:
+        return self._n
+
+    def keys(self) -> np.ndarray:
+        return self._all[: self._n]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self._bits)).astype(np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        """keys: distinct, and none of them known."""
+        n = self._n + len(keys)
+        if n > len(self._all):
+            self._all = np.concatenate([self._all[: self._n], np.empty(n // 2 + len(keys), dtype=U64)])
+        self._all[self._n : n] = keys
+        first, self._n = self._n, n
+        if 3 * n > 1 << self._bits:
+            self._bits = int(4 * n).bit_length()
+            self._clear()
+            first = 0
+        todo = np.arange(first, n)
+        slot = self._slot(self._all[first:n])
+        while len(todo):
+            free = np.flatnonzero(self._place[slot] < 0)
+            self._place[slot[free]] = todo[free]  # of several, one gets the slot
+            won = np.zeros(len(todo), dtype=bool)
+            won[free] = self._place[slot[free]] == todo[free]
+            self._key[slot[won]] = self._all[todo[won]]
+            todo, slot = todo[~won], (slot[~won] + 1) & ((1 << self._bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for unknown ones."""
+        slot = self._slot(keys)
+        place = self._place[slot]
+        out = np.where(self._key[slot] == keys, place, -1).astype(np.int64)
+        todo = np.flatnonzero((out < 0) & (place >= 0))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & ((1 << self._bits) - 1)
+            place = self._place[slot]
+            hit = (self._key[slot] == keys[todo]) & (place >= 0)
+            out[todo[hit]] = place[hit]
+            go = ~hit & (place >= 0)
+            todo, slot = todo[go], slot[go]
+        return out

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Places
 from .tokens import text_runs
 
 ORDER = 4
@@ -71,6 +72,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
 
+def _places(keys: np.ndarray) -> Places:
+    out = Places()
+    out.add(keys)
+    return out
+
+
 class Model:
     """Code lengths under the frozen trees of `langs`: for each order the strings known to any language, with a row of lengths,
     and the contexts known to any, with a row of escapes."""
@@ -97,7 +104,7 @@ class Model:
                 shorter = below[1][np.searchsorted(below[0], known & (mask >> _U(8)))]
             bits = np.where(count > 0, own, escape[ctx_of] + shorter)
             below = (known, bits)
-            self.levels.append((_Table(known), bits.astype(np.float32), _Table(contexts), escape.astype(np.float32)))
+            self.levels.append((_places(known), bits.astype(np.float32), _places(contexts), escape.astype(np.float32)))
 
     def bits(self, strings: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Code length of each string's last byte in every language."""
@@ -113,41 +120,6 @@ class Model:
         return out
 
 
-class _Table:
-    """Places of sorted numbers, found by open addressing on whole arrays."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.bits = max(8, int(4 * len(keys)).bit_length())
-        size = 1 << self.bits
-        self.key, self.place = np.full(size, np.iinfo(np.uint64).max, dtype=_U), np.full(size, -1, dtype=np.int32)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
-        while len(todo):
-            free = self.place[slot] < 0
-            first = np.unique(np.where(free, slot, -1), return_index=True)[1]
-            first = first[free[first]]
-            self.place[slot[first]] = todo[first]
-            self.key[slot[first]] = keys[todo[first]]
-            rest = np.ones(len(todo), dtype=bool)
-            rest[first] = False
-            todo, slot = todo[rest], (slot[rest] + 1) & (size - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        out = np.where(self.key[slot] == keys, self.place[slot], -2)
-        todo = np.flatnonzero((out < 0) & (self.place[slot] >= 0))
-        slot = slot[todo]
-        while len(todo):
-            slot = (slot + 1) & ((1 << self.bits) - 1)
-            hit, end = self.key[slot] == keys[todo], self.place[slot] < 0
-            out[todo[hit & ~end]] = self.place[slot[hit & ~end]]
-            go = ~(hit | end)
-            todo, slot = todo[go], slot[go]
-        return np.where(out < 0, -1, out)
-
-
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     """A model of the non-null lang values of docs(doc_id, text, lang) that aren't held out; None if there are none."""
     known = docs.filter(~held_out(F.col("doc_id"))).filter("text is not null and lang is not null").select("doc_id", "text", "lang")

@@ -1,7 +1,8 @@
 """Whole-text encoding with the tokenizers library, one call for each distinct piece.
 
 A byte-pair tokenizer cuts a text into pieces by a fixed pattern and merges inside a piece only, so a text's ids are its
-pieces' ids in order. Each worker keeps the ids of pieces it has met; new pieces go through the library in batches.
+pieces' ids in order. Pieces are cut and hashed as whole arrays; each worker keeps the ids of pieces it has met under their
+64-bit hash, and new pieces go through the library in batches.
 """
 
 from __future__ import annotations
@@ -9,16 +10,19 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
-from itertools import chain
 
 import numpy as np
 import regex
 
+from .common import Places, mix
+
 #: Pieces a worker remembers; beyond that it keeps the half it used most (bounded memory; results don't depend on it).
-REMEMBERED = 400_000
-#: Fixed value: the piece pattern of byte-level tokenizers that name none in their file.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+REMEMBERED = 1_000_000
+OTHER, LETTER, NUMBER, SPACE, END = range(5)
 _ENCODERS: dict[str, PieceEncoder] = {}
+_KINDS: list[np.ndarray] = []
+_U = np.uint64
+_STEP = _U(0x9E3779B97F4A7C15)
 
 
 def vocabulary_path(name: str) -> str:
@@ -27,15 +31,54 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Index(dict):
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = at = len(self)
-        self.new.append(piece)
-        return at
+def kinds() -> np.ndarray:
+    """The kind of every code point; the number after the last one ends a text."""
+    if not _KINDS:
+        out = np.zeros(0x110001, dtype=np.uint8)
+        every = "".join(map(chr, range(0x110000)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                out[m.start() : m.end()] = kind
+        out[0x110000] = END
+        _KINDS.append(out)
+    return _KINDS[0]
+
+
+def cut(points: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of texts given as code points, an END after each.
+
+    Pieces are runs of letters, of numbers and of other characters, and English contractions. spaced: a blank belongs to the run
+    after it and other white space is a piece, as in byte-level tokenizers; else numbers stand alone and white space is dropped.
+    """
+    kind = kinds()[points]
+    start = np.ones(len(points), dtype=bool)
+    start[1:] = kind[1:] != kind[:-1]
+    if spaced:
+        after = np.flatnonzero((kind[1:] != SPACE) & (kind[1:] != END) & (kind[:-1] == SPACE)) + 1
+        start[after - 1] = True
+        start[after[points[after - 1] == 32]] = False
+    else:
+        start |= kind == NUMBER
+    mark = np.flatnonzero(points == 39)
+    if len(mark):
+        mark = mark[start[mark]]
+        mark = mark[kind[mark + 1] == LETTER]
+        one = points[mark + 1]
+        two = points[np.minimum(mark + 2, len(points) - 1)]
+        is_one = (one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))
+        is_two = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        size = np.where(is_one, 2, np.where(is_two, 3, 0))
+        mark, size = mark[size > 0], size[size > 0]
+        start[mark + 1] = False
+        rest = mark + size
+        start[rest[kind[rest] == LETTER]] = True
+    starts = np.flatnonzero(start)
+    ends = np.append(starts[1:], len(points))
+    first = kind[starts]
+    keep = first != END
+    if not spaced:
+        keep &= first != SPACE
+    return starts[keep], ends[keep]
 
 
 class PieceEncoder:
@@ -49,61 +92,88 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         with open(path) as f:
             spec = json.load(f)
-        split = [p for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"]
-        self.pattern = regex.compile(split[0]["pattern"]["Regex"] if split else BYTE_LEVEL)
+        self.spaced = not any(p["type"] == "Split" for p in spec["pre_tokenizer"].get("pretokenizers", []))
         self.lower = bool(spec["normalizer"])
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index, self.n_ids, self.flat = _Index(), 0, np.empty(1 << 16, dtype=np.uint32)
+        self.places, self.n_ids, self.flat = Places(), 0, np.empty(1 << 16, dtype=np.uint32)
         self.first, self.count, self.used = (np.empty(0, dtype=np.int64) for _ in range(3))
+        self.power = np.ones(64, dtype=_U)
+        self.power[1:] = _STEP
+        self.power = np.multiply.accumulate(self.power)
+
+    def _points(self, text: str | None) -> np.ndarray:
+        text = text or ""
+        if self.lower:  # one character at a time, as the library does: no final sigma
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return np.frombuffer((text + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+    def _hashes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        if len(size) and (longest := int(size.max())) > len(self.power):
+            power = np.full(2 * longest, _STEP, dtype=_U)
+            power[0] = 1
+            self.power = np.multiply.accumulate(power)
+        off = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) - np.repeat(off, size)
+        inside = points if len(at) == len(points) else points[at + np.repeat(starts, size)]
+        value = (inside.astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93)
+        value ^= value >> _U(32)
+        value *= self.power[at]
+        return mix(np.add.reduceat(value, off) + size.astype(_U))
 
     def _forget(self) -> None:
         keep = np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED // 2])
-        names = list(self.index)
-        index, first, count, used, flat = _Index(), self.first[keep], self.count[keep], self.used[keep] // 2, self.flat
-        for k, i in enumerate(keep.tolist()):
-            dict.__setitem__(index, names[i], k)
+        count, first = self.count[keep], self.first[keep]
         ends = np.cumsum(count)
         self.n_ids = int(ends[-1])
-        self.flat = flat[np.repeat(first - (ends - count), count) + np.arange(self.n_ids)]
-        self.index, self.first, self.count, self.used = index, ends - count, count, used
+        self.flat = self.flat[np.repeat(first - (ends - count), count) + np.arange(self.n_ids)]
+        self.first, self.count, self.used = ends - count, count, self.used[keep] // 2
+        keys = self.places.keys()[keep]
+        self.places = Places()
+        self.places.add(keys)
 
-    def _pieces(self, text: str) -> list[str]:
-        if self.lower:  # one character at a time, as the library does: no final sigma
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.pattern.findall(text)
-
-    def _learn(self) -> None:
-        new = self.index.new
-        self.index.new = []
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         counts, flat = [], []
-        for k in range(0, len(new), 5_000):
-            for e in self.tokenizer.encode_batch(new[k : k + 5_000], add_special_tokens=False):
-                counts.append(len(e.ids))
-                flat += e.ids
+        for k in range(0, len(pieces), 5_000):
+            for e in self.tokenizer.encode_batch(pieces[k : k + 5_000], add_special_tokens=False):
+                ids = e.ids
+                counts.append(len(ids))
+                flat += ids
         more = np.array(counts, dtype=np.int64)
         first = self.n_ids + np.cumsum(more) - more
         if (need := self.n_ids + len(flat)) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.n_ids], np.empty(2 * need - self.n_ids, dtype=np.uint32)])
+            self.flat = np.concatenate([self.flat[: self.n_ids], np.empty(need // 2 + len(flat), dtype=np.uint32)])
         self.flat[self.n_ids : need] = flat
         self.n_ids = need
+        self.places.add(hashes)
         self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, more])
         self.used = np.concatenate([self.used, np.zeros(len(more), dtype=np.int64)])
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > REMEMBERED:
+        if not texts:
+            return np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
+        if len(self.places) > REMEMBERED:
             self._forget()
-        pieces = [self._pieces(t or "") for t in texts]
-        n_pieces = np.array([len(p) for p in pieces], dtype=np.int64)
-        every = np.fromiter(map(self.index.__getitem__, chain.from_iterable(pieces)), np.int64, int(n_pieces.sum()))
-        if self.index.new:
-            self._learn()
+        parts = [self._points(t) for t in texts]
+        points = np.concatenate(parts)
+        last = np.cumsum([len(p) for p in parts])
+        points[last - 1] = 0x110000
+        starts, ends = cut(points, self.spaced)
+        if not len(starts):
+            return np.empty(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
+        hashes = self._hashes(points, starts, ends)
+        every = self.places.find(hashes)
+        if len(new := np.flatnonzero(every < 0)):
+            fresh, where = np.unique(hashes[new], return_index=True)
+            where = new[where]
+            raw = points.tobytes()
+            pieces = [raw[4 * a : 4 * b].decode("utf-32-le", "surrogatepass") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+            self._learn(fresh, pieces)
+            every[new] = self.places.find(hashes[new])
         self.used += np.bincount(every, minlength=len(self.used))
         count = self.count[every]
-        ends = np.cumsum(count)
-        ids = self.flat[np.repeat(self.first[every] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        total = np.concatenate([[0], ends])[np.cumsum(n_pieces)]
+        id_ends = np.cumsum(count)
+        ids = self.flat[np.repeat(self.first[every] - (id_ends - count), count) + np.arange(int(id_ends[-1]))]
+        total = np.concatenate([[0], id_ends])[np.searchsorted(starts, last)]
         return ids, np.diff(total, prepend=0)
 
 
