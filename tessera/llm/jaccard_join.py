@@ -2,9 +2,9 @@
 
 Documents are sets of word shingles. Similar documents are first gathered into groups (verified links from min-hash
 bands), and the matrix stores each group's union of prefix tokens as rows (token, group). A document and a foreign group can
-only hold a link if enough of the document's prefix tokens occur in the group's union: sets with an overlap of at least
-need = ceil(0.75 n) share at least k of their n - need + k rarest tokens. Only groups that reach that bound are opened,
-member by member, and the pairs found are compared exactly. Links between a group's own members cannot change components.
+only hold a link if enough of the document's prefix tokens occur in the group's union: a prefix holds the n - ceil(0.75 n) + k
+rarest tokens of a set, so linked sets share k of them, and more the nearer their sizes are. Only groups that reach that
+bound are opened, member by member, and the pairs found are compared exactly. Links between a group's own members cannot change components.
 """
 
 from __future__ import annotations
@@ -197,27 +197,38 @@ def _star_pairs(sets: DataFrame) -> DataFrame:
     return pairs.select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct()
 
 
+def _behind(n: str) -> str:
+    """How many tokens of a set of n stand behind its prefix (SQL)."""
+    return f"greatest(0, (3 * {n} + 3) div 4 - 1 - {n} div 20)"
+
+
+def _shared(n_a: str, n_b: str) -> str:
+    """How many prefix tokens sets of these sizes share at least if they link (SQL): their overlap has at least 3/7 of both sizes,
+    and what isn't in the longer rest behind a prefix is in both prefixes."""
+    return f"((3 * ({n_a} + {n_b}) + 6) div 7 - greatest({_behind(n_a)}, {_behind(n_b)}))"
+
+
 def _matrix_pairs(tokens: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of sets in different groups that the token-group matrix can't exclude."""
     rows = tokens.join(sets.select("fp", "n"), "fp").join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-    rows = common.store(rows.withColumn("g", F.coalesce("component", "fp")).withColumn("k", extra_column(F.col("n"))).drop("component"), "prefix-rows")
+    rows = common.store(rows.withColumn("g", F.coalesce("component", "fp")).drop("component"), "prefix-rows")
     mixed = rows.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("token")
     rows = common.store(rows.join(mixed, "token"), "mixed-rows")
-    size = rows.groupBy("g").agg(F.countDistinct("fp").alias("size"), F.min("k").alias("k_g"))
+    size = rows.groupBy("g").agg(F.countDistinct("fp").alias("size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
     matrix = rows.select("token", "g").distinct().join(size, "g")
-    queries = rows.join(size.select("g", "size"), "g").select("token", "fp", "k", F.col("g").alias("g_q"), F.col("size").alias("size_q"))
+    queries = rows.join(size.select("g", "size"), "g").select("token", "fp", "n", F.col("g").alias("g_q"), F.col("size").alias("size_q"))
     # the smaller group's members ask the larger group
     asked = queries.join(matrix, "token").filter("g_q <> g and (size_q < size or (size_q = size and g_q < g))")
-    opened = asked.groupBy("fp", "g").agg(F.count("*").alias("seen"), F.min(F.least("k", "k_g")).alias("need")).filter("seen >= need").select("fp", "g")
-    opened = common.store(opened, "opened")
-    members = rows.select("token", F.col("fp").alias("b"), F.col("k").alias("k_b"), F.col("g").alias("g_b"))
-    asking = rows.join(opened.withColumnRenamed("g", "g_b"), "fp").select("token", F.col("fp").alias("a"), F.col("k").alias("k_a"), "g_b")
-    pairs = asking.join(members, ["token", "g_b"]).groupBy("a", "b").agg(F.count("*").alias("seen"), F.min(F.least("k_a", "k_b")).alias("need"))
-    return pairs.filter("seen >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def extra_column(n):
-    return F.lit(1) + F.floor(n / 20)
+    seen = asked.groupBy("fp", "g").agg(F.count("*").alias("seen"), *[F.first(c).alias(c) for c in ("n", "n_min", "n_max")])
+    # sizes of members that can link at all; the bound is least at one of the ends, but for rounding
+    seen = seen.withColumn("least_n", F.expr("greatest(n_min, (3 * n + 3) div 4)")).withColumn("most_n", F.expr("least(n_max, (4 * n) div 3)"))
+    need = F.expr(f"greatest(1, least({_shared('n', 'least_n')}, {_shared('n', 'most_n')}) - 2)")
+    opened = common.store(seen.filter((F.col("least_n") <= F.col("most_n")) & (F.col("seen") >= need)).select("fp", "g"), "opened")
+    members = rows.select("token", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("g").alias("g_b"))
+    asking = rows.join(opened.withColumnRenamed("g", "g_b"), "fp").select("token", F.col("fp").alias("a"), F.col("n").alias("n_a"), "g_b")
+    pairs = asking.join(members, ["token", "g_b"]).filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("seen"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return pairs.filter(F.expr(f"seen >= {_shared('n_a', 'n_b')}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HEAVY) -> DataFrame:
