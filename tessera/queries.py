@@ -1,4 +1,555 @@
 """Every registered query of the engine and the DuckDB SQL it is held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.extract.selectors import page_fields, page_rows
+from tessera.functions import text as X
+from tessera.functions import urls as U
+from tessera.functions import values as V
+from tessera.operators import health as H
+from tessera.operators import keyed as K
+from tessera.operators import similarity as S
+from tessera.plans import search
+from tessera.sources.tables import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that it is held against."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def folder(spark: SparkSession) -> str:
+    """Where iterative operators write their rounds: the shared folder that the session names."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named or spark.conf.get('spark.sql.warehouse.dir')}/rounds"
+
+
+# --- search ---------------------------------------------------------------------------------------------------
+
+_HITS = """SELECT 'documents' AS source, 0 AS rank, doc_id AS item, contains(lower(text), 'ing') AS hit FROM documents
+UNION ALL SELECT 'benchmark', 1, item_id, contains(lower(text), 'ing') FROM benchmark
+UNION ALL SELECT 'conversations', 1, conv_id, contains(lower(text), 'ing') FROM conversations
+UNION ALL SELECT 'pages', 2, page_id, contains(lower(html), 'ing') FROM pages"""
+
+
+@query(f"""SELECT source, rank, count(*) AS searched, count(*) FILTER (hit) AS results, min(item) FILTER (hit) AS first_item, count(*) FILTER (hit) > 0 AS ok
+FROM ({_HITS}) GROUP BY source, rank""")
+def aggregated_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.aggregated_search(spark, d, "ing")
+
+
+@query(f"""SELECT CAST(sum(results) AS BIGINT) AS total, count(*) AS sources, count(*) FILTER (results = 0) AS empty
+FROM (SELECT source, count(*) FILTER (hit) AS results FROM ({_HITS}) GROUP BY source)""")
+def search_summary(spark: SparkSession, d: str) -> DataFrame:
+    return search.summary(search.aggregated_search(spark, d, "ing"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'src1')")
+def keyword_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter(search.matches(F.col("text"), "License") | search.matches(F.col("source"), "SRC1")).select("doc_id", "source")
+
+
+@query("""SELECT source, word, ord FROM (SELECT source, word, ord, row_number() OVER (PARTITION BY source ORDER BY ord) AS r FROM
+(SELECT DISTINCT d.source, k.word, k.ord FROM documents d JOIN (VALUES ('license', 0), ('moron', 1), ('the', 2)) k(word, ord) ON contains(d.text, k.word))) WHERE r = 1""")
+def first_match(spark: SparkSession, d: str) -> DataFrame:
+    """For each source the first test keyword that finds anything: one pass, keywords as an array beside each text."""
+    words = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(w).alias("word")) for i, w in enumerate(["license", "moron", "the"])])
+    found = F.get(F.filter(words, lambda w: F.contains(F.col("text"), w["word"])), F.lit(0))
+    best = table(spark, d, "documents").select("source", found.alias("k")).filter("k is not null").groupBy("source").agg(F.min("k").alias("k"))
+    return best.select("source", "k.word", "k.ord")
+
+
+# --- logs and keyed tables ------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, ts, user_id, value FROM events WHERE event_type = 'error' ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 50 OFFSET 10")
+def log_query(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").filter(F.col("event_type") == "error").select("event_id", "ts", "user_id", "value")
+    return K.page(rows, [F.desc("ts"), F.desc("event_id")], 50, 10)
+
+
+@query("SELECT * FROM customer WHERE c_custkey = 42")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").filter(F.col("c_custkey") == 42)
+
+
+@query("SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    return K.latest_per_key(rows, ["user_id", "event_type"], "ts", "event_id")
+
+
+@query("""SELECT s_nationkey, s_suppkey, s_name, CAST(r AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r
+FROM supplier WHERE s_acctbal > 0) WHERE r <= 2""")
+def top1_per_group(spark: SparkSession, d: str) -> DataFrame:
+    """First active supplier of a nation and the one to fall back on."""
+    order = [F.desc("s_acctbal"), F.col("s_suppkey")]
+    active = table(spark, d, "supplier").filter("s_acctbal > 0")
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(*order)).cast("long")
+    return K.top_per_key(active, ["s_nationkey"], order, 2).select("s_nationkey", "s_suppkey", "s_name", place.alias("place"))
+
+
+@query("SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
+    old = table(spark, d, "labels")
+    kind = old.schema["quality"].dataType
+    new = table(spark, d, "documents").select("doc_id", F.lit(0).cast(kind).alias("quality"), F.lit(0).cast(kind).alias("toxic"))
+    return K.insert_ignore(old.select("doc_id", "quality", "toxic"), new, ["doc_id"])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' AND p_size > 25 THEN round(p_retailprice * 0.9, 4) ELSE p_retailprice END AS p_retailprice,
+CASE WHEN p_type = 'ECONOMY' AND p_size > 25 THEN 'SALE' ELSE p_type END AS p_type, CASE WHEN p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'core' ELSE 'supplement' END AS tier FROM part""")
+def conditional_update(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_partkey", "p_retailprice", "p_type", "p_size", "p_brand")
+    where = (F.col("p_type") == "ECONOMY") & (F.col("p_size") > 25)
+    out = K.conditional_update(part, where, p_retailprice=F.round(F.col("p_retailprice") * 0.9, 4), p_type=F.lit("SALE"))
+    out = K.add_column(out, "tier", F.lit("supplement"))
+    out = K.conditional_update(out, F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3"), tier=F.lit("core"))
+    return out.select("p_partkey", "p_retailprice", "p_type", "tier")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
+def cascade_semi(spark: SparkSession, d: str) -> DataFrame:
+    left = table(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return K.delete_cascade(table(spark, d, "orders").select("o_orderkey", "o_custkey"), left, ["o_custkey"])
+
+
+@query("""SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.quality, o.quality) AS quality, coalesce(n.toxic, o.toxic) AS toxic
+FROM labels o FULL JOIN (SELECT doc_id, CAST(n_chars % 2 AS INTEGER) AS quality, CAST(NULL AS INTEGER) AS toxic FROM documents WHERE lang = 'en') n ON o.doc_id = n.doc_id""")
+def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    new = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    return K.upsert(table(spark, d, "labels").select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int")), new, ["doc_id"])
+
+
+@query("""SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.day, b.day) AS day FROM
+(SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click') a FULL JOIN
+(SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND a.day = b.day WHERE a.user_id IS NULL OR b.user_id IS NULL""")
+def toggle_symdiff(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_type")
+    return K.toggle(e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'"), ["user_id", "day"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_missing(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT p_name, p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part) WHERE r = 1")
+def distinct_first(spark: SparkSession, d: str) -> DataFrame:
+    return K.first_per_key(table(spark, d, "part").select("p_name", "p_partkey", "p_brand"), ["p_name"], "p_partkey")
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS c,
+min(CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END) OVER (PARTITION BY o_custkey) AS m FROM orders) WHERE c = m""")
+def fallback_union(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    p, q = F.col("o_orderstatus") == "P", F.col("o_orderstatus") == "O"
+    return K.first_non_empty(["o_custkey"], o.filter(p), o.filter(q), o.filter(~(p | q)))
+
+
+@query("""SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '3-MEDIUM' THEN 1 WHEN '5-LOW' THEN 2 ELSE 9 END,
+o_totalprice DESC, o_orderkey LIMIT 20""")
+def ranked_topn(spark: SparkSession, d: str) -> DataFrame:
+    rank = V.rank_of(F.col("o_orderpriority"), ["1-URGENT", "3-MEDIUM", "5-LOW"])
+    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy(rank, F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 6")
+def topk_recent(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(6)
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT user_id) AS users, max(ts) AS latest FROM events GROUP BY 1")
+def history_by_date(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.max("ts").alias("latest"))
+
+
+@query("SELECT user_id, min(ts) FILTER (value > 100) AS first_high, arg_min(value, ts) FILTER (event_type = 'error') AS first_error, count(*) AS n FROM events GROUP BY user_id")
+def first_nonnull(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id").agg(
+        F.min(F.when(F.col("value") > 100, F.col("ts"))).alias("first_high"),
+        F.min_by("value", F.when(F.col("event_type") == "error", F.col("ts"))).alias("first_error"),
+        F.count("*").alias("n"),
+    )
+
+
+# --- catalog --------------------------------------------------------------------------------------------------
+
+_CATALOG = """SELECT s_suppkey, s_name, n_name, r_name, lower(s_name) || '.example.com' AS host,
+CASE WHEN s_acctbal < 0 THEN 'blocked' WHEN s_acctbal < 3000 THEN 'high' WHEN s_acctbal < 6000 THEN 'medium' ELSE 'low' END AS risk
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    bal = F.col("s_acctbal")
+    risk = V.first_rule("low", (bal < 0, "blocked"), (bal < 3000, "high"), (bal < 6000, "medium"))
+    nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return joined.select("s_suppkey", "s_name", "n_name", "r_name", F.concat(F.lower("s_name"), F.lit(".example.com")).alias("host"), risk.alias("risk"))
+
+
+@query(f"SELECT s_suppkey, s_name, risk FROM ({_CATALOG}) WHERE risk IN ('low', 'medium') AND (contains(lower(s_name), '7') OR contains(host, '3')) AND n_name IS NOT NULL")
+def catalog_filter(spark: SparkSession, d: str) -> DataFrame:
+    text = F.lower("s_name").contains("7") | F.col("host").contains("3")
+    return _catalog(spark, d).filter(F.col("risk").isin("low", "medium") & text & F.col("n_name").isNotNull()).select("s_suppkey", "s_name", "risk")
+
+
+@query("""SELECT c_custkey, count(o_orderkey) AS n_children, coalesce(string_agg(o_orderpriority || ':' || o_orderkey, ',' ORDER BY o_orderpriority, o_orderkey), '') AS children
+FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
+def catalog_children(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders in order of priority as one column (bounded: one customer's orders)."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority", "o_orderkey")
+    joined = table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left")
+    items = F.array_sort(F.collect_list(F.when(F.col("o_orderkey").isNotNull(), F.struct("o_orderpriority", "o_orderkey"))))
+    text = F.transform(items, lambda x: F.concat(x["o_orderpriority"], F.lit(":"), x["o_orderkey"].cast("string")))
+    return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("n_children"), F.array_join(text, ",").alias("children"))
+
+
+@query("""SELECT n_nationkey, n_name, coalesce(worst >= 0, true) AS ok, coalesce(n, 0) AS suppliers, coalesce(r_regionkey < 3, false) AS enabled
+FROM nation LEFT JOIN (SELECT s_nationkey, min(s_acctbal) AS worst, count(*) AS n FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey
+LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 1""")
+def catalog_health(spark: SparkSession, d: str) -> DataFrame:
+    """Index, health and overrides: what no check has seen counts as well."""
+    health = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_acctbal").alias("worst"), F.count("*").alias("n"))
+    own = table(spark, d, "region").filter("r_regionkey <> 1").select(F.col("r_regionkey").alias("n_regionkey"), (F.col("r_regionkey") < 3).alias("on"))
+    joined = table(spark, d, "nation").join(health, "n_nationkey", "left").join(own, "n_regionkey", "left")
+    return joined.select(
+        "n_nationkey", "n_name", F.coalesce(F.col("worst") >= 0, F.lit(True)).alias("ok"), F.coalesce("n", F.lit(0)).alias("suppliers"), F.coalesce("on", F.lit(False)).alias("enabled")
+    )
+
+
+@query(f"""SELECT r_name, count(*) AS total, count(*) FILTER (risk = 'low') AS low, count(*) FILTER (risk = 'medium') AS medium, count(*) FILTER (risk = 'high') AS high,
+count(*) FILTER (risk = 'blocked') AS blocked FROM ({_CATALOG}) GROUP BY r_name""")
+def category_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _catalog(spark, d).groupBy("r_name").agg(F.count("*").alias("total"), *[F.count_if(F.col("risk") == r).alias(r) for r in ("low", "medium", "high", "blocked")])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def semi_verified(spark: SparkSession, d: str) -> DataFrame:
+    verified = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(verified, "o_orderkey", "left_semi")
+
+
+_HOST = r"lower(nullif(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1), ''))"
+
+
+@query(f"SELECT page_id FROM pages WHERE {_HOST} IN (SELECT {_HOST} FROM pages WHERE starts_with(url, 'https:'))")
+def host_semi(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose host is one that some https page has: a computed key on both sides."""
+    p = table(spark, d, "pages").select("page_id", "url", U.host_of(F.col("url")).alias("host"))
+    return p.join(p.filter(F.col("url").startswith("https:")).select("host"), "host", "left_semi").select("page_id")
+
+
+# --- health ---------------------------------------------------------------------------------------------------
+
+_LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1)"
+
+
+@query(f"SELECT user_id, count(*) AS checks, CASE WHEN bool_and(value < 50) THEN 'healthy' WHEN bool_or(value < 50) THEN 'degraded' ELSE 'unhealthy' END AS status FROM {_LATEST} GROUP BY user_id")
+def health_rollup(spark: SparkSession, d: str) -> DataFrame:
+    latest = K.latest_per_key(table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], "ts", "event_id")
+    return latest.groupBy("user_id").agg(F.count("*").alias("checks"), H.rollup(F.col("value") < 50).alias("status"))
+
+
+@query("""SELECT c_custkey, count(o_orderkey) AS checks, CASE WHEN count(o_orderkey) = 0 THEN 'disabled' WHEN bool_and(o_orderstatus <> 'F') THEN 'healthy'
+WHEN bool_or(o_orderstatus <> 'F') THEN 'degraded' ELSE 'unhealthy' END AS status FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
+def health_report(spark: SparkSession, d: str) -> DataFrame:
+    joined = table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus"), "c_custkey", "left")
+    return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("checks"), H.rollup(F.col("o_orderstatus") != "F", "disabled").alias("status"))
+
+
+@query("""SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: a * 0.7 + x * 0.3), 6) AS ewma, count(*) AS n FROM events GROUP BY user_id""")
+def ewma_latency(spark: SparkSession, d: str) -> DataFrame:
+    out = H.ewma(table(spark, d, "events").select("user_id", "value", "ts", "event_id"), "user_id", "value", ["ts", "event_id"])
+    return out.select("user_id", F.round("ewma", 6).alias("ewma"), "n")
+
+
+@query("""SELECT user_id, event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS failures
+FROM (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events)""")
+def failure_runs(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    return H.failure_runs(e, "user_id", F.col("event_type") == "error", ["ts", "event_id"]).select("user_id", "event_id", "failures")
+
+
+@query("""SELECT event_type, count(*) AS n, count(*) FILTER (age <= ttl) AS fresh FROM (SELECT event_type, date_diff('second', ts, max(ts) OVER ()) AS age,
+CASE event_type WHEN 'click' THEN 86400 WHEN 'view' THEN 172800 ELSE 604800 END AS ttl FROM events) GROUP BY event_type""")
+def ttl_freshness(spark: SparkSession, d: str) -> DataFrame:
+    """Entries still fresh at the time of the newest one; the newest time is one row, joined to all."""
+    e = table(spark, d, "events").select("event_type", "ts")
+    now = e.agg(F.max("ts").alias("now"))
+    ttl = F.when(F.col("event_type") == "click", 86400).when(F.col("event_type") == "view", 172800).otherwise(604800)
+    age = F.unix_seconds(F.date_trunc("second", F.col("now")).cast("timestamp")) - F.unix_seconds(F.date_trunc("second", F.col("ts")).cast("timestamp"))
+    return e.join(F.broadcast(now)).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(age <= ttl).alias("fresh"))
+
+
+@query("""SELECT user_id, count(*) FILTER (gap < 300) AS too_soon, count(*) AS n FROM (SELECT user_id,
+(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000.0 AS gap FROM events) GROUP BY user_id""")
+def throttle_gaps(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1e6
+    return e.select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.count_if(F.col("gap") < 300).alias("too_soon"), F.count("*").alias("n"))
+
+
+@query(f"SELECT user_id, count(*) FILTER (event_type IN ('view', 'click') AND value >= 50) = 2 AS fails_over FROM {_LATEST} GROUP BY user_id")
+def failover_flag(spark: SparkSession, d: str) -> DataFrame:
+    latest = K.latest_per_key(table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], "ts", "event_id")
+    failed = F.col("event_type").isin("view", "click") & (F.col("value") >= 50)
+    return latest.groupBy("user_id").agg((F.count_if(failed) == 2).alias("fails_over"))
+
+
+@query()
+def breaker_states(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    checks = e.select(F.col("user_id").alias("key"), "event_id", "ts", (F.col("event_type") == "error").alias("failed"), ((F.col("event_type") == "error") & (F.col("value") > 200)).alias("hard"))
+    return H.breaker_states(checks)
+
+
+@query("""SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn, CAST(row_number() OVER w - 1 AS BIGINT) AS ord FROM conversations
+WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def prev_next(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, d, "conversations").select(
+        "conv_id", "turn", F.lag("turn").over(w).alias("prev_turn"), F.lead("turn").over(w).alias("next_turn"), (F.row_number().over(w) - 1).cast("long").alias("ord")
+    )
+
+
+# --- text -----------------------------------------------------------------------------------------------------
+
+_NOISE = "[\\s\uff0c,\u3002.\uff01!\uff1f?\uff1a:\uff1b;\u3001\"''\uff08\uff09()\u300a\u300b\u3010\u3011\\[\\]{}\u2026\u2014\\-\u2013\u00b7\u30fb]+"
+
+
+@query(f"SELECT item_id, regexp_replace(lower(text), '{_NOISE}', '', 'g') AS title FROM benchmark")
+def normalize_title(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", X.normalize_title(F.col("text")).alias("title"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '/(\d+)', 1) AS number, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs FROM pages")
+def regex_capture(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"/(\d+)", 1).alias("number"), F.size(F.regexp_extract_all("html", F.lit("<p>"), 0)).cast("long").alias("paragraphs"))
+
+
+@query("SELECT p_partkey, split_part(p_name, ' ', 1) AS head, split_part(p_name, ' ', 2) AS tail, CASE WHEN length(p_name) > 8 THEN left(p_name, 8) || '…' ELSE p_name END AS short FROM part")
+def title_split(spark: SparkSession, d: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    short = F.when(F.length("p_name") > 8, F.concat(F.left("p_name", F.lit(8)), F.lit("…"))).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", F.get(words, F.lit(0)).alias("head"), F.coalesce(F.get(words, F.lit(1)), F.lit("")).alias("tail"), short.alias("short"))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(text, 'License') OR contains(text, 'Licensed') THEN 'completed' WHEN contains(text, '###') OR contains(text, '!!') THEN 'hiatus' ELSE 'ongoing' END AS status,
+CASE WHEN contains(text, '完结') OR contains(text, '完結') OR contains(text, 'completed') THEN 'completed' WHEN contains(text, '停更') OR contains(text, '休刊') THEN 'hiatus' ELSE 'ongoing' END AS plain
+FROM documents""")
+def status_classify(spark: SparkSession, d: str) -> DataFrame:
+    signs = [("completed", ["License", "Licensed"]), ("hiatus", ["###", "!!"])]
+    return table(spark, d, "documents").select("doc_id", X.status_of(F.col("text"), signs).alias("status"), X.status_of(F.col("text")).alias("plain"))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(b, 'baidu.com') OR contains(b, '百度一下') THEN 'redirect'
+WHEN contains(b, '验证码') OR contains(b, 'captcha') OR contains(b, '请证明') OR contains(b, '人机验证') THEN 'captcha'
+WHEN contains(b, 'Just a moment') OR contains(b, 'cf-browser-verify') OR contains(b, '_cf_chl_opt') OR contains(b, '请求过于频繁') OR contains(b, 'rate limit') OR contains(b, '访问过于频繁')
+THEN 'blocked_pattern' END AS trigger FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN 'captcha' WHEN 1 THEN ' rate limit' WHEN 2 THEN '验证码 baidu.com' ELSE '' END AS b FROM documents)""")
+def block_pattern(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies with signs appended by number, as the test texts have none."""
+    k = F.col("doc_id") % 5
+    body = F.concat("text", F.when(k == 0, "captcha").when(k == 1, " rate limit").when(k == 2, "验证码 baidu.com").otherwise(""))
+    return table(spark, d, "documents").select("doc_id", X.block_pattern(body).alias("trigger"))
+
+
+@query("""SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(text, '[\\r\\n]', '', 'g'), '[^\\x00-\\x7F]', '', 'g'), ' '), '') AS value FROM documents""")
+def header_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.header_value(F.col("text")).alias("value"))
+
+
+@query("""SELECT o_orderkey, 200 + o_orderkey % 400 AS code, CASE WHEN c = 403 THEN 'HTTP_403' WHEN c = 404 THEN 'HTTP_404' WHEN c = 429 THEN 'HTTP_429' WHEN c >= 500 THEN 'HTTP_5XX'
+WHEN c >= 400 THEN 'HTTP_OTHER' END AS error FROM (SELECT o_orderkey, 200 + o_orderkey % 400 AS c FROM orders)""")
+def status_code_class(spark: SparkSession, d: str) -> DataFrame:
+    code = F.lit(200) + F.col("o_orderkey") % 400
+    return table(spark, d, "orders").select("o_orderkey", code.alias("code"), X.http_class(code).alias("error"))
+
+
+@query("""SELECT doc_id, CASE WHEN lang = 'fr' THEN 'INVALID_CONTENT_TYPE' WHEN text IS NULL OR length(text) < 100 THEN 'EMPTY_HTML' ELSE 'OK' END AS gate FROM documents""")
+def body_gate(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("lang") == "fr", "image/png").when(F.col("lang") == "de", "text/plain; charset=utf-8")
+    return table(spark, d, "documents").select("doc_id", X.body_gate(kind, F.col("text")).alias("gate"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_brand || ' , ' || p_type || ',,' || p_name, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM part""")
+def tags_split(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat("p_brand", F.lit(" , "), "p_type", F.lit(",,"), "p_name")
+    return table(spark, d, "part").select("p_partkey", F.array_join(X.tags_of(raw), "|").alias("tags"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing'), '') AS missing FROM events")
+def json_extract(spark: SparkSession, d: str) -> DataFrame:
+    parsed = F.from_json("props", "k bigint")
+    return table(spark, d, "events").select("event_id", parsed["k"].alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("")).alias("missing"))
+
+
+@query("""SELECT doc_id, coalesce(CASE WHEN s IS NOT NULL THEN nullif(s, '') ELSE r END, 'none') AS chosen FROM
+(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN source END AS s, lang AS r FROM documents)""")
+def coalesce_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A field that is there but blank hides the raw field behind it."""
+    s = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("source"))
+    chosen = F.when(s.isNotNull(), V.present(s)).otherwise(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(chosen, F.lit("none")).alias("chosen"))
+
+
+# --- URLs -----------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT page_id, {_HOST} AS host, nullif(regexp_extract(url, '^(https?://[^/]+)', 1), '') AS origin, regexp_replace(split_part(url, '#', 1), '/+$', '') AS clean FROM pages")
+def url_normalize(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", U.host_of(u).alias("host"), U.origin_of(u).alias("origin"), U.clean_host(u).alias("clean"))
+
+
+@query(r"""SELECT page_id, kind, CASE WHEN link = '' THEN '' WHEN regexp_matches(link, '^https?://') THEN link WHEN starts_with(link, '//') THEN CASE WHEN starts_with(base, 'https') THEN 'https:' ELSE 'http:' END || link
+WHEN starts_with(link, '/') THEN coalesce(nullif(regexp_extract(base, '^(https?://[^/]+)', 1), ''), base) || link ELSE regexp_extract(base, '^(.*/)', 1) || link END AS full_url
+FROM (SELECT page_id, k.kind, k.link, regexp_replace(split_part(url, '#', 1), '/+$', '') AS base FROM pages, (VALUES (0, '//c.com/a'), (1, '/a'), (2, 'x/1'), (3, ''), (4, 'https://z.org/q')) k(kind, link))""")
+def url_resolve(spark: SparkSession, d: str) -> DataFrame:
+    links = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(x).alias("link")) for i, x in enumerate(["//c.com/a", "/a", "x/1", "", "https://z.org/q"])])
+    p = table(spark, d, "pages").select("page_id", U.clean_host(F.col("url")).alias("base"), F.inline(links))
+    return p.select("page_id", "kind", U.resolve(F.col("link"), F.col("base")).alias("full_url"))
+
+
+_TEMPLATES = ["/s?q={{keyword}}", "/s/{keyword}/1", "/s", "/s?x=1", "https://api.test/find?w=searchKey", "list/%s"]
+_TEMPLATE_SQL = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_TEMPLATES))
+
+
+@query(f"""SELECT s_suppkey, CASE WHEN regexp_matches(u, '^https?://') THEN u WHEN starts_with(u, '/') THEN 'https://' || lower(replace(s_name, '#', '-')) || u
+ELSE 'https://' || lower(replace(s_name, '#', '-')) || '/' || u END AS url FROM (SELECT s_suppkey, s_name,
+CASE WHEN contains(t, '{{{{keyword}}}}') THEN replace(t, '{{{{keyword}}}}', 'a%20b(c)') WHEN contains(t, '{{keyword}}') THEN replace(t, '{{keyword}}', 'a%20b(c)')
+WHEN contains(t, 'searchKey') THEN replace(t, 'searchKey', 'a%20b(c)') WHEN contains(t, '%s') THEN replace(t, '%s', 'a%20b(c)')
+WHEN contains(t, '?') THEN t || '&keyword=a%20b(c)' ELSE t || '?keyword=a%20b(c)' END AS u
+FROM supplier JOIN (VALUES {_TEMPLATE_SQL}) x(i, t) ON s_suppkey % 6 = x.i)""")
+def url_templates(spark: SparkSession, d: str) -> DataFrame:
+    t = F.get(F.array(*map(F.lit, _TEMPLATES)), (F.col("s_suppkey") % 6).cast("int"))
+    host = F.lower(F.replace("s_name", F.lit("#"), F.lit("-")))
+    return table(spark, d, "supplier").select("s_suppkey", U.full_url(U.apply_keyword(t, F.lit("a b(c)")), host).alias("url"))
+
+
+_PREFIXES = ["", "ftp://x/", "http://127.0.0.1/", "http://10.1.2.3/", "https://172.20.0.1/", "http://192.168.0.9/", "http://localhost/", "javascript:alert(1)//"]
+_PREFIX_SQL = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_PREFIXES))
+
+
+@query(rf"""SELECT page_id, url, coalesce(regexp_matches(url, '(?i)^https?://') AND {_HOST} IS NOT NULL AND NOT regexp_matches({_HOST},
+'^(127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+|192\.168\.\d+\.\d+|0\.0\.0\.0$|localhost$)'), false) AS safe
+FROM (SELECT page_id, x.p || url AS url FROM pages JOIN (VALUES {_PREFIX_SQL}) x(i, p) ON page_id % 8 = x.i)""")
+def url_safety(spark: SparkSession, d: str) -> DataFrame:
+    prefix = F.get(F.array(*map(F.lit, _PREFIXES)), (F.col("page_id") % 8).cast("int"))
+    p = table(spark, d, "pages").select("page_id", F.concat(prefix, "url").alias("url"))
+    return p.select("page_id", "url", U.is_safe(F.col("url")).alias("safe"))
+
+
+@query(f"""SELECT page_id, unnest(CASE WHEN starts_with(h, 'cn.') THEN [h, 'www.' || h[4:], 'm.' || h[4:]] ELSE [h] END) AS host
+FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'cn.' || {_HOST} ELSE {_HOST} END AS h FROM pages)""")
+def failover_hosts(spark: SparkSession, d: str) -> DataFrame:
+    host = U.host_of(F.col("url"))
+    host = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("cn."), host)).otherwise(host)
+    return table(spark, d, "pages").select("page_id", F.explode(U.failover_hosts(host)).alias("host"))
+
+
+# --- extraction -----------------------------------------------------------------------------------------------
+
+
+def _plain(sql: str) -> str:
+    return f"""trim(replace(replace(replace(replace({sql}, '&amp;', chr(1)), '&amp', chr(1)), '&quot;', '"'), chr(1), '&'))"""
+
+
+@query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages")
+def page_title(spark: SparkSession, d: str) -> DataFrame:
+    """Titles as they stand in the markup, JVM-side."""
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"))
+
+
+@query("""SELECT page_id, CAST(i - 1 AS BIGINT) AS ord, regexp_extract(m[i], 'href="([^"]*)"', 1) AS href, regexp_extract(m[i], '>([^<]*)$', 1) AS label FROM
+(SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*') AS m FROM pages))""")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit('<a href="[^"]*">[^<]*'), 0)
+    rows = table(spark, d, "pages").select("page_id", F.posexplode(found).alias("ord", "m"))
+    return rows.select("page_id", F.col("ord").cast("long").alias("ord"), F.regexp_extract("m", 'href="([^"]*)"', 1).alias("href"), F.regexp_extract("m", ">([^<]*)$", 1).alias("label"))
+
+
+@query(f"""SELECT page_id, {_plain("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+{_plain("regexp_extract(html, '<nav><ul><li><a href=" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + "', 1)")} AS first_link,
+{_plain("regexp_extract(html, '<div class=" + chr(34) + "ad" + chr(34) + ">([^<]*)</div>', 1)")} AS ad FROM pages""")
+def page_fields_by_rule(spark: SparkSession, d: str) -> DataFrame:
+    rules = {"title": "class.none@text||tag.article@tag.h1@text", "lang": "tag.html@lang", "first_link": "tag.nav@tag.a.0@href", "ad": "class.ad@text"}
+    return page_fields(table(spark, d, "pages"), "page_id", "html", rules)
+
+
+@query(f"""SELECT page_id, CAST(i - 1 AS BIGINT) AS ord, {_plain("regexp_extract(m[i], 'href=" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + "', 1)")} AS url,
+{_plain("regexp_extract(m[i], '>([^<]*)$', 1)")} AS title FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM
+(SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="[^"]*">[^<]*') AS m FROM pages))""")
+def page_rows_by_rule(spark: SparkSession, d: str) -> DataFrame:
+    return page_rows(table(spark, d, "pages"), "page_id", "html", "nav li", {"url": "tag.a@href", "title": "tag.a@text"})
+
+
+@query(f"""SELECT page_id, CASE WHEN NOT starts_with(url, 'https:') THEN 'source-load' WHEN contains(url, '?') AND NOT contains(url, 'page=') THEN 'search-rule' WHEN length(html) < 1500 THEN 'fetch'
+WHEN NOT contains(html, '<h1>') THEN 'selector' WHEN NOT contains(lower(html), 'ing') THEN 'parse' END AS failed_at FROM pages""")
+def diagnose_stage(spark: SparkSession, d: str) -> DataFrame:
+    """The first step at which a page fails the ladder of checks."""
+    u, h = F.col("url"), F.col("html")
+    stage = V.first_rule(
+        None,
+        (~u.startswith("https:"), "source-load"),
+        (u.contains("?") & ~u.contains("page="), "search-rule"),
+        (F.length(h) < 1500, "fetch"),
+        (~h.contains("<h1>"), "selector"),
+        (~F.lower(h).contains("ing"), "parse"),
+    )
+    return table(spark, d, "pages").select("page_id", stage.alias("failed_at"))
+
+
+# --- similarity -----------------------------------------------------------------------------------------------
+
+_TITLES = f"(SELECT DISTINCT regexp_replace(lower(p_name), '{_NOISE}', '', 'g') AS t FROM part)"
+_SIMILAR = """(a.t = b.t OR contains(a.t, b.t) OR contains(b.t, a.t)
+OR len(list_intersect(list_distinct(string_split(a.t, '')), list_distinct(string_split(b.t, '')))) >= 0.75 * len(list_distinct(list_concat(string_split(a.t, ''), string_split(b.t, ''))))
+OR len(list_filter(range(1, least(length(a.t), length(b.t)) - CAST(ceil(0.75 * least(length(a.t), length(b.t))) AS BIGINT) + 2),
+lambda i: contains(CASE WHEN length(a.t) <= length(b.t) THEN b.t ELSE a.t END, substring(CASE WHEN length(a.t) <= length(b.t) THEN a.t ELSE b.t END, i, CAST(ceil(0.75 * least(length(a.t), length(b.t))) AS BIGINT))))) > 0)"""
+
+
+@query(f"SELECT a.t AS a, b.t AS b FROM {_TITLES} a JOIN {_TITLES} b ON a.t < b.t WHERE {_SIMILAR}")
+def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return S.similar_pairs(S.normalized(table(spark, d, "part"), "p_name"))
+
+
+@query()
+def title_clusters(spark: SparkSession, d: str) -> DataFrame:
+    titles = S.normalized(table(spark, d, "part"), "p_name").select("t", F.col("p_partkey").alias("ord"))
+    return S.leader_clusters(titles, folder(spark))
+
+
+@query("""WITH r AS (SELECT p_name AS cluster, p_size AS weight, p_brand AS source, p_brand AS name, p_partkey AS ord, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS cover,
+CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_type END AS author FROM part), t AS (SELECT *, max(weight) OVER (PARTITION BY cluster) AS w FROM r),
+b AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS ties, row_number() OVER (PARTITION BY cluster ORDER BY cover = '', ord) AS p FROM t WHERE weight = w) WHERE p = 1),
+o AS (SELECT t.cluster, count(*) FILTER (t.source <> b.source) AS others, arg_min(t.cover, t.ord) FILTER (t.cover <> '') AS c, arg_min(t.author, t.ord) FILTER (t.author <> '') AS a
+FROM t JOIN b ON t.cluster = b.cluster GROUP BY t.cluster)
+SELECT b.cluster, b.weight, b.source, CASE WHEN ties = 1 AND others > 0 THEN b.name || ' +' || others ELSE b.name END AS name, b.ord,
+CASE WHEN ties = 1 AND b.cover = '' THEN o.c ELSE b.cover END AS cover, CASE WHEN ties = 1 AND coalesce(b.author, '') = '' THEN o.a ELSE b.author END AS author
+FROM b JOIN o ON b.cluster = o.cluster""")
+def cluster_representative(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(
+        F.col("p_name").alias("cluster"),
+        F.col("p_size").alias("weight"),
+        F.col("p_brand").alias("source"),
+        F.col("p_brand").alias("name"),
+        F.col("p_partkey").alias("ord"),
+        F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_type")).alias("cover"),
+        F.when(F.col("p_partkey") % 4 != 0, F.col("p_type")).alias("author"),
+    )
+    return S.representatives(rows, "cluster", "weight", "source", "name", "ord", ["cover", "author"], "cover")
