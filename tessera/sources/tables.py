@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
-RULE_SCHEMA = T.StructType.fromDDL(
+RULE_SCHEMA = (
     "id STRING, name STRING, host STRING, language STRING, weight INT, enabledByDefault BOOLEAN, mode STRING, version STRING, riskLevel STRING, "
     "search STRUCT<path: STRING, item: STRING, title: STRING, url: STRING, cover: STRING, latest: STRING, status: STRING, updateTime: STRING>, "
     "detail STRUCT<title: STRING, cover: STRING, author: STRING, description: STRING, status: STRING, latestChapter: STRING>, "
     "chapters STRUCT<list: STRING, title: STRING, url: STRING>, images STRUCT<list: STRING, srcAttr: STRING>"
 )
-SOURCE_SCHEMA = T.StructType.fromDDL(
+SOURCE_SCHEMA = (
     "id STRING, name STRING, host STRING, enabled BOOLEAN, language STRING, weight INT, tags ARRAY<STRING>, mode STRING, "
     "search STRUCT<url: STRING, method: STRING, keywordParam: STRING, responseType: STRING, listSelector: STRING, titleSelector: STRING, coverSelector: STRING, "
     "detailUrlSelector: STRING, latestChapterSelector: STRING, statusSelector: STRING, updateTimeSelector: STRING>, headers MAP<STRING, STRING>, timeoutMs INT"
 )
-INDEX_SCHEMA = T.StructType.fromDDL(
+INDEX_SCHEMA = (
     "version STRING, updatedAt STRING, count INT, sources ARRAY<STRUCT<id: STRING, name: STRING, language: STRING, host: STRING, version: STRING, riskLevel: STRING, "
     "enabledByDefault: BOOLEAN, url: STRING, status: STRING, failureCount: INT>>"
 )
@@ -26,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents of one file or folder; fields that don't fit are null."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
@@ -41,7 +40,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def read_first(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+def read_first(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """The documents of the first location that exists; none, no rows."""
     for path in paths:
         if exists(spark, path):
