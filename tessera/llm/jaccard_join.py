@@ -209,25 +209,24 @@ def _shared(n_a: str, n_b: str) -> str:
 
 
 def _matrix_pairs(tokens: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of sets in different groups that the token-group matrix can't exclude."""
-    rows = tokens.join(sets.select("fp", "n"), "fp").join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-    rows = common.store(rows.withColumn("g", F.coalesce("component", "fp")).drop("component"), "prefix-rows")
-    mixed = rows.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("token")
+    """Pairs of sets in different components that the token-group matrix can't exclude.
+
+    Groups are the sets of one component and one size, so that the bound is exact for every member.
+    """
+    rows = tokens.join(sets.select("fp", "n"), "fp").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
+    rows = common.store(rows.select("token", "fp", "n", "c", F.xxhash64("c", "n").alias("g")), "prefix-rows")
+    mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
     rows = common.store(rows.join(mixed, "token"), "mixed-rows")
-    size = rows.groupBy("g").agg(F.countDistinct("fp").alias("size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    matrix = rows.select("token", "g").distinct().join(size, "g")
-    queries = rows.join(size.select("g", "size"), "g").select("token", "fp", "n", F.col("g").alias("g_q"), F.col("size").alias("size_q"))
+    size = rows.groupBy("g").agg(F.countDistinct("fp").alias("size"))
+    matrix = rows.select("token", "g", F.col("c").alias("c_g"), F.col("n").alias("n_g")).distinct().join(size, "g")
+    queries = rows.join(size, "g").select("token", "fp", "n", "c", F.col("g").alias("g_q"), F.col("size").alias("size_q"))
     # the smaller group's members ask the larger group
-    asked = queries.join(matrix, "token").filter("g_q <> g and (size_q < size or (size_q = size and g_q < g))")
-    seen = asked.groupBy("fp", "g").agg(F.count("*").alias("seen"), *[F.first(c).alias(c) for c in ("n", "n_min", "n_max")])
-    # sizes of members that can link at all; the bound is least at one of the ends, but for rounding
-    seen = seen.withColumn("least_n", F.expr("greatest(n_min, (3 * n + 3) div 4)")).withColumn("most_n", F.expr("least(n_max, (4 * n) div 3)"))
-    need = F.expr(f"greatest(1, least({_shared('n', 'least_n')}, {_shared('n', 'most_n')}) - 2)")
-    opened = common.store(seen.filter((F.col("least_n") <= F.col("most_n")) & (F.col("seen") >= need)).select("fp", "g"), "opened")
-    members = rows.select("token", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("g").alias("g_b"))
-    asking = rows.join(opened.withColumnRenamed("g", "g_b"), "fp").select("token", F.col("fp").alias("a"), F.col("n").alias("n_a"), "g_b")
-    pairs = asking.join(members, ["token", "g_b"]).filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("seen"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    asked = queries.join(matrix, "token").filter("c <> c_g and 4 * least(n, n_g) >= 3 * greatest(n, n_g) and (size_q < size or (size_q = size and g_q < g))")
+    seen = asked.groupBy("fp", "g").agg(F.count("*").alias("seen"), F.first("n").alias("n"), F.first("n_g").alias("n_g"))
+    opened = common.store(seen.filter(F.expr(f"seen >= {_shared('n', 'n_g')}")).select("fp", "g"), "opened")
+    members = rows.select("token", F.col("fp").alias("b"), F.col("n").alias("n_b"), "g")
+    asking = rows.drop("g").join(opened, "fp").select("token", F.col("fp").alias("a"), F.col("n").alias("n_a"), "g")
+    pairs = asking.join(members, ["token", "g"]).groupBy("a", "b").agg(F.count("*").alias("seen"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     return pairs.filter(F.expr(f"seen >= {_shared('n_a', 'n_b')}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
