@@ -3,7 +3,7 @@
 The histogram has at most one entry for each length up to the sequence size, whatever the number of rows, so the plan is
 made on the driver from it alone. Lengths are grouped to units; multiplicative weights solve the covering program whose
 columns are whole sequences (configurations), each found by a knapsack dynamic program under the current weights. The
-solution is rounded down, so that every configuration holds real pieces, and what the rounding leaves over, with all short
+solution is rounded so that every configuration holds real pieces, and what the rounding leaves over, with all short
 pieces, is placed best-fit into the gaps. The plan says which ranks of a length go where; executors look ranks up in it.
 """
 
@@ -24,7 +24,8 @@ SIZE = 4096
 UNIT = 16
 #: Pieces of fewer tokens are kept out of the program: they fill the gaps.
 SHORT = 256
-ROUNDS = 1500
+#: Most rounds of the program, the share of a demand that one round meets at most, and how fast weights fall with it.
+ROUNDS, STEP, SHARP = 3000, 0.1, 10.0
 ROWS_PER_PART = 1_000_000
 
 
@@ -55,30 +56,27 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
     """Whole configurations with multiplicities that use no size more often than demanded.
 
     Multiplicative weights: a size's weight falls exponentially with the share of its demand that is met; each round adds
-    a step of the dearest configuration. Scaled so that no share exceeds one, then rounded down.
+    a step of the dearest configuration, until all demand is met. Scaled so that no share exceeds one, then rounded to whole
+    sequences as far as the demand allows.
     """
     if not len(sizes):
         return []
     met, taken = np.zeros(len(sizes)), {}
-    step, sharp = 1.0 / rounds, 40.0
     for _ in range(rounds):
-        weight = sizes / room * np.exp(-sharp * (met - met.min()))
+        weight = sizes / room * np.exp(-SHARP * (met - met.min()))
         a = _knapsack(sizes, weight, room)
         use = a > 0
-        if not use.any():
-            break
-        x = 8 * step * (demand[use] / a[use]).min()
+        x = STEP * (demand[use] / a[use]).min()
         met[use] += x * a[use] / demand[use]
         key = a.tobytes()
         taken[key] = taken.get(key, 0.0) + x
         if met.min() >= 1:
             break
-    out, left = [], demand.copy()
-    scale = max(1.0, float(np.quantile(met, 0.9)))
+    out, left, scale = [], demand.copy(), max(1.0, float(met.max()))
     for key, x in sorted(taken.items(), key=lambda kv: -kv[1]):
         a = np.frombuffer(key, dtype=np.int64)
         use = a > 0
-        m = min(int(x / scale), int((left[use] // a[use]).min()))
+        m = min(int(np.ceil(x / scale)), int((left[use] // a[use]).min()))
         if m > 0:
             left -= m * a
             out.append((a, m))
