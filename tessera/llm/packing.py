@@ -3,8 +3,8 @@
 The histogram has at most one entry for each length up to the sequence size, whatever the number of rows, so the plan is
 made on the driver from it alone. Lengths are grouped to units; multiplicative weights solve the covering program whose
 columns are whole sequences (configurations), each found by a knapsack dynamic program under the current weights. The
-solution is rounded so that every configuration holds real pieces, and what the rounding leaves over, with all short
-pieces, is placed best-fit into the gaps. The plan says which ranks of a length go where; executors look ranks up in it.
+solution is rounded so that every configuration holds real pieces; the last place of each, known by its class only, and what the
+rounding leaves over, with all short pieces, are then filled by best fit on exact lengths. The plan says which ranks of a length go where; executors look ranks up in it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from . import common, tokens
 SIZE = 4096
 UNIT = 16
 #: Pieces of fewer tokens are kept out of the program: they fill the gaps.
-SHORT = 256
+SHORT = 512
 #: Most rounds of the program, the share of a demand that one round meets at most, and how fast weights fall with it.
 ROUNDS, STEP, SHARP = 3000, 0.1, 10.0
 ROWS_PER_PART = 1_000_000
@@ -142,9 +142,12 @@ def plan(histogram: dict[int, int], size: int = SIZE, unit: int = UNIT, short: i
     for a, m in configurations(sizes, demand, size // unit, rounds):
         runs = [(0, made.n, m)]  # (tokens in it, first, count): split wherever a length of the class runs out
         made.n += m
-        for j in np.flatnonzero(a)[::-1]:
+        # the smallest piece is left to the exact fit below: of all pieces left, the one that closes the gap best
+        kinds = np.flatnonzero(a)
+        open_slot = kinds[0] if a.sum() > 1 else -1
+        for j in kinds[::-1]:
             lengths = by_class[int(sizes[j])]
-            for _ in range(a[j]):
+            for _ in range(a[j] - (j == open_slot)):
                 new = []
                 for used, first, count in runs:
                     while count:
