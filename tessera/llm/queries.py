@@ -56,9 +56,9 @@ def op6_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring_dedup import repeated_passages
+    from .substring_dedup import repeated_stretches
 
-    return repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return repeated_stretches(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

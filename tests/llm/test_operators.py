@@ -360,6 +360,8 @@ def test_passages(spark, odd, empty):
     assert (got[101, 100].first_word, got[101, 100].end_word, got[101, 100].similarity) == (20, 90, 1.0)
     assert got[102, 100].end_word - got[102, 100].first_word == 70 and got[102, 100].similarity >= 0.75
     assert {a for a, _ in got} == {6, 7, 11, 12, 101, 102}
+    whole = {(x.doc_id, x.first_word): x for x in substring_dedup.repeated_stretches(df).collect()}
+    assert whole[101, 20].kept_doc_ids == [100] and whole[12, 60].kept_doc_ids == [5] and {a for a, _ in whole} == {a for a, _ in got}
     cut = {x.doc_id: x.text for x in substring_dedup.without_repeats(df).collect()}
     assert cut[100] == extra[0][1] and cut[103] == extra[3][1] and cut[104] == extra[4][1] and cut[102] == "" and cut[1] is None
     assert cut[101] == " ".join(extra[1][1].split()[:20]) + " " + extra[1][1].split("\n")[1]
