@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -38,7 +40,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*stored: DataFrame) -> None:
+    """Delete tables of store() that nothing reads any more."""
+    for df in stored:
+        remove(df.sparkSession, df._stored_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -138,6 +148,12 @@ def to_long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, and several share an executor."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def size_checked(df: DataFrame, most_rows: int) -> tuple[DataFrame, bool]:
     """The frame, as a broadcast only if its row count is within the bound; and whether it is."""
     small = df.limit(most_rows + 1).count() <= most_rows
@@ -176,11 +192,11 @@ def key_filter(keys: DataFrame, n_bits: int) -> np.ndarray:
     others while it isn't full: to thin rows out before an exact join."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(n_bits, dtype=bool)
+        bits = np.zeros(n_bits // 8, dtype=np.uint8)
         for batch in batches:
             for at in _filter_places(batch.column(0).to_numpy(), n_bits):
-                bits[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["t"])
+                np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["t"])
 
     made = reduce_tables(keys.mapInArrow(mark, "t binary"), "uint8", "union", parts=4)
     return made if made is not None else np.zeros(n_bits // 8, dtype=np.uint8)

@@ -11,7 +11,7 @@ MOST_ROUNDS = 60
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, component) for every end of edges(a, b); a component is named by its smallest node.
+    """(node, component) for every end of edges(a, b), as a stored table; a component is named by its smallest node.
 
     Each round reads the edges written by the one before. Loops and repeated edges are harmless; no edges, no rows.
     """
@@ -25,7 +25,8 @@ def connected(edges: DataFrame) -> DataFrame:
         # small star: a node and its neighbours below it move to the least of those
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        e = common.store(small.select("x.a", "x.b").filter("a <> b").distinct(), "edges")
+        last, e = e, common.store(small.select("x.a", "x.b").filter("a <> b").distinct(), "edges")
+        common.drop(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -33,4 +34,6 @@ def connected(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    named = common.store(nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct(), "components")
+    common.drop(e)
+    return named

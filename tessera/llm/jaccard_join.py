@@ -22,7 +22,7 @@ from .tokens import text_runs
 
 WIDTH = 5
 PERCENT = 75
-BANDS, BAND_ROWS = 6, 2
+BANDS, BAND_ROWS = 8, 2
 #: Cells of the table of token counts that orders tokens by rarity, and bits of the filter before the fetch of sets.
 CELLS, FILTER_BITS = 1 << 16, 1 << 24
 #: Bits of the map of each set that bounds a pair's overlap before the sets are fetched.
@@ -135,7 +135,9 @@ def _sets(bits_of, width: int):
             for a, b in text_runs(batch.column("text")):
                 s = [shingle_set(t, width) for t in batch.column("text").slice(a, b - a).to_pylist()]
                 fp = pa.array([_fingerprint(x) for x in s], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), fp, pa.array([x.tobytes() for x in s], pa.binary())], names=["rep", "fp", "s"])
+                ends = np.cumsum([0, *map(len, s)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(common.to_long(np.concatenate(s)) if s else np.empty(0, dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), fp, lists], names=["rep", "fp", "s"])
 
     return run
 
@@ -147,26 +149,15 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(common.key_filter(wanted.select("rep"), FILTER_BITS))
-    made = docs.select("doc_id", "text").mapInArrow(_sets(bits, width), "rep long, fp long, s binary")
+    made = docs.select("doc_id", "text").mapInArrow(_sets(bits, width), "rep long, fp long, s array<long>")
     return made.join(wanted.select("fp", "rep"), ["fp", "rep"]).select("fp", "s").dropDuplicates(["fp"])
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-            z = np.concatenate([x, y])
-            z.sort(kind="stable")
-            both = int((z[1:] == z[:-1]).sum())
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
     joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("s_b")), "b")
-    return joined.select("a", "b", "s_a", "s_b").mapInArrow(_overlaps, "a long, b long")
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    return joined.withColumn("both", both).filter(100 * F.col("both") >= PERCENT * (F.size("s_a") + F.size("s_b") - F.col("both"))).select("a", "b")
 
 
 def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,19 +173,34 @@ def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return p.filter((100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _star_pairs(sets: DataFrame) -> DataFrame:
-    """Each set with the head of every min-hash band bucket it is in: as many pairs as bucket entries, never all pairs.
-
-    The head is the set whose buckets are the fullest: near copies resemble the text they were made from more than each other.
-    """
+def _band_rows(sets: DataFrame) -> DataFrame:
+    """(band, key, fp, c) for the min-hash band buckets that hold several sets; c is how many."""
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col("mins")[b * BAND_ROWS + r] for r in range(BAND_ROWS)]).alias("key")) for b in range(BANDS)])
     rows = sets.select("fp", F.explode(keys).alias("k")).select("fp", "k.band", "k.key")
     full = rows.groupBy("band", "key").agg(F.count("*").alias("c")).filter("c > 1")
-    rows = common.store(rows.join(full, ["band", "key"]), "band-rows")
-    middle = rows.groupBy("fp").agg(F.sum("c").alias("score"))
-    heads = rows.join(middle, "fp").groupBy("band", "key").agg(F.max_by("fp", F.struct("score", "fp")).alias("head"))
-    pairs = rows.join(heads, ["band", "key"]).filter("fp <> head")
-    return pairs.select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct()
+    return common.store(rows.join(full, ["band", "key"]), "band-rows")
+
+
+def _star_pairs(bands: DataFrame, score: DataFrame) -> DataFrame:
+    """Each set with the head of every bucket it is in, the one of the highest score: as many pairs as bucket entries."""
+    scored = bands.join(score, "fp", "left")
+    heads = scored.groupBy("band", "key").agg(F.max_by("fp", F.struct(F.coalesce("score", F.lit(0)), F.xxhash64("fp", "band", "key"))).alias("head"))
+    pairs = bands.join(heads, ["band", "key"]).filter("fp <> head")
+    return common.store(pairs.select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct(), "star-pairs")
+
+
+def _star_links(sets: DataFrame, content: DataFrame) -> DataFrame:
+    """Verified links between similar sets, never all pairs of a bucket. Near copies resemble the text they were made from more
+    than each other: heads are first the sets with the fullest buckets, then those that most links lead to."""
+    bands = _band_rows(sets)
+    first = _star_pairs(bands, bands.groupBy("fp").agg(F.sum("c").alias("score")))
+    links = common.store(verified(_possible(first, sets), content), "star-links")
+    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("score"))
+    second = _star_pairs(bands, degree)
+    more = common.store(verified(_possible(second.join(first, ["a", "b"], "left_anti"), sets), content), "star-links")
+    every = common.store(links.unionByName(more), "star-links")
+    common.drop(bands, first, links, second, more)
+    return every
 
 
 def _behind(n: str) -> str:
@@ -214,9 +220,10 @@ def _matrix_pairs(tokens: DataFrame, sets: DataFrame, groups: DataFrame) -> Data
     Groups are the sets of one component and one size, so that the bound is exact for every member.
     """
     rows = tokens.join(sets.select("fp", "n"), "fp").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
-    rows = common.store(rows.select("token", "fp", "n", "c", F.xxhash64("c", "n").alias("g")), "prefix-rows")
-    mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
-    rows = common.store(rows.join(mixed, "token"), "mixed-rows")
+    every = common.store(rows.select("token", "fp", "n", "c", F.xxhash64("c", "n").alias("g")), "prefix-rows")
+    mixed = every.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
+    rows = common.store(every.join(mixed, "token"), "mixed-rows")
+    common.drop(every)
     size = rows.groupBy("g").agg(F.countDistinct("fp").alias("size"))
     matrix = rows.select("token", "g", F.col("c").alias("c_g"), F.col("n").alias("n_g")).distinct().join(size, "g")
     queries = rows.join(size, "g").select("token", "fp", "n", "c", F.col("g").alias("g_q"), F.col("size").alias("size_q"))
@@ -227,7 +234,10 @@ def _matrix_pairs(tokens: DataFrame, sets: DataFrame, groups: DataFrame) -> Data
     members = rows.select("token", F.col("fp").alias("b"), F.col("n").alias("n_b"), "g")
     asking = rows.drop("g").join(opened, "fp").select("token", F.col("fp").alias("a"), F.col("n").alias("n_a"), "g")
     pairs = asking.join(members, ["token", "g"]).groupBy("a", "b").agg(F.count("*").alias("seen"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    return pairs.filter(F.expr(f"seen >= {_shared('n_a', 'n_b')}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.filter(F.expr(f"seen >= {_shared('n_a', 'n_b')}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = common.store(pairs, "matrix-pairs")
+    common.drop(rows, opened)
+    return pairs
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HEAVY) -> DataFrame:
@@ -243,15 +253,17 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HE
     rows = profile.filter("counts is null").select("doc_id", "n", "fp", "mins", "bits")
     sets = common.store(rows.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("mins").alias("mins"), F.first("bits").alias("bits")), "sets")
     counts = common.reduce_tables(profile.filter("counts is not null").select("counts"), "int64", "sum")
-    tokens = common.store(shared_prefix_tokens(docs, counts if counts is not None else np.zeros(CELLS, dtype=np.int64), width, heavy_rows), "prefix-tokens")
+    shared = common.store(shared_prefix_tokens(docs, counts if counts is not None else np.zeros(CELLS, dtype=np.int64), width, heavy_rows), "prefix-tokens")
     # a linked set has at least 0.75 n tokens, so it shares extra(0.75 n) prefix tokens at least: other texts aren't needed again
-    wanted = tokens.groupBy("fp").agg(F.count("*").alias("c")).join(sets, "fp").filter("rep is not null and c >= 1 + ((3 * n + 3) div 4) div 20").drop("c")
+    wanted = shared.groupBy("fp").agg(F.count("*").alias("c")).join(sets, "fp").filter("rep is not null and c >= 1 + ((3 * n + 3) div 4) div 20").drop("c")
     wanted = common.store(wanted, "wanted-sets")
-    tokens = tokens.join(wanted.select("fp"), "fp", "left_semi")
+    tokens = shared.join(wanted.select("fp"), "fp", "left_semi")
     content = common.store(fetch_sets(docs, wanted, width), "set-content")
-    stars = common.store(verified(_possible(_star_pairs(wanted), wanted), content), "star-links")
-    groups = connected(stars)
-    rest = common.store(verified(_possible(_matrix_pairs(tokens, wanted, groups), wanted), content), "matrix-links")
+    links = _star_links(wanted, content)
+    groups = connected(links)
+    pairs = _matrix_pairs(tokens, wanted, groups)
+    rest = common.store(verified(_possible(pairs, wanted), content), "matrix-links")
+    common.drop(shared, wanted, content, links, pairs)
     between = rest.join(groups.select(F.col("node").alias("a"), F.col("component").alias("g_a")), "a", "left").join(
         groups.select(F.col("node").alias("b"), F.col("component").alias("g_b")), "b", "left"
     )
@@ -266,6 +278,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HE
         .select("fp", "rep", F.coalesce("component", "g").alias("g"))
     )
     named = of_set.join(of_set.groupBy("g").agg(F.min("rep").alias("component_id")), "g").select("fp", "component_id")
-    return rows.join(named, "fp", "left").select(
+    found = rows.join(named, "fp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+    found = common.store(found, "jaccard-components")
+    common.drop(profile, sets, groups, rest, merged)
+    return found

@@ -96,4 +96,6 @@ def payload_digest(docs: DataFrame) -> DataFrame:
     """Store the texts as a media column in the shared folder, read it back and describe each image and its payload."""
     stored = common.store(payload_images(docs), "media")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.mapInArrow(_digest, schema)
+    found = common.store(stored.mapInArrow(_digest, schema), "media-digest")
+    common.drop(stored)
+    return found

@@ -14,10 +14,10 @@ import unicodedata
 import numpy as np
 import regex
 
-from .common import Places, mix
+from .common import Places, give_back, mix
 
 #: Pieces a worker remembers; beyond that it keeps the half it used most (bounded memory; results don't depend on it).
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 OTHER, LETTER, NUMBER, SPACE, END = range(5)
 _ENCODERS: dict[str, PieceEncoder] = {}
 _KINDS: list[np.ndarray] = []
@@ -196,6 +196,7 @@ def text_runs(texts, most_bytes: int = 2_000_000):
         held += int(n)
     if first < len(sizes):
         yield first, len(sizes)
+    give_back()
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
