@@ -553,3 +553,134 @@ def cluster_representative(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("p_partkey") % 4 != 0, F.col("p_type")).alias("author"),
     )
     return S.representatives(rows, "cluster", "weight", "source", "name", "ord", ["cover", "author"], "cover")
+
+
+# --- reader state, paging and JSON ----------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey, c_name, o_orderkey AS last_order, o_orderdate AS last_date FROM customer LEFT JOIN
+(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1) ON c_custkey = o_custkey""")
+def favorites_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Favorites with the progress saved for them, if any."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
+    last = K.latest_per_key(o, ["c_custkey"], "o_orderdate", "o_orderkey")
+    return table(spark, d, "customer").join(last, "c_custkey", "left").select("c_custkey", "c_name", F.col("o_orderkey").alias("last_order"), F.col("o_orderdate").alias("last_date"))
+
+
+@query("""SELECT coalesce(n.n_nationkey, o.n_nationkey) AS n_nationkey, coalesce(n.status, o.status) AS status FROM (SELECT n_nationkey, 'old' AS status FROM nation) o
+FULL JOIN (SELECT s_nationkey AS n_nationkey, CASE WHEN avg(s_acctbal) > 4500 THEN 'healthy' ELSE 'degraded' END AS status FROM supplier GROUP BY 1) n ON o.n_nationkey = n.n_nationkey""")
+def report_refresh(spark: SparkSession, d: str) -> DataFrame:
+    old = table(spark, d, "nation").select("n_nationkey", F.lit("old").alias("status"))
+    status = F.when(F.avg("s_acctbal") > 4500, "healthy").otherwise("degraded")
+    new = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(status.alias("status"))
+    return K.upsert(old, new, ["n_nationkey"])
+
+
+@query("""SELECT s_nationkey, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY r DESC) AS q FROM
+(SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier WHERE s_acctbal > 0) WHERE r <= 2) WHERE q = 1""")
+def next_domain(spark: SparkSession, d: str) -> DataFrame:
+    """The domain to fail over to: the second active one, or the first if it is alone."""
+    order = [F.desc("s_acctbal"), F.col("s_suppkey")]
+    two = K.top_per_key(table(spark, d, "supplier").filter("s_acctbal > 0").select("s_nationkey", "s_suppkey", "s_acctbal"), ["s_nationkey"], order, 2)
+    return two.groupBy("s_nationkey").agg(F.max_by("s_suppkey", F.struct(-F.col("s_acctbal"), "s_suppkey")).alias("s_suppkey"))
+
+
+@query("""SELECT conv_id, min(ord) FILTER (role = 'assistant') AS first_answer, count(*) AS turns, CAST(ceil(count(*) / 5.0) AS BIGINT) AS batches, least(count(*), 2 + 6) AS visible FROM
+(SELECT conv_id, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS ord FROM conversations) GROUP BY conv_id""")
+def list_paging(spark: SparkSession, d: str) -> DataFrame:
+    """Where an item stands in its ordered list, the batches of five, and what is shown after one more page of six."""
+    ord_ = (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long")
+    rows = table(spark, d, "conversations").select("conv_id", "role", ord_.alias("ord"))
+    n = F.count("*")
+    return rows.groupBy("conv_id").agg(
+        F.min(F.when(F.col("role") == "assistant", F.col("ord"))).alias("first_answer"), n.alias("turns"), F.ceil(n / 5).alias("batches"), F.least(n, F.lit(8).cast("long")).alias("visible")
+    )
+
+
+@query("""SELECT user_id, hour, event_id, value FROM (SELECT user_id, date_trunc('hour', ts) AS hour, event_id, value,
+row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def debounced_writes(spark: SparkSession, d: str) -> DataFrame:
+    """The last write of each interval."""
+    e = table(spark, d, "events").select("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_id", "value", "ts")
+    return K.latest_per_key(e, ["user_id", "hour"], "ts", "event_id").select("user_id", "hour", "event_id", "value")
+
+
+@query("""SELECT user_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1
+ORDER BY ts DESC, user_id, event_type LIMIT 100""")
+def cache_eviction(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of at most a hundred entries, oldest writes dropped."""
+    latest = K.latest_per_key(table(spark, d, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts", "event_id")
+    return latest.orderBy(F.desc("ts"), "user_id", "event_type").limit(100).select("user_id", "event_type", "ts")
+
+
+@query("""SELECT user_id, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed,
+arg_max(props, ts) FILTER (event_type = 'error') AS last_error, max(ts) FILTER (event_type <> 'error') AS last_success FROM events GROUP BY user_id""")
+def error_tally(spark: SparkSession, d: str) -> DataFrame:
+    bad = F.col("event_type") == "error"
+    return table(spark, d, "events").groupBy("user_id").agg(
+        F.count_if(~bad).alias("succeeded"),
+        F.count_if(bad).alias("failed"),
+        F.max_by("props", F.when(bad, F.col("ts"))).alias("last_error"),
+        F.max(F.when(~bad, F.col("ts"))).alias("last_success"),
+    )
+
+
+@query("SELECT p_brand, p_partkey, p_size FROM (SELECT *, max(p_size) OVER (PARTITION BY p_brand) AS m FROM part) WHERE p_size = m")
+def heaviest_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All rows that attain the greatest weight of their group."""
+    part = table(spark, d, "part").select("p_brand", "p_partkey", "p_size")
+    return part.join(part.groupBy("p_brand").agg(F.max("p_size").alias("p_size")), ["p_brand", "p_size"])
+
+
+@query("""SELECT s_suppkey, i AS ord, CASE i WHEN 0 THEN s_name ELSE '/n/' || s_nationkey END AS title FROM supplier, (VALUES (0), (1)) v(i)""")
+def json_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON answer located by path, one row an item; texts that are no JSON give no rows."""
+    item = F.array(F.struct(F.col("s_name").alias("title")), F.struct(F.concat(F.lit("/n/"), F.col("s_nationkey").cast("string")).alias("title")))
+    answers = table(spark, d, "supplier").select("s_suppkey", F.to_json(F.struct(F.struct(item.alias("list")).alias("data"))).alias("body"))
+    answers = answers.unionByName(table(spark, d, "supplier").select("s_suppkey", F.lit("<html>").alias("body")))
+    found = F.from_json(F.get_json_object("body", "$.data.list"), "array<struct<title: string>>")
+    rows = answers.filter(F.col("body").rlike(r"^\s*[\{\[]")).select("s_suppkey", F.posexplode(found).alias("ord", "x"))
+    return rows.select("s_suppkey", "ord", "x.title")
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(b, '^\s*[\{\[]') THEN 'json' ELSE 'html' END AS kind FROM
+(SELECT page_id, CASE page_id % 3 WHEN 0 THEN '  {"a":1}' WHEN 1 THEN '[1]' ELSE html END AS b FROM pages)""")
+def content_sniff(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id") % 3
+    body = F.when(k == 0, '  {"a":1}').when(k == 1, "[1]").otherwise(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.when(body.rlike(r"^\s*[\{\[]"), "json").otherwise("html").alias("kind"))
+
+
+@query("""SELECT page_id, kind, CASE WHEN link = '' THEN '' WHEN starts_with(link, 'http') THEN link WHEN starts_with(link, '//') THEN 'https:' || link
+WHEN starts_with(link, '/') THEN base || link ELSE base || '/' || link END AS full_url FROM
+(SELECT page_id, k.kind, k.link, regexp_replace(url, '/$', '') AS base FROM pages, (VALUES (0, '//c.com/a'), (1, '/a'), (2, 'x/1'), (3, ''), (4, 'https://z.org/q')) k(kind, link))""")
+def url_resolve_plain(spark: SparkSession, d: str) -> DataFrame:
+    links = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(x).alias("link")) for i, x in enumerate(["//c.com/a", "/a", "x/1", "", "https://z.org/q"])])
+    p = table(spark, d, "pages").select("page_id", "url", F.inline(links))
+    return p.select("page_id", "kind", U.resolve_plain(F.col("link"), F.col("url")).alias("full_url"))
+
+
+@query("""SELECT p_partkey FROM part WHERE contains(lower(p_name), 'bolt') OR contains(lower(p_brand), '#1') OR len(list_filter(string_split(lower(p_type || ',' || p_name), ','), lambda t: contains(t, 'eco'))) > 0""")
+def tag_filter(spark: SparkSession, d: str) -> DataFrame:
+    """A text in the name, the host or any tag."""
+    tags = X.tags_of(F.lower(F.concat("p_type", F.lit(","), "p_name")))
+    hit = F.lower("p_name").contains("bolt") | F.lower("p_brand").contains("#1") | F.exists(tags, lambda t: F.contains(t, F.lit("eco")))
+    return table(spark, d, "part").filter(hit).select("p_partkey")
+
+
+@query("""SELECT s_suppkey, tier FROM (SELECT s_suppkey, CASE WHEN s_acctbal > 6000 THEN 'core' WHEN s_acctbal > 0 THEN 'supplement' ELSE 'disabled' END AS tier FROM supplier)
+ORDER BY CASE tier WHEN 'core' THEN 0 WHEN 'supplement' THEN 1 WHEN 'disabled' THEN 2 ELSE 9 END, s_suppkey LIMIT 10""")
+def search_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten sources of a search, by tier; ten is the search's own default."""
+    tier = V.first_rule("disabled", (F.col("s_acctbal") > 6000, "core"), (F.col("s_acctbal") > 0, "supplement"))
+    rows = table(spark, d, "supplier").select("s_suppkey", tier.alias("tier"))
+    return rows.orderBy(V.rank_of(F.col("tier"), ["core", "supplement", "disabled"]), "s_suppkey").limit(10)
+
+
+@query("""SELECT doc_id, lang, quality, CASE WHEN quality IS NULL THEN 'unchecked' WHEN toxic = 1 THEN 'blocked' WHEN quality = 1 THEN 'ok' ELSE 'degraded' END AS state
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def catalog_state(spark: SparkSession, d: str) -> DataFrame:
+    """Index rows with their check, and a state for those that none has."""
+    joined = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
+    state = V.first_rule("degraded", (F.col("quality").isNull(), "unchecked"), (F.col("toxic") == 1, "blocked"), (F.col("quality") == 1, "ok"))
+    return joined.select("doc_id", "lang", "quality", state.alias("state"))
