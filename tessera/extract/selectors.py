@@ -1,7 +1,7 @@
 """A small selector language for fields of HTML pages, used inside a UDTF-like scan: a page is parsed once for all fields.
 
 `tag.x`, `class.x y`, `id.x` or CSS (names, #id, .class, [attr], [attr=v], descendants, > and commas) as steps joined by @;
-`.N` picks a match, from the end if negative; `@name` at the end takes text, html, ownText or an attribute. `||` tries
+`&` is the element itself, `.N` picks a match, from the end if negative; `@name` at the end takes text, html, ownText or an attribute. `||` tries
 alternatives, `&&` joins values, `##` deletes what its patterns match.
 """
 
@@ -13,6 +13,9 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions.urls import clean_host, resolve
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -161,7 +164,7 @@ class Selector:
             steps.append(text)
             break
         try:
-            return [_step(s) for s in steps if s], value
+            return [_step(s) for s in steps if s and s != "&"], value
         except ValueError:
             return None
 
@@ -235,3 +238,20 @@ def page_rows(pages: DataFrame, key: str, html: str, item: str, rules: dict[str,
 
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, ord long, " + ", ".join(f"{f} string" for f in rules)
     return pages.select(key, html).mapInArrow(run, schema)
+
+
+#: Fields of a rule's `search` part and the columns of a result row.
+RESULT_FIELDS = {"title": "title", "url": "detail_url", "cover": "cover", "latest": "latest_chapter", "status": "status", "updateTime": "update_time"}
+
+
+def search_rows(pages: DataFrame, key: str, html: str, rule: dict) -> DataFrame:
+    """Result rows that a source's rule document finds on its pages: links are made absolute, missing fields are null, rows
+    without a title go, a weight that isn't given is 100."""
+    search = rule["search"]
+    fields = {f: search.get(f) or "class.none" for f in RESULT_FIELDS}
+    rows = page_rows(pages, key, html, search["item"], fields)
+    host = clean_host(F.lit(rule["host"]))
+    value = {f: F.nullif(f, F.lit("")) for f in RESULT_FIELDS} | {"url": resolve(F.col("url"), host), "cover": F.nullif(resolve(F.col("cover"), host), F.lit(""))}
+    columns = [value[f].alias(c) for f, c in RESULT_FIELDS.items()]
+    weight = rule.get("weight")
+    return rows.filter("title <> ''").select(key, "ord", F.lit(rule["id"]).alias("source_id"), *columns, F.lit(100 if weight is None else weight).alias("weight"))

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.extract.selectors import Selector, page_rows, parse
+from tessera.extract.selectors import Selector, page_rows, parse, search_rows
 from tessera.functions import text, urls, values
 from tessera.operators import health, keyed, similarity
 
@@ -49,6 +49,15 @@ def test_page_rows(spark):
     assert [tuple(r) for r in rows] == [(1, 0, "/x/1"), (1, 1, "/x/2")]
 
 
+def test_search_rows(spark):
+    page = '<ul><li class="c"><a href="/x/1">One</a><img data-src="//i.com/1.png"></li><li class="c"><a href="/x/2"></a></li></ul><meta property="og:title" content="Og">'
+    rule = {"id": "s1", "host": "https://h.com/#note", "search": {"item": "li.c", "title": "tag.a@text", "url": "tag.a@href", "cover": "img@src||img@data-src"}}
+    rows = search_rows(spark.createDataFrame([(1, page)], "id long, html string"), "id", "html", rule).collect()
+    assert [(r.ord, r.title, r.detail_url, r.cover, r.status, r.weight) for r in rows] == [(0, "One", "https://h.com/x/1", "https://i.com/1.png", None, 100)]
+    assert Selector("meta[property=og:title]@content").value(parse(page)) == "Og"
+    assert Selector("li@&@class").value(parse(page)) == "" and Selector("class.c@class").value(parse(page)) == "c"
+
+
 @pytest.mark.parametrize(
     ("link", "base", "want"),
     [("//c.com/a", "https://h.com", "https://c.com/a"), ("/a", "https://h.com", "https://h.com/a"), ("x/1", "https://h.com", "https://x/1"), ("x", "https://h.com/m", "https://h.com/x"), ("", "https://h.com", "")],
