@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -150,10 +151,18 @@ def to_long(x: np.ndarray) -> np.ndarray:
 
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on between tasks, and several share an executor."""
+    gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def clean(spark: SparkSession) -> None:
+    """Let Spark delete shuffles of frames that are gone: it does so only when the driver collects its garbage, which an operator of
+    many jobs would otherwise pile up."""
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 def size_checked(df: DataFrame, most_rows: int) -> tuple[DataFrame, bool]:
     """The frame, as a broadcast only if its row count is within the bound; and whether it is."""
     small = df.limit(most_rows + 1).count() <= most_rows
@@ -187,9 +196,10 @@ def _filter_places(keys: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarra
     return (h & most).astype(np.int64), ((h >> U64(32)) & most).astype(np.int64)
 
 
-def key_filter(keys: DataFrame, n_bits: int) -> np.ndarray:
-    """A filter of n_bits (a power of two, whatever the number of keys) over a column of longs. It lets every key pass, and few
+def key_filter(keys: DataFrame, most_bits: int) -> np.ndarray:
+    """A filter over a column of longs, of sixteen bits a key and at most most_bits (a power of two). It lets every key pass, and few
     others while it isn't full: to thin rows out before an exact join."""
+    n_bits = min(most_bits, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(n_bits // 8, dtype=np.uint8)
@@ -199,6 +209,7 @@ def key_filter(keys: DataFrame, n_bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["t"])
 
     made = reduce_tables(keys.mapInArrow(mark, "t binary"), "uint8", "union", parts=4)
+    give_back()
     return made if made is not None else np.zeros(n_bits // 8, dtype=np.uint8)
 
 

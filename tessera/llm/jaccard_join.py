@@ -23,7 +23,7 @@ from .tokens import text_runs
 WIDTH = 5
 PERCENT = 75
 BANDS, BAND_ROWS = 8, 2
-#: Cells of the table of token counts that orders tokens by rarity, and bits of the filter before the fetch of sets.
+#: Cells of the table of token counts that orders tokens by rarity, and most bits of the filter before the fetch of sets.
 CELLS, FILTER_BITS = 1 << 16, 1 << 24
 #: Bits of the map of each set that bounds a pair's overlap before the sets are fetched.
 BITMAP = 512
@@ -145,7 +145,7 @@ def _sets(bits_of, width: int):
 def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(fp, s) of the sets wanted(fp, rep), made anew from the representatives' texts.
 
-    A filter of fixed size drops most other documents before hashing; the join behind it is exact.
+    A filter of bounded size drops most other documents before hashing; the join behind it is exact.
     """
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(common.key_filter(wanted.select("rep"), FILTER_BITS))
@@ -245,8 +245,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HE
 
     Two documents link when 100 * |intersection| >= 75 * |union| of their shingle sets; component_id is the smallest doc_id
     that links reach. Null and empty texts and texts of white space have no shingles and stand alone; a text shorter than a
-    shingle is one shingle; repeated rows and equal texts link. A row without a doc_id links with equal texts only. An empty table gives no rows; other columns are ignored.
-    Sets are known by 64-bit hashes of shingles and of whole sets.
+    shingle is one shingle; repeated rows and equal texts link. A row without a doc_id links with equal texts only. An empty
+    table gives no rows; other columns are ignored. Sets are known by 64-bit hashes of shingles and of whole sets.
     """
     docs = docs.select("doc_id", "text")
     profile = common.store(docs.mapInArrow(_profile(width), "doc_id long, n long, fp long, mins array<long>, bits array<long>, counts binary"), "profiles")
@@ -259,11 +259,14 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HE
     wanted = common.store(wanted, "wanted-sets")
     tokens = shared.join(wanted.select("fp"), "fp", "left_semi")
     content = common.store(fetch_sets(docs, wanted, width), "set-content")
+    common.clean(docs.sparkSession)
     links = _star_links(wanted, content)
+    common.clean(docs.sparkSession)
     groups = connected(links)
     pairs = _matrix_pairs(tokens, wanted, groups)
     rest = common.store(verified(_possible(pairs, wanted), content), "matrix-links")
     common.drop(shared, wanted, content, links, pairs)
+    common.clean(docs.sparkSession)
     between = rest.join(groups.select(F.col("node").alias("a"), F.col("component").alias("g_a")), "a", "left").join(
         groups.select(F.col("node").alias("b"), F.col("component").alias("g_b")), "b", "left"
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Places
+from .common import Places, give_back
 from .tokens import text_runs
 
 ORDER = 4
@@ -127,11 +127,12 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     if not per:
         return None
     share = docs.sparkSession.createDataFrame(per, "lang string, share double")
-    chosen = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    chosen = known.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     counted = chosen.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "lang", "code").limit(TREE_STRINGS).toArrow()
     if not rows.num_rows:
         return None
+    give_back()
     langs = sorted(set(rows.column("lang").to_pylist()))
     at = np.searchsorted(np.array(langs, dtype=object), np.array(rows.column("lang").to_pylist(), dtype=object))
     return Model(langs, rows.column("code").to_numpy().view(_U), at.astype(np.int64), rows.column("n").to_numpy())
