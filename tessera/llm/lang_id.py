@@ -126,8 +126,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     per = [(r["lang"], min(1.0, train_docs / r["count"])) for r in known.groupBy("lang").count().collect()]
     if not per:
         return None
-    share = docs.sparkSession.createDataFrame(per, "lang string, share double")
-    chosen = known.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    share = F.create_map(*[F.lit(x) for pair in per for x in pair])[F.col("lang")]  # a literal: texts that aren't chosen never move
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     counted = chosen.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "lang", "code").limit(TREE_STRINGS).toArrow()
     if not rows.num_rows:
