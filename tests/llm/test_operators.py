@@ -388,6 +388,39 @@ def test_no_exact_passage_is_missed(spark):
                 assert found[i].issuperset(range(p, p + 50))
 
 
+@pytest.mark.parametrize("edit", ["insertion", "deletion", "substitution"])
+def test_near_passages_are_found(edit):
+    r = np.random.default_rng(4)
+
+    def words(n):
+        return r.integers(0, 1 << 62, n).astype(np.uint64)
+
+    met = 0
+    for k in range(300):
+        p, at = words(60 if k % 2 else 50), int(r.integers(5, 44))
+        q = {"insertion": np.insert(p, at, words(1)), "deletion": np.delete(p, at), "substitution": np.concatenate([p[:at], words(1), p[at + 1 :]])}[edit]
+        if len(q) < 50:
+            q = np.concatenate([q, tail := words(1)])
+            p = np.concatenate([p, tail])
+        x, y = np.concatenate([words(60), p, words(60)]), np.concatenate([words(35), q, words(80)])
+        (found,) = substring_dedup.passages(x, y)
+        assert found[:4] == (60, 60 + len(p), 35, 35 + len(q)) and found[4] >= 0.75
+        met += len(np.intersect1d(substring_dedup.signatures(x)[1], substring_dedup.signatures(y)[1])) > 0
+    assert met >= 0.98 * 300  # the recall that HASHES is set for
+
+
+def test_wide_gaps_and_repeated_lines(monkeypatch):
+    r = np.random.default_rng(6)
+    a, b, gap, line = (r.integers(0, 1 << 62, n).astype(np.uint64) for n in (49, 49, 13, 7))
+    ((s, e, t, u, similarity),) = substring_dedup.passages(np.concatenate([a, gap, b]), np.concatenate([a, b]))
+    assert (s, e, t, u, round(similarity, 3)) == (0, 111, 0, 98, round(90 / 111, 3))
+    x, y = np.concatenate([np.tile(line, 40), a, b]), np.concatenate([a, b, np.tile(line, 30)])
+    want = [c.tolist() for c in substring_dedup.equal_runs(x, y)]
+    monkeypatch.setattr(substring_dedup, "PAIRS_AT_ONCE", 100)
+    assert want == [c.tolist() for c in substring_dedup.equal_runs(x, y)]
+    assert all((x[s:e] == y[s - d : e - d]).all() for s, e, d in zip(*want, strict=True))
+
+
 # --- 8 media ----------------------------------------------------------------------------------------------------
 
 
