@@ -388,6 +388,17 @@ def test_no_exact_passage_is_missed(spark):
                 assert found[i].issuperset(range(p, p + 50))
 
 
+def test_passages_behind_a_common_first_document(spark):
+    r = random.Random(5)
+    rows, most = [], 40
+    for k in range(most):
+        lines = [" ".join(f"w{r.randrange(10**6)}" for _ in range(25)) for _ in range(2)]
+        rows += [(1000 * j + k, prose(r, 30) + f" a{k} " + lines[j % 2] + f" b{k} " + prose(r, 30)) for j in range(6)]
+        rows += [(10_000 + 100 * k + j, prose(r, 40) + f" c{k}{j} " + " ".join(lines) + f" d{k}{j} " + prose(r, 20)) for j in range(3)]
+    got = {(x.doc_id, x.first_word, x.end_word) for x in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(10_000 + 100 * k + j, 41, 91) for k in range(most) for j in (1, 2)}
+
+
 @pytest.mark.parametrize("edit", ["insertion", "deletion", "substitution"])
 def test_near_passages_are_found(edit):
     r = np.random.default_rng(4)
