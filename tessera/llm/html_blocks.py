@@ -10,7 +10,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 # Names of HTML elements and of the parts that pages commonly mark.
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "select", "math", "title", "option", "xmp", "noembed"}
+RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "select", "math", "title", "xmp", "noembed"}
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rb", "rp", "rt", "ruby",
@@ -25,6 +26,12 @@ BOILERPLATE_NAMES = (
     "comment comments reply replies respond disqus toolbar pagination pager copyright legal disclaimer search skip masthead topbar teaser trending popular tags"
 ).split()
 CONTENT_NAMES = "article content post entry story body main text".split()
+#: Names of parts that may well outweigh the text they belong to.
+LONG_NAMES = set("comment comments reply replies respond disqus".split())
+#: A marked element is the page's wrapper if it holds more than the first share of its text and leaves at most the second unmarked.
+WRAPPER, LEFT_OUT = 0.5, 0.1
+#: Least evidence of the containers that leaves no doubt.
+SURE = 3.0
 _NAMES = {n: 6.0 for n in BOILERPLATE_NAMES} | {n: -2.0 for n in CONTENT_NAMES}
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SENTENCE = re.compile(r"[.!?…。！？][\"')\]]*(?:\s|$)")
@@ -40,31 +47,63 @@ class Block:
     link_chars: int
 
 
-def _evidence(tag: str, attributes: str, in_article: bool) -> tuple[float, bool]:
-    """What a container says of its content, and whether it hides it."""
+def _evidence(tag: str, attributes: str, in_article: bool) -> tuple[float, float, bool]:
+    """What a container says of its content, how much of it doesn't hold for a wrapper of the whole page, and whether it hides it."""
+    wide = BOILERPLATE_TAGS[tag] if tag in ("form", "fieldset") else 0.0
     mark = BOILERPLATE_TAGS.get(tag, 0.0) - CONTENT_TAGS.get(tag, 0.0)
     if tag == "header" and not in_article:
         mark += 5.0
-    hidden = False
+    hidden = tag == "option"
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
             if name in ("class", "id", "role"):
-                found = [_NAMES[w] for w in map(str.lower, _SPLIT.split(value)) if w in _NAMES]
-                if found:
+                words = [w for w in map(str.lower, _SPLIT.split(value)) if w in _NAMES]
+                found = [_NAMES[w] for w in words]
+                if found and tag not in ("html", "body"):
                     mark += max(found) if max(found) > 0 else min(found)
+                    if max(found) > 0 and LONG_NAMES.isdisjoint(words):
+                        wide += max(found)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                 hidden = True
-    return mark, hidden
+    return mark, wide, hidden
+
+
+def _marks(blocks: list[Block], at: list[int], elements: list[tuple[int, float, float]]) -> None:
+    """Sets the marks of blocks that stand in the elements `at`: evidence summed from the top; wrappers of the page lose theirs."""
+    held = [0] * len(elements)
+    for block, k in zip(blocks, at, strict=True):
+        held[k] += len(block.text)
+    for k in range(len(elements) - 1, 0, -1):
+        held[elements[k][0]] += held[k]
+    large = [n > WRAPPER * held[0] for n in held]
+    mark = [0.0] * len(elements)
+    for k in range(1, len(elements)):
+        parent, own, wide = elements[k]
+        mark[k] = mark[parent] + own - wide * large[k]
+    plain = [0] * len(elements)
+    for block, k in zip(blocks, at, strict=True):
+        if mark[k] < SURE:
+            plain[k] += len(block.text)
+    for k in range(len(elements) - 1, 0, -1):
+        plain[elements[k][0]] += plain[k]
+    for k in range(1, len(elements)):
+        parent, own, wide = elements[k]
+        mark[k] = mark[parent] + own - wide * (large[k] and plain[0] - plain[k] <= LEFT_OUT * held[0])
+    for block, k in zip(blocks, at, strict=True):
+        block.mark = mark[k]
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks in page order; character references are decoded and white space is one space."""
     out: list[Block] = []
-    # open elements: (name, container number, evidence summed from the top, hidden)
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    # open elements: (name, container number, place in elements, hidden)
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+    # elements that say something of their content: (place of the next one outside, evidence, part of it that a wrapper loses)
+    elements: list[tuple[int, float, float]] = [(0, 0.0, 0.0)]
+    places: list[int] = []
     held, links, link_depth, n_containers, article = [], 0, 0, 0, 0
-    at, skip = 0, None
+    at, closed = 0, dict.fromkeys(RAW, True)
 
     def flush() -> None:
         nonlocal links
@@ -72,16 +111,19 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                name, container, mark, hidden = next((s for s in reversed(stack) if s[0] not in INLINE), stack[0])
+                name, container, place, hidden = next((s for s in reversed(stack) if s[0] not in INLINE), stack[0])
                 if not hidden:
-                    out.append(Block(text, name, stack[-2][1] if len(stack) > 1 and name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td") else container, len(stack), mark, links))
+                    out.append(Block(text, name, stack[-2][1] if len(stack) > 1 and name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td") else container, len(stack), 0.0, links))
+                    places.append(place)
         links = 0
 
-    for m in _TOKEN.finditer(page):
-        if skip:  # inside raw text only its own end tag counts
-            if m.group(2) and m.group(1) and m.group(2).lower() == skip:
-                skip, at = None, m.end()
-            continue
+    def opened(mark: float, wide: float) -> int:
+        if not mark and not wide:
+            return stack[-1][2]
+        elements.append((stack[-1][2], mark, wide))
+        return len(elements) - 1
+
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             held.append(piece)
@@ -115,17 +157,22 @@ def blocks_of(page: str) -> list[Block]:
             held.append(" ")
             continue
         if name in RAW:
-            if name not in ("svg", "math", "canvas", "object", "select") or f"</{name}" in page[at:].lower():
-                skip = name if not m.group(3).endswith("/") else None
+            if not m.group(3).endswith("/"):  # only its own end tag ends raw text
+                end = _RAW_END[name].search(page, at) if closed[name] else None
+                closed[name] = end is not None
+                if end:
+                    at = end.end()
+                elif name not in ("svg", "math", "canvas", "object", "select"):
+                    at = len(page)
             continue
         if name in INLINE:
             if name not in VOID:
                 if name == "a":
                     link_depth += 1
-                mark, hidden = _evidence(name, m.group(3), True) if m.group(3) and name != "a" else (0.0, False)
+                mark, wide, hidden = _evidence(name, m.group(3), True) if m.group(3) and name != "a" else (0.0, 0.0, False)
                 if mark or hidden:
                     flush()
-                stack.append((name, stack[-1][1], stack[-1][2] + mark, stack[-1][3] or hidden))
+                stack.append((name, stack[-1][1], opened(mark, wide), stack[-1][3] or hidden))
             continue
         flush()
         if name in VOID:
@@ -143,14 +190,17 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
         if name not in CLOSED_BY and name[0] != "h" and stack[-1][0] == "p":
             stack.pop()
-        mark, hidden = _evidence(name, m.group(3), article > 0)
+        if name != "option" and stack[-1][0] == "option":
+            stack.pop()
+        mark, wide, hidden = _evidence(name, m.group(3), article > 0)
         article += name == "article"
         n_containers += 1
-        stack.append((name, n_containers, stack[-1][2] + mark, stack[-1][3] or hidden))
+        stack.append((name, n_containers, opened(mark, wide), stack[-1][3] or hidden))
         link_depth = 0
-    if not skip and at < len(page):
+    if at < len(page):
         held.append(page[at:])
     flush()
+    _marks(out, places, elements)
     return out
 
 

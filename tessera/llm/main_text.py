@@ -18,14 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_blocks import FEATURES, Block, blocks_of, features_of
+from .html_blocks import FEATURES, SURE, Block, blocks_of, features_of
 from .min_cut import minimum_cut
 from .tokens import text_runs
 
 #: About so many pages, chosen by a hash of page_id, give the labelled blocks.
 TRAIN_PAGES = 2000
-#: Least evidence of the containers for a block to be a training label.
-SURE = 3.0
 #: Log odds of content used where a sample has no blocks of both kinds, in the order of features_of().
 PLAIN = np.array([-1.0, 1.0, -2.0, -2.0, 0.8, 0.7, 0.3, -0.5])
 NEXT, SAME, NEAR = 0.6, 1.0, 0.5

@@ -307,6 +307,21 @@ def test_blocks_of_deep_markup():
     assert html_blocks.blocks_of("<div>" * 3000 + "deep" + "</div>" * 3000)[0].text == "deep"
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        ("<body class='right-sidebar'>", "</body>"), ("<html class='cookies-not-set'><body>", "</body></html>"), ("<body><form id=aspnetForm>", "</form></body>"), ("<body><form><div class='page has-sidebar'>", "</div></form></body>"),
+        ("<body><datalist><option>red<option>green</datalist>", "</body>"), ("<body><script>x='<!--'; y=\"</p>\"</script>", "</body>"),
+    ],
+)
+def test_wrappers_of_the_page_are_not_boilerplate(wrap):
+    good = [f"Paragraph {k} tells of hills and rivers. It was long ago, and nobody knows the whole story." for k in range(5)]
+    page = "<nav><a href=/>Home</a></nav><div class=side><p>Try our other pages, too.</p></div>" + "".join(f"<p>{g}</p>" for g in good) + "<form><label>Mail</label><button>Send</button></form>"
+    page += "<div class=comments>" + "<p>I loved this story a lot. It made me happy for days.</p>" * 30 + "</div>"
+    blocks = html_blocks.blocks_of(wrap[0] + page + wrap[1])
+    assert [b.text for b, ok in zip(blocks, main_text.label(blocks, main_text.PLAIN), strict=True) if ok] == good
+
+
 # --- 5 sharding -------------------------------------------------------------------------------------------------
 
 
