@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier, an unknown class by calibration, and a comparison with templates.
 
-Paragraphs (lines) become sparse vectors of hashed one- and two-word n-grams. A multinomial logistic regression, trained
+Paragraphs (lines, and runs of lines that hold a wrapped notice) become sparse vectors of hashed one- and two-word n-grams. A multinomial logistic regression, trained
 on varied templates of each family against ordinary paragraphs of a bounded sample of the corpus, proposes a family. The least
 probability that a proposal needs is set on held-out variants; a proposal must also share half of the n-grams of one of the
 family's templates. What looks like a licence but passes neither test is `unknown`.
@@ -8,6 +8,7 @@ family's templates. What looks like a licence but passes neither test is `unknow
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -97,6 +98,8 @@ TRAIN_DOCS = 1000
 TRAIN_LINES = 1000
 VARIANTS = 30
 LEAST_SHARED = 0.5
+#: A wrapped notice is looked for in lines of so many times the longest template's words.
+MOST_WORDS = 1.5
 #: An unknown licence has so many different words that only licences have.
 LEAST_CUES = 2
 _WORD = re.compile(r"[^\W_]+(?:[.+][^\W_]+)*")
@@ -134,18 +137,65 @@ class Model:
 
     def classify(self, paragraph: str) -> tuple[str, float]:
         """The family, `unknown` or `none`, and its probability."""
-        words = words_of(paragraph)
+        return self.classify_words(words_of(paragraph))
+
+    def classify_words(self, words: list[str]) -> tuple[str, float]:
         if self.cues.isdisjoint(words):
             return NONE, 1.0
         p = self._probability(vector_of(words))
         best = int(p[:-1].argmax())
         family, grams = self.families[best], set(grams_of(words))
-        shared = max(len(t & grams) / len(t) for t in self.templates[family])
-        if p[best] >= self.least and shared >= LEAST_SHARED:
+        if p[best] >= self.least and self.nearest(family, grams)[0] >= LEAST_SHARED:
             return family, float(p[best])
         some = 1 - p[-1] >= self.least_any and len(self.cues.intersection(words)) >= LEAST_CUES
         return (UNKNOWN, float(1 - p[-1])) if some else (NONE, float(p[-1]))
 
+    def nearest(self, family: str, grams: set[str]) -> tuple[float, frozenset[str]]:
+        """The family's template that shares most of its n-grams, after that share."""
+        return max(((len(t & grams) / len(t), t) for t in self.templates[family]), key=lambda x: x[0])
+
+    def scan(self, lines: list[str]) -> list[tuple[int, str, float, str]]:
+        """(number of the first line, family or `unknown`, probability, text) of the notices in a text's lines.
+
+        A notice is a line, or a run of lines that no line without words parts: a notice wrapped over them, with or without
+        comment marks. A line that is a part of a wrapped notice isn't one of its own.
+        """
+        words = [words_of(x) for x in lines]
+        cue = [not self.cues.isdisjoint(w) for w in words]
+        if not any(cue):
+            return []
+        found = {k: self.classify_words(w) for k, w in enumerate(words) if cue[k]}
+        most = MOST_WORDS * max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
+        out, k = [], 0
+        while k < len(lines) - 1:
+            best = None
+            if cue[k] or cue[k + 1] and words[k]:
+                run, j = list(words[k]), k + 1
+                while j < len(lines) and words[j] and len(run) + len(words[j]) <= most:
+                    run += words[j]
+                    j += 1
+                    family, p = self.classify_words(run)
+                    if family not in (NONE, UNKNOWN):
+                        share, template = self.nearest(family, set(grams_of(run)))
+                        if best is None or share > best[0]:
+                            best = (share, template, family, p, j)
+            # a line that is a notice alone needs no others
+            if best is None or any(found[i][0] == best[2] and self.nearest(best[2], set(grams_of(words[i])))[0] >= best[0] for i in range(k, best[4]) if i in found):
+                k += 1
+                continue
+            _, template, family, p, end = best
+            for i in range(k, end):
+                own = found.get(i, (NONE, 0.0))[0]
+                if own not in (NONE, UNKNOWN):
+                    grams = set(grams_of(words[i]))
+                    grams &= self.nearest(own, grams)[1]
+                if own == UNKNOWN or own != NONE and 2 * len(grams & template) >= len(grams):
+                    del found[i]
+            out.append((k, family, p, "\n".join(lines[k:end])))
+            k = end
+        out += [(k, family, p, lines[k]) for k, (family, p) in found.items() if family != NONE]
+        return sorted(out)
+
     def _probability(self, cells: np.ndarray) -> np.ndarray:
         z = self.weights[cells].sum(axis=0) / np.sqrt(max(1, len(cells))) + self.bias
         e = np.exp(z - z.max())
@@ -168,13 +218,19 @@ def _variants(text: str, filler: list[str], rng: random.Random) -> list[list[str
     return out
 
 
+def _of_a_notice(words: list[str], templates: list[frozenset[str]]) -> bool:
+    """Whether a line holds most of a template, or is itself a piece of one."""
+    grams = set(grams_of(words))
+    return any(len(t & grams) >= LEAST_SHARED * (min(len(t), len(grams)) if len(words) >= 4 else len(t)) for t in templates)
+
+
 def fit(ordinary: list[str], seed: int = 1) -> Model:
     """The model for the templates against the given ordinary paragraphs."""
     rng = random.Random(seed)
     families = sorted(TEMPLATES)
     templates = {f: [frozenset(grams_of(words_of(t))) for t in ts] for f, ts in TEMPLATES.items()}
     every = [t for ts in templates.values() for t in ts]
-    plain = [w for w in map(words_of, ordinary) if w and max(len(t & set(grams_of(w))) / len(t) for t in every) < LEAST_SHARED]
+    plain = [w for w in map(words_of, ordinary) if w and not _of_a_notice(w, every)]
     met = {w for p in plain for w in p}
     cues = frozenset({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)} - met)
     filler = sorted(met)
@@ -242,7 +298,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     n = max(1, docs.count())
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, train_docs / n) * (1 << 20)))
     lines = chosen.select(F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''")
-    some = lines.select("line").orderBy(F.xxhash64("line"), "line").limit(TRAIN_LINES)
+    some = lines.select("line").distinct().orderBy(F.xxhash64("line"), "line").limit(TRAIN_LINES)
     return fit([r["line"] for r in some.collect()])
 
 
@@ -254,22 +310,18 @@ def _scan(shared):
             for a, b in text_runs(batch.column("text")):
                 rows = []
                 for doc, text in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), batch.column("text").slice(a, b - a).to_pylist(), strict=True):
-                    n = 0
-                    for line in (text or "").split("\n"):
-                        if not line.strip():
-                            continue
-                        family, p = model.classify(line)
-                        if family != NONE:
-                            rows.append((doc, n, family, p, line))
-                        n += 1
-                    rows.append((doc, n, None, None, None))  # one row that counts the paragraphs
+                    # numbered are the lines that aren't blank; blank ones part the paragraphs
+                    every = (text or "").split("\n")
+                    number = list(itertools.accumulate(map(bool, map(str.strip, every)), initial=0))
+                    rows += [(doc, number[k], family, p, notice) for k, family, p, notice in model.scan(every)]
+                    rows.append((doc, number[-1], None, None, None))  # one row that counts the paragraphs
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "paragraph", "family", "p", "text"])
 
     return run
 
 
 def licence_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, paragraph, family, p, text) of every paragraph that is a licence notice, and for each row of docs one row
+    """(doc_id, paragraph, family, p, text) of every line, or run of lines, that is a licence notice, and for each row of docs one row
     without family whose `paragraph` is the number of its paragraphs (lines that aren't blank)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInArrow(_scan(shared), "doc_id long, paragraph int, family string, p double, text string")
@@ -278,8 +330,8 @@ def licence_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
 def licence_scan(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """Per doc_id: n_paragraphs, n_licences (paragraphs with a family or unknown), families (sorted, comma-joined), least_p.
 
-    Null and empty texts have no paragraphs and families ''; rows with one doc_id are summed up together; very long texts are
-    read line by line; an empty table gives no rows and other columns are ignored.
+    Null and empty texts have no paragraphs and families ''; rows with one doc_id are summed up together; notices wrapped
+    over several lines count once; an empty table gives no rows and other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     found = licence_paragraphs(docs, train(docs, train_docs))

@@ -118,6 +118,29 @@ def test_licence_scan(spark, odd, empty):
     assert licences.licence_scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("family", sorted(licences.TEMPLATES))
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_wrapped_notices(licence_model, family, mark):
+    import textwrap
+
+    r = random.Random(3)
+    for notice in licences.TEMPLATES[family]:
+        body = [mark + x for x in textwrap.wrap(notice, 72 if len(notice) > 150 else 40)]
+        for text in ([*body, "", prose(r, 30)], [prose(r, 12), mark.rstrip(), *body, mark.rstrip(), prose(r, 40), prose(r, 20)], [prose(r, 9), *body, prose(r, 10), prose(r, 10)]):
+            assert {f for _, f, *_ in licence_model.scan(text)} == {family}
+    assert [f for _, f, *_ in licence_model.scan(["Released under the MIT License.", "Licensed under CC BY-SA 4.0.", prose(r, 20)])] == ["mit", "cc-by-sa"]
+    assert licence_model.scan([prose(r, 10) for _ in range(20)]) == []
+
+
+def test_training_lines_are_distinct(spark):
+    r = random.Random(8)
+    common_lines = spark.createDataFrame([(f"{prose(r, 5)} x{k}",) for k in range(200)], "line string")
+    often = common_lines.orderBy(F.xxhash64("line")).first().line
+    rows = [(k, f"{often}\n" * 20 + f"the {prose(r, 4)} of this {prose(r, 4)}\nPermission is hereby granted, free of charge, to any person obtaining") for k in range(100)]
+    cues = licences.train(spark.createDataFrame(rows, "doc_id long, text string")).cues
+    assert not {"the", "of", "this"} & cues and {"permission", "granted", "license"} <= cues
+
+
 # --- 2 token files and 6 packing --------------------------------------------------------------------------------
 
 
