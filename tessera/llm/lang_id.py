@@ -13,16 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Places, give_back
+from .common import Places, drop, give_back, store
 from .tokens import text_runs
 
 ORDER = 4
 #: The trees are fitted on about so many documents of each language at most, chosen by a hash of doc_id ...
 TRAIN_DOCS = 3000
-#: ... and hold the commonest so many byte strings of ORDER + 1 bytes, all languages together.
+#: ... and hold so many byte strings of ORDER + 1 bytes, shared evenly: the commonest of each language. Shorter strings are all held.
 TREE_STRINGS = 400_000
 #: Bits of code length that count as one bit of evidence in the score (neighbouring bytes are not independent).
 TEMPER = 8.0
@@ -80,18 +80,20 @@ def _places(keys: np.ndarray) -> Places:
 
 class Model:
     """Code lengths under the frozen trees of `langs`: for each order the strings known to any language, with a row of lengths,
-    and the contexts known to any, with a row of escapes."""
+    and the contexts known to any, with a row of escapes. `shorter` has code, lang_at and n of all strings of 1 to ORDER bytes, by
+    order; without it they are those of the strings given."""
 
-    def __init__(self, langs: list[str], code: np.ndarray, lang_at: np.ndarray, n: np.ndarray) -> None:
+    def __init__(self, langs: list[str], code: np.ndarray, lang_at: np.ndarray, n: np.ndarray, shorter: list[tuple] | None = None) -> None:
         self.langs, width = langs, len(langs)
         self.levels: list[tuple] = []
         below = None  # lengths of the level before, by string
         for k in range(ORDER + 1):
             mask = _U((1 << (8 * (k + 1))) - 1)
-            known = np.unique(code & mask)
+            of, at, many = shorter[k] if shorter and k < ORDER else (code & mask, lang_at, n)
+            known = np.unique(of)
             contexts, ctx_of = np.unique(known >> _U(8), return_inverse=True)
             count = np.zeros((len(known), width))
-            np.add.at(count, (np.searchsorted(known, code & mask), lang_at), n)
+            np.add.at(count, (np.searchsorted(known, of), at), many)
             total, kinds = np.zeros((len(contexts), width)), np.zeros((len(contexts), width))
             np.add.at(total, ctx_of, count)
             np.add.at(kinds, ctx_of, count > 0)
@@ -99,10 +101,10 @@ class Model:
                 escape = np.where(kinds > 0, np.log2((total + kinds) / kinds), 0.0)
                 own = np.log2((total + kinds)[ctx_of] / count)
             if below is None:
-                shorter = np.full((len(known), width), 8.0)
+                less = np.full((len(known), width), 8.0)
             else:
-                shorter = below[1][np.searchsorted(below[0], known & (mask >> _U(8)))]
-            bits = np.where(count > 0, own, escape[ctx_of] + shorter)
+                less = below[1][np.searchsorted(below[0], known & (mask >> _U(8)))]
+            bits = np.where(count > 0, own, escape[ctx_of] + less)
             below = (known, bits)
             self.levels.append((_places(known), bits.astype(np.float32), _places(contexts), escape.astype(np.float32)))
 
@@ -129,13 +131,35 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     share = F.create_map(*[F.lit(x) for pair in per for x in pair])[F.col("lang")]  # a literal: texts that aren't chosen never move
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     counted = chosen.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "lang", "code").limit(TREE_STRINGS).toArrow()
-    if not rows.num_rows:
+    counted = store(counted, "byte-strings")
+    sizes = {r["lang"]: r["count"] for r in counted.groupBy("lang").count().collect()}
+    if not sizes:
+        drop(counted)
         return None
+    langs = sorted(sizes)
+
+    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = df.select("lang", "code", "n").toArrow()
+        at = np.searchsorted(np.array(langs, dtype=object), np.array(rows.column("lang").to_pylist(), dtype=object))
+        return rows.column("code").to_numpy().view(_U), at.astype(np.int64), rows.column("n").to_numpy()
+
+    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
+    longest = arrays(counted.withColumn("_place", F.row_number().over(by_count)).filter(F.col("_place") <= _share(list(sizes.values()), TREE_STRINGS)))
+    masks = [(1 << (8 * (k + 1))) - 1 for k in range(ORDER)]
+    shorter = [arrays(counted.groupBy("lang", F.col("code").bitwiseAND(F.lit(m)).alias("code")).agg(F.sum("n").alias("n"))) for m in masks]
+    drop(counted)
     give_back()
-    langs = sorted(set(rows.column("lang").to_pylist()))
-    at = np.searchsorted(np.array(langs, dtype=object), np.array(rows.column("lang").to_pylist(), dtype=object))
-    return Model(langs, rows.column("code").to_numpy().view(_U), at.astype(np.int64), rows.column("n").to_numpy())
+    return Model(langs, *longest, shorter)
+
+
+def _share(sizes: list[int], most: int) -> int:
+    """The most that each may have, so that all together have at most `most`: what small ones leave goes to the others."""
+    left = len(sizes)
+    for size in sorted(sizes):
+        if size * left > most:
+            return max(1, most // left)
+        most, left = most - size, left - 1
+    return max(sizes)
 
 
 def _predict(shared):

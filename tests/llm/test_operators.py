@@ -283,6 +283,33 @@ def test_languages_on_held_out_rows(spark):
     assert got.filter("lang = lang_pred").count() >= 0.98 * got.count()
 
 
+def test_a_rare_language_beside_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "TREE_STRINGS", 4000)
+    r = random.Random(2)
+    letters = {"big": "abcdefghijklm", "large": "hijklmnopqrst", "wide": "nopqrstuvwxyz", "rare": "漢字仮名交文書人多"}
+    words = {lang: ["".join(r.choice(c) for _ in range(r.randint(2, 6))) for _ in range(400)] for lang, c in letters.items()}
+    ids, rows = itertools.count(), []
+    for lang, n in (("big", 300), ("large", 300), ("wide", 300), ("rare", 20)):
+        rows += [(next(ids), " ".join(r.choice(words[lang]) for _ in range(60)), lang) for _ in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(docs)
+    assert model.langs == sorted(letters)
+    got = lang_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert all(x.lang_pred == x.lang for x in got) and any(x.lang == "rare" for x in got)
+    count = collections.Counter()  # orders 0 to 3 are counted whole
+    for i, text, lang in rows:
+        if lang == "rare" and zlib.crc32(str(i).encode()) % 4 != 2:
+            count.update(s.to_bytes(5, "big")[4] for s in map(int, lang_id._strings(lang_id.seen_bytes(text))))
+    probe = np.array(sorted(count), dtype=np.uint64)
+    want = [math.log2((sum(count.values()) + len(count)) / count[int(c)]) for c in probe]
+    assert np.allclose(model.bits(probe, 0)[:, model.langs.index("rare")], want, atol=1e-3)
+
+
+@pytest.mark.parametrize(("sizes", "most", "share"), [([5, 100, 100], 105, 50), ([5, 6], 100, 6), ([10, 10, 10], 6, 2), ([50], 7, 7)])
+def test_shares(sizes, most, share):
+    assert lang_id._share(sizes, most) == share and sum(min(x, share) for x in sizes) <= max(most, len(sizes))
+
+
 # --- 4 pages ----------------------------------------------------------------------------------------------------
 
 
