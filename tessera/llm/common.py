@@ -6,25 +6,32 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 U64 = np.uint64
 _ROOTS: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors see; one of our own only where the session names none (tests)."""
+    """The folder that all executors see; one of our own only where a local session names none (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         _ROOTS[app] = tempfile.mkdtemp(prefix="tessera-")
@@ -77,7 +84,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -85,47 +91,70 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, dtype=U64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of texts as they lie in memory, and where each text starts, with the end of the last; null is empty."""
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    _, places, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(places, dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, dtype=np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, dtype=np.uint8)
+    return raw, at - at[0]
 
 
-_POW = _powers(64)
-
-
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words (runs that hold no ASCII white space)."""
+def word_spans(data: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words (runs that hold no ASCII white space); a word also ends at the bounds given."""
     word = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
-    return edge[0::2], edge[1::2]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    if bounds is not None:
+        at = bounds[:-1][bounds[1:] > bounds[:-1]]
+        first[at] = word[at]
+        at = bounds[1:][bounds[1:] > bounds[:-1]] - 1
+        last[at] = word[at]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word of the text; A-Z count as a-z."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    starts, ends = word_spans(data)
-    if not len(starts):
-        return np.empty(0, dtype=U64)
-    return hash_spans(data, starts, ends)
+    return hash_spans(data, *word_spans(data))
+
+
+def column_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts of a column, one text after the other, and where each text's words start, with the last end."""
+    data, bounds = text_bytes(texts)
+    starts, ends = word_spans(data, bounds)
+    return hash_spans(data, starts, ends), np.searchsorted(starts, bounds)
+
+
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
+#: Words beyond so many bytes are hashed one by one.
+LONG_WORD = 256
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    global _POW
-    lens = ends - starts
-    longest = int(lens.max())
-    if longest > len(_POW):
-        _POW = _powers(2 * longest)
-    # offset of each byte in its word; bytes between words are zeroed out
-    first = np.zeros(len(data), dtype=np.int64)
-    first[starts] = np.diff(starts, prepend=0)
-    at = np.arange(len(data)) - np.cumsum(first)
-    value = _BYTE[_LOWER[data]]
-    value[_SPACE[data]] = 0
-    np.clip(at, 0, len(_POW) - 1, out=at)
-    value *= _POW[at]
-    return mix(np.add.reduceat(value, starts) + lens.astype(U64))
+    """A hash of the lower-cased bytes of each span: eight bytes at a time, of all spans at once."""
+    if not len(starts):
+        return np.empty(0, dtype=U64)
+    low = np.zeros(len(data) + 8, dtype=np.uint8)
+    np.take(_LOWER, data, out=low[: len(data)])
+    eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=low, strides=(1,))
+    left = ends - starts
+    out = mix((eight[starts] & _LOW_BYTES[np.minimum(left, 8)]) + left.astype(U64) * _BASE)
+    more = np.flatnonzero(left > 8)
+    huge = more[left[more] > LONG_WORD]
+    for i in huge.tolist():
+        out[i] = xxhash.xxh64_intdigest(low[starts[i] : ends[i]].tobytes())
+    more, k = more[left[more] <= LONG_WORD], 8
+    while len(more):
+        rest = left[more] - k
+        out[more] = mix(out[more] * _BASE + (eight[starts[more] + k] & _LOW_BYTES[np.minimum(rest, 8)]))
+        more, k = more[rest > 8], k + 8
+    return out
 
 
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -145,6 +174,22 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     return mix(out)
 
 
+def column_shingles(words: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_hashes() of many texts' words one after the other, with the bounds of each text's shingles."""
+    n = np.diff(bounds)
+    many = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    ends = np.concatenate([[0], np.cumsum(many)])
+    every = shingle_hashes(words, width) if len(words) >= width else np.empty(0, dtype=U64)
+    out = np.empty(int(ends[-1]), dtype=U64)
+    long = np.flatnonzero(n >= width)
+    of = np.arange(int(many[long].sum()))
+    shift = np.cumsum(many[long]) - many[long]
+    out[of + np.repeat(ends[:-1][long] - shift, many[long])] = every[of + np.repeat(bounds[:-1][long] - shift, many[long])]
+    for i in np.flatnonzero((n > 0) & (n < width)).tolist():
+        out[ends[i]] = shingle_hashes(words[bounds[i] : bounds[i + 1]], width)[0]
+    return out, ends
+
+
 def to_long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -169,53 +214,82 @@ def size_checked(df: DataFrame, most_rows: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if small else df), small
 
 
-# --- tables of fixed size, gathered from all rows ------------------------------------------------------------
+# --- filters of bounded size over keys of all rows ---------------------------------------------------------------
 
+# The primes of the 64-bit hash that F.xxhash64 computes.
+_P1, _P2, _P3, _P4, _P5 = map(U64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
-def reduce_tables(rows: DataFrame, dtype: str, how: str, parts: int = 16) -> np.ndarray | None:
-    """Sum or union of equally long binary tables: in parts on the executors, the last few on the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for x in batch.column(0):
-                t = np.frombuffer(x.as_buffer(), dtype=dtype)
-                total = t.copy() if total is None else (total + t if how == "sum" else total | t)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["t"])
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U64(by)) | (x >> U64(64 - by))
 
-    last = [np.frombuffer(r["t"], dtype=dtype) for r in rows.repartition(parts).mapInArrow(run, "t binary").collect()]
-    if not last:
-        return None
-    return np.sum(last, axis=0) if how == "sum" else np.bitwise_or.reduce(last)
 
-
-def _filter_places(keys: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys.astype(np.int64).view(U64) + U64(0x9E3779B97F4A7C15))
-    most = U64(n_bits - 1)
-    return (h & most).astype(np.int64), ((h >> U64(32)) & most).astype(np.int64)
+def hash_of_longs(keys: np.ndarray) -> np.ndarray:
+    """F.xxhash64 of a column of longs."""
+    h = (U64(42 + 8) + _P5) ^ (_turned(keys.astype(np.int64).view(U64) * _P2, 31) * _P1)
+    h = _turned(h, 27) * _P1 + _P4
+    h = (h ^ (h >> U64(33))) * _P2
+    h = (h ^ (h >> U64(29))) * _P3
+    return h ^ (h >> U64(32))
 
 
 def key_filter(keys: DataFrame, most_bits: int) -> np.ndarray:
-    """A filter over a column of longs, of sixteen bits a key and at most most_bits (a power of two). It lets every key pass, and few
-    others while it isn't full: to thin rows out before an exact join."""
-    n_bits = min(most_bits, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(n_bits // 8, dtype=np.uint8)
-        for batch in batches:
-            for at in _filter_places(batch.column(0).to_numpy(), n_bits):
-                np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["t"])
-
-    made = reduce_tables(keys.mapInArrow(mark, "t binary"), "uint8", "union", parts=4)
+    """A filter over a column of longs, of most_bits bits (a power of two; fewer for a few keys). It lets every key pass, and few
+    others up to a key for sixteen bits: to thin rows out before an exact join. The driver gets its words, most_bits / 64 at most."""
+    key = F.col(f"`{keys.columns[0]}`")
+    n_bits = 1 << 20 if keys.limit(1 << 16).count() < 1 << 16 else most_bits
+    most = F.lit(n_bits - 1)
+    h = F.xxhash64(key)
+    places = keys.filter(key.isNotNull()).select(F.explode(F.array(h.bitwiseAND(most), F.shiftrightunsigned(h, 32).bitwiseAND(most))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(n_bits // 64, dtype=U64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(U64)
+    del words
     give_back()
-    return made if made is not None else np.zeros(n_bits // 8, dtype=np.uint8)
+    return out
 
 
 def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    one, two = _filter_places(keys, 8 * len(bits))
-    return ((bits[one >> 3] >> (7 - (one & 7)).astype(np.uint8)) & (bits[two >> 3] >> (7 - (two & 7)).astype(np.uint8)) & 1).astype(bool)
+    h, most = hash_of_longs(keys), U64(64 * len(bits) - 1)
+    one, two = h & most, (h >> U64(32)) & most
+    return ((bits[one >> U64(6)] >> (one & U64(63))) & (bits[two >> U64(6)] >> (two & U64(63))) & U64(1)).astype(bool)
+
+
+def in_filter_column(bits_of, key) -> Column:
+    """Whether a column of longs passes the filter in the broadcast bits_of: only the keys go through Python."""
+
+    @pandas_udf("boolean")
+    def passes(k: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(bits_of.value, k.to_numpy()))
+
+    return passes(key)
+
+
+#: Bits of the filter that parts marked rows from others. It thins well up to some four million marked rows; with many more of them it
+#: lets every row pass, and the join behind it then moves all rows.
+MARK_BITS = 1 << 26
+
+
+def row_key() -> Column:
+    """A number for a row: doc_id and text decide."""
+    return F.xxhash64("doc_id", F.xxhash64("text"))
+
+
+def marked_rows(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs, in two parts: (row) of rows surely not in marks(doc_id, t, ...), and (row, doc_id, t, and the columns of marks, null for
+    rows without a mark) of the others. t is xxhash64(text); marks have a row for each doc_id (or null) and t at most.
+
+    Rows are kept as one struct, so that no column of docs can clash. Only the second part, few rows, moves.
+    """
+    spark = docs.sparkSession
+    names = [c for c in marks.columns if c not in ("doc_id", "t")]
+    bits = spark.sparkContext.broadcast(key_filter(marks.select(F.xxhash64("doc_id", "t").alias("k")), MARK_BITS))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("t"), row_key().alias("k"))
+    rows = rows.withColumn("maybe", in_filter_column(bits, F.col("k")))
+    some = rows.filter("maybe").select("row", "doc_id", "t").alias("r")
+    on = F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("r.t") == F.col("m.t"))
+    joined = some.join(marks.alias("m"), on, "left").select("r.row", "r.doc_id", "r.t", *[f"m.{c}" for c in names])
+    return rows.filter("not maybe").select("row"), joined
 
 
 class Places:

@@ -16,7 +16,7 @@ from . import common
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Most prefix shingles that are broadcast; a larger benchmark is joined by a shuffle.
+#: Most prefix shingles, and contaminated rows, that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -39,13 +39,30 @@ def _document_shingles(docs: DataFrame) -> DataFrame:
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("t")))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """For each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     docs needs doc_id and text, items item_id and text; other columns are ignored. A null or empty text has no words and is
-    clean. Rows that repeat are judged each on their own text; an empty benchmark leaves everything clean.
+    clean. Rows that repeat, and rows without a doc_id, are judged each on their own text; an empty benchmark leaves everything
+    clean, and empty docs give no rows.
     """
-    docs = docs.select("doc_id", "text").withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("t")))
+    return judged(docs, items, window, broadcast_rows).drop("_row")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, whose own text holds no window of the items, with or without a doc_id."""
+    bad, _ = common.size_checked(common.store(judged(docs, items, window, broadcast_rows).filter("contaminated").select("_row").distinct(), "contaminated"), broadcast_rows)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct("doc_id", F.xxhash64("text").alias("t")).alias("_row"))
+    return rows.join(bad, "_row", "left_anti").select("row.*")
+
+
+def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """contaminated() with _row, a struct of doc_id and the text's hash."""
+    docs = _keyed(docs)
     tokens = docs.select("_row", words_of(F.col("text")).alias("words"))
     windows = common.store(benchmark_windows(items, window), "bench-windows")
     texts = windows.select("key", "words", "len").distinct()
@@ -67,12 +84,21 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadc
     )
     prefix = common.store(prefix, "bench-prefix")
 
+    start = F.col("pos") - F.col("off")
+
     def occurrences(of: DataFrame, on: list[str]) -> DataFrame:
-        of, _ = common.size_checked(of, broadcast_rows)
-        start = F.col("pos") - F.col("off")
-        found = _document_shingles(tokens).join(of, on)
-        found = found.filter((start >= 0) & (start + F.col("len") <= F.col("n")))
-        return found.filter(F.slice("words", start + 1, F.col("len")) == F.col("want")).select("_row", start.alias("start"), "len", "key")
+        of, small = common.size_checked(of, broadcast_rows)
+        places = _document_shingles(tokens)
+        if small:
+            found = places.join(of, on).filter((start >= 0) & (start + F.col("len") <= F.col("n")))
+            return found.filter(F.slice("words", start + 1, F.col("len")) == F.col("want")).select("_row", start.alias("start"), "len", "key")
+        # places meet prefixes by a hash of the shingle; texts move once, to the windows that may occur in them
+        at = places.select("_row", "n", "pos", F.xxhash64(*on).alias("h")).join(of.select(F.xxhash64(*on).alias("h"), "off", "len", "key"), "h")
+        at = at.filter((start >= 0) & (start + F.col("len") <= F.col("n"))).select("_row", F.struct(start.alias("start"), "len", "key").alias("c"))
+        at = at.groupBy("_row").agg(F.collect_set("c").alias("c"))
+        words = docs.select("_row", "text").join(at, "_row").select("_row", "c", words_of(F.col("text")).alias("words"))
+        held = F.filter("c", lambda c: F.sha2(F.array_join(F.slice("words", c["start"] + 1, c["len"]), " "), 256) == c["key"])
+        return words.select("_row", F.inline(held)).select("_row", "start", "len", "key")
 
     hits = occurrences(prefix.filter("len > 1"), ["w1", "w2"])
     single = prefix.filter("len = 1").drop("w2")
@@ -98,6 +124,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadc
     counts = docs.select("doc_id", "_row", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     joined = counts.join(spans.join(found, "_row"), "_row", "left")
     return joined.select(
+        "_row",
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

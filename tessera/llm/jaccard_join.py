@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,63 +24,75 @@ from .tokens import text_runs
 WIDTH = 5
 PERCENT = 75
 BANDS, BAND_ROWS = 8, 2
+RUN_BYTES = 500_000
 #: Cells of the table of token counts that orders tokens by rarity, and most bits of the filter before the fetch of sets.
 CELLS, FILTER_BITS = 1 << 16, 1 << 24
 #: Bits of the map of each set that bounds a pair's overlap before the sets are fetched.
 BITMAP = 512
+#: Tables of so many rows at most are broadcast; larger ones are joined by a shuffle, of which skewed parts are split.
+SMALL_ROWS = 500_000
 #: A token in more rows than this is matched by a pre-aggregated join instead of a window over its rows.
 HEAVY = 1_000_000
 _A = common.mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Distinct hashed shingles in ascending order."""
-    return np.unique(common.shingle_hashes(common.word_hashes(text), width))
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """For each text of a column its distinct hashed shingles in ascending order."""
+    shingles, bounds = common.column_shingles(*common.column_words(texts), width)
+    return [np.unique(shingles[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def _fingerprint(s: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int((common.mix(s * np.uint64(0xD6E8FEB86659FD93)).sum() ^ np.uint64(len(s))).astype(np.int64)) if len(s) else 0
+def _totals(values: np.ndarray, bounds: np.ndarray, how: np.ufunc) -> np.ndarray:
+    """how.reduce of each part of values; empty parts give 0."""
+    out = np.zeros(len(bounds) - 1, dtype=values.dtype)
+    full = bounds[1:] > bounds[:-1]
+    if full.any():
+        out[full] = how.reduceat(values, bounds[:-1][full])
+    return out
 
 
-def _bitmap(s: np.ndarray) -> list[int]:
-    """BITMAP bits: those that the set's tokens hash to."""
-    on = np.zeros(BITMAP, dtype=bool)
-    on[((s >> np.uint64(20)) & np.uint64(BITMAP - 1)).astype(np.int64)] = True
-    return np.packbits(on).view(np.int64).tolist()
+def fingerprints(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set, as longs; 0 for the empty set."""
+    size = np.diff(bounds)
+    total = _totals(common.mix(values * np.uint64(0xD6E8FEB86659FD93)), bounds, np.add) ^ size.astype(np.uint64)
+    return common.to_long(np.where(size > 0, total, np.uint64(0)))
+
+
+def _bitmaps(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """BITMAP bits for each set: those that its tokens hash to."""
+    on = np.zeros((len(bounds) - 1, BITMAP), dtype=bool)
+    on[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), ((values >> np.uint64(20)) & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+    return np.packbits(on, axis=1).view(np.int64)
 
 
 def _cell(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(48)).astype(np.int64)
 
 
+def _lists(rows: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Rows of equal length as lists, null where not valid."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
+    return pc.if_else(pa.array(valid), flat, pa.nulls(len(rows), pa.list_(pa.int64())))
+
+
 def _profile(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, dtype=np.int64)
-        names = ["doc_id", "n", "fp", "mins", "bits", "counts"]
+        names = ["doc_id", "t", "k", "n", "fp", "mins", "bits", "counts"]
         for batch in batches:
-            for a, b in text_runs(batch.column("text")):
-                n, fp, mins, bits = [], [], [], []
-                for text in batch.column("text").slice(a, b - a).to_pylist():
-                    s = shingle_set(text, width)
-                    n.append(len(s))
-                    fp.append(_fingerprint(s))
-                    if len(s):
-                        np.add.at(counts, _cell(s), 1)
-                        mins.append(common.to_long(np.array([(s * x).min() for x in _A])).tolist())
-                        bits.append(_bitmap(s))
-                    else:
-                        mins.append(None)
-                        bits.append(None)
+            for a, b in text_runs(batch.column("text"), RUN_BYTES):
+                sets = shingle_sets(batch.column("text").slice(a, b - a), width)
+                size = np.array([len(s) for s in sets], dtype=np.int64)
+                bounds, values = np.concatenate([[0], np.cumsum(size)]), np.concatenate(sets)
+                counts += np.bincount(_cell(values), minlength=CELLS)
+                mins = common.to_long(np.stack([_totals(values * x, bounds, np.minimum) for x in _A], axis=1))
+                own = [batch.column(c).slice(a, b - a) for c in ("doc_id", "t", "k")]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(mins, pa.list_(pa.int64())),
-                        pa.array(bits, pa.list_(pa.int64())), pa.nulls(b - a, pa.binary()),
-                    ],
+                    [*own, pa.array(size), pa.array(fingerprints(values, bounds)), _lists(mins, size > 0), _lists(_bitmaps(values, bounds), size > 0), pa.nulls(b - a, pa.list_(pa.int64()))],
                     names=names,
-                )
-        nothing = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.list_(pa.int64()))] * 2
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array([counts.tobytes()], pa.binary())], names=names)
+                )
+        nothing = [pa.nulls(1, pa.int64())] * 5 + [pa.nulls(1, pa.list_(pa.int64()))] * 2
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([counts.tolist()], pa.list_(pa.int64()))], names=names)
 
     return run
 
@@ -92,21 +105,20 @@ def extra(n):
 def _prefix(level: np.ndarray, heavy: np.ndarray, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_runs(batch.column("text")):
-                tokens, fps, n_of = [], [], []
-                for text in batch.column("text").slice(a, b - a).to_pylist():
-                    s = shingle_set(text, width)
+            for a, b in text_runs(batch.column("text"), RUN_BYTES):
+                tokens, n_of = [], []
+                sets = [s for s in shingle_sets(batch.column("text").slice(a, b - a), width) if len(s)]
+                for s in sets:
                     n = len(s)
-                    if n:
-                        take = min(n, n - -(-PERCENT * n // 100) + extra(n))
-                        order = level[_cell(s)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)  # rarest first, then by hash
-                        tokens.append(s[np.argpartition(order, take - 1)[:take]] if take < n else s)
-                        fps.append(_fingerprint(s))
-                        n_of.append(take)
+                    take = min(n, n - -(-PERCENT * n // 100) + extra(n))
+                    order = level[_cell(s)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)  # rarest first, then by hash
+                    tokens.append(s[np.argpartition(order, take - 1)[:take]] if take < n else s)
+                    n_of.append(take)
                 if tokens:
                     token = np.concatenate(tokens)
+                    fps = fingerprints(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(common.to_long(token)), pa.array(np.repeat(np.array(fps, dtype=np.int64), n_of)), pa.array(heavy[_cell(token)])], names=["token", "fp", "heavy"]
+                        [pa.array(common.to_long(token)), pa.array(np.repeat(fps, n_of)), pa.array(heavy[_cell(token)])], names=["token", "fp", "heavy"]
                     )
 
     return run
@@ -130,27 +142,25 @@ def shared_prefix_tokens(docs: DataFrame, counts: np.ndarray, width: int, heavy_
 def _sets(bits_of, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column("doc_id").is_valid())
-            batch = batch.filter(pa.array(common.in_filter(bits_of.value, batch.column("doc_id").to_numpy())))
-            for a, b in text_runs(batch.column("text")):
-                s = [shingle_set(t, width) for t in batch.column("text").slice(a, b - a).to_pylist()]
-                fp = pa.array([_fingerprint(x) for x in s], pa.int64())
-                ends = np.cumsum([0, *map(len, s)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(common.to_long(np.concatenate(s)) if s else np.empty(0, dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), fp, lists], names=["rep", "fp", "s"])
+            batch = batch.filter(pa.array(common.in_filter(bits_of.value, batch.column("k").to_numpy())))
+            for a, b in text_runs(batch.column("text"), RUN_BYTES):
+                s = shingle_sets(batch.column("text").slice(a, b - a), width)
+                bounds, values = np.cumsum([0, *map(len, s)]), np.concatenate(s)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(common.to_long(values)))
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(a, b - a), pa.array(fingerprints(values, bounds)), lists], names=["k", "fp", "s"])
 
     return run
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(fp, s) of the sets wanted(fp, rep), made anew from the representatives' texts.
+    """(fp, s) of the sets wanted(fp, k), made anew from the texts of the rows with the keys k.
 
     A filter of bounded size drops most other documents before hashing; the join behind it is exact.
     """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(common.key_filter(wanted.select("rep"), FILTER_BITS))
-    made = docs.select("doc_id", "text").mapInArrow(_sets(bits, width), "rep long, fp long, s array<long>")
-    return made.join(wanted.select("fp", "rep"), ["fp", "rep"]).select("fp", "s").dropDuplicates(["fp"])
+    bits = spark.sparkContext.broadcast(common.key_filter(wanted.select("k"), FILTER_BITS))
+    made = docs.select(common.row_key().alias("k"), "text").mapInArrow(_sets(bits, width), "k long, fp long, s array<long>")
+    return made.join(wanted.select("fp", "k"), ["fp", "k"]).select("fp", "s").dropDuplicates(["fp"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -224,9 +234,11 @@ def _matrix_pairs(tokens: DataFrame, sets: DataFrame, groups: DataFrame) -> Data
     mixed = every.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
     rows = common.store(every.join(mixed, "token"), "mixed-rows")
     common.drop(every)
-    size = rows.groupBy("g").agg(F.countDistinct("fp").alias("size"))
-    matrix = rows.select("token", "g", F.col("c").alias("c_g"), F.col("n").alias("n_g")).distinct().join(size, "g")
-    queries = rows.join(size, "g").select("token", "fp", "n", "c", F.col("g").alias("g_q"), F.col("size").alias("size_q"))
+    size = common.store(rows.groupBy("g").agg(F.countDistinct("fp").alias("size")).filter("size > 1"), "group-sizes")
+    sizes, _ = common.size_checked(size, SMALL_ROWS)  # as a broadcast, rows need not meet by their group, of which one may be large
+    one = F.coalesce("size", F.lit(1))
+    matrix = rows.select("token", "g", F.col("c").alias("c_g"), F.col("n").alias("n_g")).distinct().join(sizes, "g", "left").withColumn("size", one)
+    queries = rows.join(sizes, "g", "left").select("token", "fp", "n", "c", F.col("g").alias("g_q"), one.alias("size_q"))
     # the smaller group's members ask the larger group
     asked = queries.join(matrix, "token").filter("c <> c_g and 4 * least(n, n_g) >= 3 * greatest(n, n_g) and (size_q < size or (size_q = size and g_q < g))")
     seen = asked.groupBy("fp", "g").agg(F.count("*").alias("seen"), F.first("n").alias("n"), F.first("n_g").alias("n_g"))
@@ -236,26 +248,25 @@ def _matrix_pairs(tokens: DataFrame, sets: DataFrame, groups: DataFrame) -> Data
     pairs = asking.join(members, ["token", "g"]).groupBy("a", "b").agg(F.count("*").alias("seen"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     pairs = pairs.filter(F.expr(f"seen >= {_shared('n_a', 'n_b')}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = common.store(pairs, "matrix-pairs")
-    common.drop(rows, opened)
+    common.drop(rows, opened, size)
     return pairs
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HEAVY) -> DataFrame:
-    """For each row of docs(doc_id, text): doc_id, n_shingles, component_id.
-
-    Two documents link when 100 * |intersection| >= 75 * |union| of their shingle sets; component_id is the smallest doc_id
-    that links reach. Null and empty texts and texts of white space have no shingles and stand alone; a text shorter than a
-    shingle is one shingle; repeated rows and equal texts link. A row without a doc_id links with equal texts only. An empty
-    table gives no rows; other columns are ignored. Sets are known by 64-bit hashes of shingles and of whole sets.
-    """
+def jaccard_rows(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HEAVY) -> DataFrame:
+    """For each row of docs(doc_id, text): doc_id, t (xxhash64 of the text), n_shingles, component (a number that the rows of one
+    component share, null without shingles) and component_id, as a stored table."""
     docs = docs.select("doc_id", "text")
-    profile = common.store(docs.mapInArrow(_profile(width), "doc_id long, n long, fp long, mins array<long>, bits array<long>, counts binary"), "profiles")
-    rows = profile.filter("counts is null").select("doc_id", "n", "fp", "mins", "bits")
-    sets = common.store(rows.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("mins").alias("mins"), F.first("bits").alias("bits")), "sets")
-    counts = common.reduce_tables(profile.filter("counts is not null").select("counts"), "int64", "sum")
-    shared = common.store(shared_prefix_tokens(docs, counts if counts is not None else np.zeros(CELLS, dtype=np.int64), width, heavy_rows), "prefix-tokens")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), common.row_key().alias("k"), "text")
+    profile = common.store(keyed.mapInArrow(_profile(width), "doc_id long, t long, k long, n long, fp long, mins array<long>, bits array<long>, counts array<long>"), "profiles")
+    rows = profile.filter("counts is null").select("doc_id", "t", "k", "n", "fp", "mins", "bits")
+    sets = rows.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.min("k").alias("k"), F.first("mins").alias("mins"), F.first("bits").alias("bits"))
+    sets = common.store(sets, "sets")
+    cells = profile.filter("counts is not null").select(F.posexplode("counts").alias("cell", "c")).filter("c > 0").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(CELLS, dtype=np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("c").to_numpy()
+    shared = common.store(shared_prefix_tokens(docs, counts, width, heavy_rows), "prefix-tokens")
     # a linked set has at least 0.75 n tokens, so it shares extra(0.75 n) prefix tokens at least: other texts aren't needed again
-    wanted = shared.groupBy("fp").agg(F.count("*").alias("c")).join(sets, "fp").filter("rep is not null and c >= 1 + ((3 * n + 3) div 4) div 20").drop("c")
+    wanted = shared.groupBy("fp").agg(F.count("*").alias("c")).join(sets, "fp").filter("c >= 1 + ((3 * n + 3) div 4) div 20").drop("c", "rep")
     wanted = common.store(wanted, "wanted-sets")
     tokens = shared.join(wanted.select("fp"), "fp", "left_semi")
     content = common.store(fetch_sets(docs, wanted, width), "set-content")
@@ -267,23 +278,44 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HE
     rest = common.store(verified(_possible(pairs, wanted), content), "matrix-links")
     common.drop(shared, wanted, content, links, pairs)
     common.clean(docs.sparkSession)
-    between = rest.join(groups.select(F.col("node").alias("a"), F.col("component").alias("g_a")), "a", "left").join(
-        groups.select(F.col("node").alias("b"), F.col("component").alias("g_b")), "b", "left"
-    )
-    between = between.select(F.coalesce("g_a", "a").alias("a"), F.coalesce("g_b", "b").alias("b"))
-    merged = connected(between)
-    of_set = (
-        sets.select("fp", "rep")
-        .join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left")
-        .withColumn("g", F.coalesce("component", "fp"))
-        .drop("component")
-        .join(merged.select(F.col("node").alias("g"), "component"), "g", "left")
-        .select("fp", "rep", F.coalesce("component", "g").alias("g"))
+    merged = connected(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    linked = merged.select(F.col("node").alias("fp"), "component").join(sets.select("fp", "rep"), "fp")
+    least = common.store(linked.groupBy("component").agg(F.min("rep").alias("least")), "component-ids")
+    small, _ = common.size_checked(least, SMALL_ROWS)
+    named = linked.select("fp", "component").join(small, "component")
+    named = sets.select("fp", "rep").join(named, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")
     )
-    named = of_set.join(of_set.groupBy("g").agg(F.min("rep").alias("component_id")), "g").select("fp", "component_id")
-    found = rows.join(named, "fp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    found = rows.select("doc_id", "t", "n", "fp").join(named, "fp", "left").select(
+        "doc_id", "t", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
     found = common.store(found, "jaccard-components")
-    common.drop(profile, sets, groups, rest, merged)
+    common.drop(profile, sets, groups, rest, merged, least)
     return found
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HEAVY) -> DataFrame:
+    """For each row of docs(doc_id, text): doc_id, n_shingles, component_id.
+
+    Two documents link when 100 * |intersection| >= 75 * |union| of their shingle sets; component_id is the smallest doc_id
+    that links reach. Null and empty texts and texts of white space have no shingles and stand alone; a text shorter than a
+    shingle is one shingle; repeated rows and equal texts link. Rows without a doc_id link like others; a component of such rows
+    alone has no component_id. An empty table gives no rows; other columns are ignored. Sets are known by 64-bit hashes of
+    shingles and of whole sets.
+    """
+    return jaccard_rows(docs, width, heavy_rows).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HEAVY) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (rows without one come last), of several texts under it the
+    one with the least hash, of rows equal in doc_id and text any. Rows without shingles all stay, and so do all columns.
+    """
+    rows = jaccard_rows(docs, width, heavy_rows).filter("component is not null")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    several = rows.filter(first).groupBy("component").agg(F.min("t").alias("least"), F.count("*").alias("c")).filter("c > 1").select("component", "least")
+    marks = rows.filter(~first).select("doc_id", "t", F.lit(False).alias("keep"))
+    marks = marks.unionByName(rows.filter(first).join(several, "component").select("doc_id", "t", (F.col("t") == F.col("least")).alias("keep")))
+    marks = common.store(marks.distinct(), "near-duplicates")
+    rest, some = common.marked_rows(docs, marks)
+    some, once = some.filter("keep is null").select("row"), some.filter("keep").dropDuplicates(["doc_id", "t"]).select("row")
+    return rest.unionByName(some).unionByName(once).select("row.*")

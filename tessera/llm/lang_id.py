@@ -162,29 +162,32 @@ def _share(sizes: list[int], most: int) -> int:
     return max(sizes)
 
 
+def judge(model: Model | None, column: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """For parts (first, last) of a column of texts: languages, scores, and bits a byte."""
+    for a, b in text_runs(column, 1_000_000):
+        texts = [t if t and any(map(str.isalpha, t)) else "" for t in column.slice(a, b - a).to_pylist()]
+        parts = [seen_bytes(t) for t in texts]
+        size = np.array([len(p) for p in parts])
+        lang, score, cost = ["und"] * (b - a), np.zeros(b - a), np.zeros(b - a)
+        full = np.flatnonzero(size)
+        if model is not None and len(full):
+            bits = model.bits(np.concatenate([_strings(parts[i]) for i in full]))
+            starts = np.cumsum(size[full]) - size[full]
+            total = np.add.reduceat(bits.astype(np.float64), starts, axis=0)
+            best = total.argmin(axis=1)
+            least = total[np.arange(len(full)), best]
+            score[full] = 1 / np.exp2(np.maximum(least[:, None] - total, -1000 * TEMPER) / TEMPER).sum(axis=1)
+            cost[full] = least / size[full]
+            for i, k in zip(full, best, strict=True):
+                lang[i] = model.langs[k]
+        yield a, b, lang, score, cost
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            keep = batch.schema.names
-            for a, b in text_runs(batch.column("text"), 1_000_000):
-                texts = [t if t and any(map(str.isalpha, t)) else "" for t in batch.column("text").slice(a, b - a).to_pylist()]
-                parts = [seen_bytes(t) for t in texts]
-                size = np.array([len(p) for p in parts])
-                lang, score, cost = ["und"] * (b - a), np.zeros(b - a), np.zeros(b - a)
-                full = np.flatnonzero(size)
-                if model is not None and len(full):
-                    bits = model.bits(np.concatenate([_strings(parts[i]) for i in full]))
-                    starts = np.cumsum(size[full]) - size[full]
-                    total = np.add.reduceat(bits.astype(np.float64), starts, axis=0)
-                    best = total.argmin(axis=1)
-                    least = total[np.arange(len(full)), best]
-                    score[full] = 1 / np.exp2(np.maximum(least[:, None] - total, -1000 * TEMPER) / TEMPER).sum(axis=1)
-                    cost[full] = least / size[full]
-                    for i, k in zip(full, best, strict=True):
-                        lang[i] = model.langs[k]
-                out = [batch.column(n).slice(a, b - a) for n in keep if n not in ("lang_pred", "score", "bits_per_byte")]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(lang), pa.array(score), pa.array(cost)], names=[*(n for n in keep if n not in ("lang_pred", "score", "bits_per_byte")), "lang_pred", "score", "bits_per_byte"])
+            for a, b, *made in judge(shared.value, batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, made)], names=[batch.schema.names[0], "lang_pred", "score", "bits_per_byte"])
 
     return run
 
@@ -197,8 +200,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFr
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(key, "text")
-    made = kept.mapInArrow(_predict(shared), f"{key} {kept.schema[key].dataType.simpleString()}, text string, lang_pred string, score double, bits_per_byte double")
-    return made.drop("text")
+    return kept.mapInArrow(_predict(shared), f"{key} {kept.schema[key].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
 
 
 def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -210,9 +212,9 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 def _accept(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for out in _predict(shared)(iter([batch])):
-                ok = pa.array([p != "und" and c <= FOREIGN_BITS for p, c in zip(out.column("lang_pred").to_pylist(), out.column("bits_per_byte").to_pylist(), strict=True)], pa.bool_())
-                yield out.drop_columns(["lang_pred", "score", "bits_per_byte"]).filter(ok)
+            for a, b, lang, _, cost in judge(shared.value, batch.column("text")):
+                ok = pa.array([x != "und" and c <= FOREIGN_BITS for x, c in zip(lang, cost, strict=True)], pa.bool_())
+                yield batch.slice(a, b - a).filter(ok)
 
     return run
 

@@ -413,6 +413,34 @@ def test_compact_windows_against_all_runs():
         assert all(values[left : right + 1].argmin() + left == a and right - left + 1 >= least for left, a, right in got)
 
 
+def window_keys(words):
+    shingles = common.shingle_hashes(words)
+    return substring_dedup.windows(shingles, np.array([0, len(shingles)]))[2]
+
+
+def test_windows_are_joined_compact_windows():
+    r = np.random.default_rng(3)
+    texts = [r.integers(0, 1 << 62, n).astype(np.uint64) for n in (20, 46, 0, 130, 45, 90)]
+    texts[3][60:100] = texts[5][10:50]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    first, last, key = substring_dedup.windows(np.concatenate(texts), bounds)
+    of = np.searchsorted(bounds, first, "right") - 1
+    named = {}
+    for k, values in enumerate(texts):
+        own = of == k
+        for group in range(substring_dedup.GROUPS):
+            both = [substring_dedup.compact_windows(values * m, substring_dedup.LEAST) for m in substring_dedup._MULTIPLIERS[2 * group : 2 * group + 2]]
+            # every shortest passage lies in one compact window of each function; the pair of anchors decides the key
+            for start in range(len(values) - substring_dedup.LEAST + 1):
+                anchors = tuple(values[next(c for left, c, right in w if left <= start <= c < start + substring_dedup.LEAST <= right + 1)] for w in both)
+                at = own & (first <= bounds[k] + start) & (last >= bounds[k] + start)
+                assert at.sum() == substring_dedup.GROUPS
+                keys = set(key[at].tolist())
+                named.setdefault((group, anchors), keys)
+                assert named[group, anchors] & keys
+    assert sum(of == 1) == substring_dedup.GROUPS and not {0, 2, 4} & set(of.tolist())
+
+
 def test_passages(spark, odd, empty):
     r = random.Random(11)
     passage, edited = prose(r, 70), None
@@ -427,6 +455,7 @@ def test_passages(spark, odd, empty):
     assert {a for a, _ in got} == {6, 7, 11, 12, 101, 102}
     whole = {(x.doc_id, x.first_word): x for x in substring_dedup.repeated_stretches(df).collect()}
     assert whole[101, 20].kept_doc_ids == [100] and whole[12, 60].kept_doc_ids == [5] and {a for a, _ in whole} == {a for a, _ in got}
+    assert [(p.kept_doc_id, p.kept_first_word, p.kept_end_word) for p in whole[101, 20].passages] == [(100, 90, 160)]
     cut = {x.doc_id: x.text for x in substring_dedup.without_repeats(df).collect()}
     assert cut[100] == extra[0][1] and cut[103] == extra[3][1] and cut[104] == extra[4][1] and cut[102] == "" and cut[1] is None
     assert cut[101] == " ".join(extra[1][1].split()[:20]) + " " + extra[1][1].split("\n")[1]
@@ -464,6 +493,29 @@ def test_passages_behind_a_common_first_document(spark):
     assert got == {(10_000 + 100 * k + j, 41, 91) for k in range(most) for j in (1, 2)}
 
 
+def test_heads_that_hold_overlapping_parts(spark):
+    # three earlier documents hold overlapping parts of a passage, then two hold all of it
+    r = random.Random(8)
+    rows, n = [], 200
+    for k in range(n):
+        size = (60, 80, 100)[k % 3]
+        p = [f"p{r.randrange(10**7)}" for _ in range(size)]
+        cuts = (p[: size * 6 // 10], p[size // 4 : size * 85 // 100], p[size * 4 // 10 :])
+        rows += [(1000 * j + k, f"{prose(r, 40)} a{k}{j} {' '.join(cuts[j])} b{k}{j} {prose(r, 30)}") for j in range(3)]
+        rows += [(10_000 + 1000 * j + k, f"{prose(r, 30)} c{k}{j} {' '.join(p)} d{k}{j} {prose(r, 30)}") for j in range(2)]
+    # tails without doc_id and texts that share one doc_id are documents as well
+    rows += [(7777, " ".join(f"q{i}" for i in range(60))), (7777, " ".join(f"s{i}" for i in range(60))), (None, "x " + " ".join(f"s{i}" for i in range(60)))]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for k in range(n):
+        size = (60, 80, 100)[k % 3]
+        spans = [(x.first_word, x.end_word) for x in found if x.doc_id == 11_000 + k]
+        covered = set().union(*(range(a, b) for a, b in spans))
+        for start in range(31, 31 + size - 49):  # each exact stretch of 50 words is found whole
+            assert any(a <= start and start + 50 <= b for a, b in spans), (k, spans)
+        assert covered == set(range(31, 31 + size))
+    assert [(x.first_word, x.end_word, x.kept_doc_id) for x in found if x.doc_id is None] == [(1, 61, 7777)]
+
+
 @pytest.mark.parametrize("edit", ["insertion", "deletion", "substitution"])
 def test_near_passages_are_found(edit):
     r = np.random.default_rng(4)
@@ -481,8 +533,8 @@ def test_near_passages_are_found(edit):
         x, y = np.concatenate([words(60), p, words(60)]), np.concatenate([words(35), q, words(80)])
         (found,) = substring_dedup.passages(x, y)
         assert found[:4] == (60, 60 + len(p), 35, 35 + len(q)) and found[4] >= 0.75
-        met += len(np.intersect1d(substring_dedup.signatures(x)[1], substring_dedup.signatures(y)[1])) > 0
-    assert met >= 0.98 * 300  # the recall that HASHES is set for
+        met += len(np.intersect1d(window_keys(x), window_keys(y))) > 0
+    assert met >= 0.98 * 300  # the recall that AGREE and GROUPS are set for
 
 
 def test_wide_gaps_and_repeated_lines(monkeypatch):
@@ -491,9 +543,9 @@ def test_wide_gaps_and_repeated_lines(monkeypatch):
     ((s, e, t, u, similarity),) = substring_dedup.passages(np.concatenate([a, gap, b]), np.concatenate([a, b]))
     assert (s, e, t, u, round(similarity, 3)) == (0, 111, 0, 98, round(90 / 111, 3))
     x, y = np.concatenate([np.tile(line, 40), a, b]), np.concatenate([a, b, np.tile(line, 30)])
-    want = [c.tolist() for c in substring_dedup.equal_runs(x, y)]
+    want = [c.tolist() for c in substring_dedup.equal_runs(x, substring_dedup.Indexed(y))]
     monkeypatch.setattr(substring_dedup, "PAIRS_AT_ONCE", 100)
-    assert want == [c.tolist() for c in substring_dedup.equal_runs(x, y)]
+    assert want == [c.tolist() for c in substring_dedup.equal_runs(x, substring_dedup.Indexed(y))]
     assert all((x[s:e] == y[s - d : e - d]).all() for s, e, d in zip(*want, strict=True))
 
 
