@@ -26,16 +26,33 @@ class Node:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
     def walk(self) -> Iterator[Node]:
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while todo:
+            yield (n := todo.pop())
+            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
 
     def text(self, own: bool = False) -> str:
-        return "".join(c if isinstance(c, str) else "" if own else c.text() for c in self.children)
+        out, todo = [], list(reversed(self.children))
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                out.append(c)
+            elif not own:
+                todo += reversed(c.children)
+        return "".join(out)
 
     def html(self) -> str:
-        return "".join(c if isinstance(c, str) else f"<{c.tag}{''.join(f' {k}="{v}"' for k, v in c.attrs.items())}>{c.html()}" + ("" if c.tag in VOID else f"</{c.tag}>") for c in self.children)
+        out, todo = [], list(reversed(self.children))
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                out.append(c)
+                continue
+            out.append(f"<{c.tag}{''.join(f' {k}=\"{v}\"' for k, v in c.attrs.items())}>")
+            if c.tag not in VOID:
+                todo.append(f"</{c.tag}>")
+            todo += reversed(c.children)
+        return "".join(out)
 
 
 class _Builder(HTMLParser):
@@ -189,18 +206,44 @@ class Selector:
     def value(self, root: Node) -> str:
         out = next((v for v in ("".join(self._value(root, c) for c in choice) for choice in self.choices) if v), "")
         if self.doc_semantics and self.filters:
-            pattern, new = self.filters[0], self.filters[1] if len(self.filters) > 1 else ""
+            pattern, new = _pattern(self.filters[0]), self.filters[1] if len(self.filters) > 1 else ""
+            if pattern is None:
+                return out
             if re.fullmatch(r"\$\d+", new):
-                return m[int(new[1:])] if (m := re.search(pattern, out)) else ""
-            return re.sub(pattern, lambda _: new, out)
+                return _group(pattern, new, out) or ""
+            return pattern.sub(lambda _: new, out)
         last = None
         for f in self.filters:
             if re.fullmatch(r"\$\d+", f) and last is not None:
-                m = re.search(last, out)
-                out = m[int(f[1:])] if m and int(f[1:]) <= (m.re.groups) else ""
-            else:
-                out, last = re.sub(f, "", out), f
-        return out
+                found = _group(last, f, out)
+                out = out if found is None else found
+            elif (pattern := _pattern(f)) is not None:
+                out, last = pattern.sub("", out), pattern
+        return out.strip() if self.filters else out
+
+
+def _pattern(text: str) -> re.Pattern | None:
+    """A filter's pattern, named groups in either spelling; None if it can't be read."""
+    try:
+        return re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", text))
+    except re.error:
+        return None
+
+
+def _group(pattern: re.Pattern, reference: str, text: str) -> str | None:
+    m, n = pattern.search(text), int(reference[1:])
+    return (m[n] or None) if m and n <= pattern.groups else None
+
+
+def _lists(item: str) -> list:
+    """The alternatives of an item selector that can be read."""
+    out = []
+    for x in item.split("||"):
+        try:
+            out.append(_step(x.strip())[0])
+        except ValueError:
+            continue
+    return out
 
 
 def page_fields(pages: DataFrame, key: str, html: str, rules: dict[str, str]) -> DataFrame:
@@ -218,11 +261,12 @@ def page_fields(pages: DataFrame, key: str, html: str, rules: dict[str, str]) ->
 
 
 def page_rows(pages: DataFrame, key: str, html: str, item: str, rules: dict[str, str]) -> DataFrame:
-    """A row for each match of `item` on a page: key, its number and one text column for each rule, read inside the match."""
+    """A row for each match of `item` on a page: key, its number and one text column for each rule, read inside the match. An item
+    selector that can't be read matches nothing, a filter that can't be read changes nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [Selector(s) for s in rules.values()]
-        lists = [_step(x.strip())[0] for x in item.split("||")]
+        lists = _lists(item)
         for batch in batches:
             rows = []
             for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -16,7 +16,7 @@ ABSOLUTE = r"(?i)^https?://"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.nullif(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:@]+)", 1), F.lit("")))
+    return F.lower(F.nullif(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)", 1), F.lit("")))
 
 
 def origin_of(url: Column) -> Column:

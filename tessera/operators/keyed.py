@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,14 +25,27 @@ def first_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
+def one_per_key(df: DataFrame, keys: list[str], least: bool) -> DataFrame:
+    """One row a key: the least or the greatest by its other columns."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    best = (F.min if least else F.max)(F.struct(*rest)).alias("_row")
+    return df.groupBy(*keys).agg(best).select(*keys, "_row.*").select(*df.columns)
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.unionByName(new.join(old, keys, "left_anti"))
+    """old, and of each key that only new has one row: the least by its other columns. A null in a key is a value like others."""
+    fresh = one_per_key(new, keys, True).alias("n")
+    same = reduce(lambda a, b: a & b, [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys])
+    return old.unionByName(fresh.join(old.select(*keys).alias("o"), same, "left_anti"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both sides; where both have a key, the new side's fields that aren't null win."""
+    """Rows of both sides; where both have a key, the new side's fields that aren't null win. Of several new rows with a key the
+    greatest by its other columns counts."""
     rest = [c for c in old.columns if c not in keys]
-    both = old.alias("o").join(new.alias("n"), keys, "full")
+    both = old.alias("o").join(one_per_key(new, keys, False).alias("n"), keys, "full")
     return both.select(*keys, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in rest])
 
 

@@ -102,12 +102,14 @@ def top1_per_group(spark: SparkSession, d: str) -> DataFrame:
     return K.top_per_key(active, ["s_nationkey"], order, 2).select("s_nationkey", "s_suppkey", "s_name", place.alias("place"))
 
 
-@query("SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("""SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT doc_id, min(quality), 0 FROM
+(SELECT doc_id, 0 AS quality FROM documents UNION ALL SELECT doc_id, 1 FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id""")
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "labels")
     kind = old.schema["quality"].dataType
     new = table(spark, d, "documents").select("doc_id", F.lit(0).cast(kind).alias("quality"), F.lit(0).cast(kind).alias("toxic"))
-    return K.insert_ignore(old.select("doc_id", "quality", "toxic"), new, ["doc_id"])
+    twice = new.unionByName(new.withColumn("quality", F.lit(1).cast(kind)))  # each new key comes in two rows
+    return K.insert_ignore(old.select("doc_id", "quality", "toxic"), twice, ["doc_id"])
 
 
 @query("""SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' AND p_size > 25 THEN round(p_retailprice * 0.9, 4) ELSE p_retailprice END AS p_retailprice,
@@ -142,9 +144,9 @@ def toggle_symdiff(spark: SparkSession, d: str) -> DataFrame:
     return K.toggle(e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'"), ["user_id", "day"])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def anti_missing(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return table(spark, d, "customer").join(table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT p_name, p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part) WHERE r = 1")
@@ -243,7 +245,7 @@ def semi_verified(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(verified, "o_orderkey", "left_semi")
 
 
-_HOST = r"lower(nullif(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1), ''))"
+_HOST = r"lower(nullif(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)', 1), ''))"
 
 
 @query(f"SELECT page_id FROM pages WHERE {_HOST} IN (SELECT {_HOST} FROM pages WHERE starts_with(url, 'https:'))")
@@ -441,12 +443,12 @@ def url_templates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", U.full_url(U.apply_keyword(t, F.lit("a b(c)")), host).alias("url"))
 
 
-_PREFIXES = ["", "ftp://x/", "http://127.0.0.1/", "http://10.1.2.3/", "https://172.20.0.1/", "http://192.168.0.9/", "http://localhost/", "javascript:alert(1)//"]
+_PREFIXES = ["", "ftp://x/", "http://127.0.0.1/", "http://10.1.2.3/", "https://172.20.0.1/", "http://192.168.0.9/", "http://[::1]:8080/", "javascript:alert(1)//"]
 _PREFIX_SQL = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_PREFIXES))
 
 
 @query(rf"""SELECT page_id, url, coalesce(regexp_matches(url, '(?i)^https?://') AND {_HOST} IS NOT NULL AND NOT regexp_matches({_HOST},
-'^(127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+|192\.168\.\d+\.\d+|0\.0\.0\.0$|localhost$)'), false) AS safe
+'^(127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+|192\.168\.\d+\.\d+|0\.0\.0\.0$|localhost$|\[::1\]$)'), false) AS safe
 FROM (SELECT page_id, x.p || url AS url FROM pages JOIN (VALUES {_PREFIX_SQL}) x(i, p) ON page_id % 8 = x.i)""")
 def url_safety(spark: SparkSession, d: str) -> DataFrame:
     prefix = F.get(F.array(*map(F.lit, _PREFIXES)), (F.col("page_id") % 8).cast("int"))

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.extract.selectors import Selector, page_rows, parse, search_rows
+from tessera.extract.selectors import Selector, page_fields, page_rows, parse, search_rows
 from tessera.functions import text, urls, values
 from tessera.operators import health, keyed, similarity
 
@@ -175,6 +175,22 @@ def test_keyed_with_nulls_and_empty_tables(spark):
     some = spark.createDataFrame([(1, None, 1), (1, 5, 2), (None, 7, 1), (1, 5, 2)], "k int, v int, t int")
     assert keyed.latest_per_key(empty, ["k"], "t").count() == 0
     assert sorted(map(tuple, keyed.latest_per_key(some, ["k"], "t").collect()), key=str) == [(1, 5, 2), (None, 7, 1)]
-    assert keyed.upsert(empty, some.distinct(), ["k"]).count() == 3
-    assert keyed.insert_ignore(empty, some, ["k"]).count() == 4
+    assert sorted(map(tuple, keyed.upsert(empty, some, ["k"]).collect()), key=str) == [(1, 5, 2), (None, 7, 1)]
+    assert sorted(map(tuple, keyed.insert_ignore(empty, some, ["k"]).collect()), key=str) == [(1, None, 1), (None, 7, 1)]
+    assert keyed.insert_ignore(some, some, ["k"]).count() == 4
     assert keyed.page(some, [F.col("t")], 0).count() == 4
+
+
+def test_rules_that_cannot_be_read(spark):
+    deep = "<div>" * 5000 + "<p class=a>Vol 12 end</p>" + "</div>" * 5000
+    pages = spark.createDataFrame([(1, deep)], "k int, h string")
+    rules = {"plain": "class.a", "named": r"class.a##Vol (?<n>\d+).*##$1", "bad": "class.a##(", "none": r"class.a##x(y)##$1", "trim": "class.a##end", "html": "tag.p@html"}
+    got = page_fields(pages, "k", "h", rules).first().asDict()
+    assert got == {"k": 1, "plain": "Vol 12 end", "named": "", "bad": "Vol 12 end", "none": "Vol 12 end", "trim": "Vol 12", "html": "Vol 12 end"}
+    assert page_rows(pages, "k", "h", "class.b@tag.a[", {"t": "&"}).count() == 0
+    assert [r.t for r in page_rows(pages, "k", "h", "::what||class.a", {"t": "class.a"}).collect()] == ["Vol 12 end"]
+
+
+def test_bracketed_hosts(spark):
+    given = spark.createDataFrame([("http://[::1]/x",), ("http://u@[::1]:80/",), ("http://[2001:db8::1]/",), ("http://a.b:80/",)], "u string")
+    assert [r.s for r in given.select(urls.is_safe(F.col("u")).alias("s")).collect()] == [False, False, True, True]
