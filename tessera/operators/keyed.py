@@ -80,3 +80,15 @@ def first_non_empty(keys: list[str], *choices: DataFrame) -> DataFrame:
 def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int | None = None) -> DataFrame:
     """One page of a sorted log; a limit of 0 or none is 50."""
     return df.orderBy(*order).offset(offset or 0).limit(limit or 50)
+
+
+def optional_filters(df: DataFrame, states: list[str] | None = None, languages: list[str] | None = None, text: str | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """Rows in one of the states, in one of the languages or without one, and with the text in one of the fields (letters count
+    alike); what is None filters nothing."""
+    if states is not None:
+        df = df.filter(F.col("state").isin(states))
+    if languages is not None:
+        df = df.filter(F.col("lang").isNull() | F.col("lang").isin(languages))
+    if text is not None:
+        df = df.filter(reduce(lambda a, b: a | b, [F.lower(f).contains(text.lower()) for f in fields], F.lit(False)))
+    return df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -686,3 +688,50 @@ def catalog_state(spark: SparkSession, d: str) -> DataFrame:
     joined = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
     state = V.first_rule("degraded", (F.col("quality").isNull(), "unchecked"), (F.col("toxic") == 1, "blocked"), (F.col("quality") == 1, "ok"))
     return joined.select("doc_id", "lang", "quality", state.alias("state"))
+
+
+@query("""SELECT doc_id, lang, source FROM (SELECT *, CASE WHEN quality IS NULL THEN 'unchecked' WHEN toxic = 1 THEN 'blocked' WHEN quality = 1 THEN 'ok' ELSE 'degraded' END AS state
+FROM documents LEFT JOIN labels USING (doc_id)) WHERE state IN ('ok', 'unchecked') AND (lang IN ('en', 'fr') OR lang IS NULL) AND (contains(lower(source), 'e') OR contains(lower(lang), 'e'))""")
+def catalog_filter_full(spark: SparkSession, d: str) -> DataFrame:
+    """States, languages (a row without one passes any) and a text in either of two fields; a part that is None filters nothing."""
+    state = V.first_rule("degraded", (F.col("quality").isNull(), "unchecked"), (F.col("toxic") == 1, "blocked"), (F.col("quality") == 1, "ok"))
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").withColumn("state", state)
+    some = K.optional_filters(rows, states=["ok", "unchecked"], languages=["en", "fr"])
+    return K.optional_filters(some, text="E", fields=("source", "lang")).select("doc_id", "lang", "source")
+
+
+@query("""SELECT doc_id, source FROM documents d WHERE source <> 'web' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)""")
+def searchable(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that aren't of a mode that only links outside, and that no check has blocked."""
+    blocked = table(spark, d, "labels").filter("toxic = 1").select("doc_id")
+    return table(spark, d, "documents").filter("source <> 'web'").join(blocked, "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query("SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '/[0-9]*7(/|$|\\.)') AND NOT contains(url, 'news')")
+def url_blacklist(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose URL neither a pattern nor a piece of text forbids."""
+    return table(spark, d, "pages").filter(~F.col("url").rlike(r"/[0-9]*7(/|$|\.)") & ~F.col("url").contains("news")).select("page_id", "url")
+
+
+@query("""SELECT tier, s_suppkey, row_number() OVER (ORDER BY tier, s_suppkey) AS place FROM
+(SELECT s_suppkey, CASE WHEN s_acctbal > 6000 THEN 'core' WHEN s_acctbal > 0 THEN 'supplement' ELSE 'disabled' END AS tier FROM supplier) ORDER BY tier, s_suppkey LIMIT 50""")
+def tier_alphabetical(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of sources by the name of their tier, then by number."""
+    tier = V.first_rule("disabled", (F.col("s_acctbal") > 6000, "core"), (F.col("s_acctbal") > 0, "supplement"))
+    page = table(spark, d, "supplier").select(tier.alias("tier"), "s_suppkey").orderBy("tier", "s_suppkey").limit(50)
+    return page.withColumn("place", F.row_number().over(Window.orderBy("tier", "s_suppkey")).cast("long"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(url, 'https://', ''), 'http://', ''), '.html', ''), '/', '') AS id FROM pages")
+def id_strip(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of a URL without some fixed pieces."""
+    return table(spark, d, "pages").select("page_id", reduce(lambda c, piece: F.replace(c, F.lit(piece), F.lit("")), ["https://", "http://", ".html", "/"], F.col("url")).alias("id"))
+
+
+@query("""SELECT event_id, greatest(0, 86400 - date_diff('second', date_trunc('second', ts), (SELECT date_trunc('second', max(ts)) FROM events))) AS left_s FROM events WHERE event_type = 'click'""")
+def ttl_left(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds that entries have left at the time of the newest one of the log; the newest time is one row."""
+    e = table(spark, d, "events").select("event_id", "event_type", "ts")
+    now = F.broadcast(e.agg(F.unix_seconds(F.date_trunc("second", F.max("ts")).cast("timestamp")).alias("now")))
+    age = F.col("now") - F.unix_seconds(F.date_trunc("second", F.col("ts")).cast("timestamp"))
+    return e.filter("event_type = 'click'").join(now).select("event_id", F.greatest(F.lit(0).cast("long"), F.lit(86400) - age).alias("left_s"))
