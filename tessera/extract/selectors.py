@@ -12,10 +12,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.urls import clean_host, resolve
+from tessera.functions.urls import clean_host, resolve, resolve_plain
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -299,3 +299,91 @@ def search_rows(pages: DataFrame, key: str, html: str, rule: dict) -> DataFrame:
     columns = [value[f].alias(c) for f, c in RESULT_FIELDS.items()]
     weight = rule.get("weight")
     return rows.filter("title <> ''").select(key, "ord", F.lit(rule["id"]).alias("source_id"), *columns, F.lit(100 if weight is None else weight).alias("weight"))
+
+
+# The names that a result field goes by in a source's search part or raw record, first match counts.
+ALIASES = {
+    "item": ["item", "list", "ruleSearchList"], "title": ["title", "ruleSearchName"], "url": ["url", "detailUrl", "ruleSearchNoteUrl"], "cover": ["cover", "ruleSearchCoverUrl"],
+    "author": ["author", "ruleSearchAuthor"], "latest_chapter": ["latestChapter", "ruleSearchLastChapter", "latest"], "status": ["status"], "update_time": ["updateTime"],
+}
+NOTHING = "class.none"
+
+
+def alias_selectors(source: dict) -> dict[str, str]:
+    """The selectors of a source document by field; empty where it has none."""
+    search, raw = source.get("search") or {}, (source.get("metadata") or {}).get("raw") or {}
+    both = {f: [raw.get(n) if search.get(n) is None else search[n] for n in names] for f, names in ALIASES.items()}
+    return {f: next((v.strip() for v in values if isinstance(v, str) and v.strip()), "") for f, values in both.items()}
+
+
+def alias_rows(pages: DataFrame, key: str, html: str, source: dict) -> DataFrame:
+    """The second form of search_rows(): selectors by alias names, an author, the host for rows without a link, and a result_id. Rows
+    without a title go; a source without an item selector has no rows."""
+    found = alias_selectors(source)
+    item = found.pop("item")
+    rows = page_rows(pages, key, html, item or NOTHING, {f: s or NOTHING for f, s in found.items()})
+    host, name = clean_host(F.lit(source.get("host") or "")), source.get("id") or "unknown"
+    detail = F.coalesce(F.nullif(resolve(F.col("url"), host), F.lit("")), host)
+    texts = [F.nullif(f, F.lit("")).alias(f) for f in ("author", "latest_chapter", "status", "update_time")]
+    number = F.concat(F.lit(f"{name}:"), F.coalesce(F.nullif(detail, F.lit("")), F.col("ord").cast("string")))
+    cover = F.nullif(resolve(F.col("cover"), host), F.lit(""))
+    return rows.filter("title <> ''").select(
+        key, "ord", number.alias("result_id"), F.lit(name).alias("source_id"), F.lit(source.get("name") or name).alias("source_name"), "title", detail.alias("detail_url"), cover.alias("cover"), *texts, F.lit(100).alias("weight")
+    )
+
+
+def _own(selector: str | None) -> str:
+    """The server's dialect: plain CSS inside an element, nothing or & for the element itself."""
+    return "*.0" if not selector or selector == "&" else selector
+
+
+def _link(selector: str | None) -> str:
+    """selector@attribute, href where none is named."""
+    css_part, _, attribute = (selector or "").partition("@")
+    return f"{_own(css_part)}@{attribute or 'href'}" if css_part else NOTHING
+
+
+def _styled(value: str, style: str) -> Column:
+    """A value, or the url() of a style if it is empty."""
+    return F.coalesce(F.nullif(value, F.lit("")), F.regexp_extract(style, r"url\(['\"]?([^'\")]+)['\"]?\)", 1))
+
+
+def plain_rows(pages: DataFrame, key: str, html: str, source: dict) -> DataFrame:
+    """Result rows by a source's plain CSS selectors: covers from src, data-src, data-original or a style; rows without a title go."""
+    search = source["search"]
+    cover = search.get("coverSelector") or NOTHING
+    more = {"latest_chapter": "latestChapterSelector", "status": "statusSelector", "update_time": "updateTimeSelector"}
+    rules = {"title": f"{_own(search.get('titleSelector'))}@text", "url": _link(search.get("detailUrlSelector"))}
+    rules |= {"cover": f"{cover}@src||{cover}@data-src||{cover}@data-original", "style": f"{cover}@style"}
+    rules |= {c: f"{search[s]}@text" if search.get(s) else NOTHING for c, s in more.items()}
+    rows, host = page_rows(pages, key, html, search["listSelector"], rules), F.lit(source["host"])
+    return rows.filter("title <> ''").select(
+        key, "ord", F.lit(source["id"]).alias("source_id"), "title", resolve_plain(_styled("cover", "style"), host).alias("cover"), resolve_plain(F.col("url"), host).alias("detail_url"), *more
+    )
+
+
+def detail_fields(pages: DataFrame, key: str, html: str, source: dict) -> DataFrame:
+    """One row a page: title (the page's own without a selector), cover and description (a meta element's content first), author,
+    status and latest chapter; empty where nothing is found."""
+    detail = source["detail"]
+    cover, about = detail.get("coverSelector") or NOTHING, detail.get("descriptionSelector") or NOTHING
+    rules = {"title": f"{detail.get('titleSelector') or 'title'}@text", "cover": f"{cover}@content||{cover}@src||{cover}@data-src", "style": f"{cover}@style"}
+    rules |= {"description": f"{about}@content||{about}@text"}
+    rules |= {c: f"{detail[s]}@text" if detail.get(s) else NOTHING for c, s in {"author": "authorSelector", "status": "statusSelector", "latest_chapter": "latestChapterSelector"}.items()}
+    rows = page_fields(pages, key, html, rules)
+    return rows.withColumn("cover", resolve_plain(_styled("cover", "style"), F.lit(source["host"]))).drop("style")
+
+
+def chapter_rows(pages: DataFrame, key: str, html: str, source: dict) -> DataFrame:
+    """(key, ord, title, url): the chapters that a page lists, those without a title left out."""
+    part = source["chapters"]
+    rows = page_rows(pages, key, html, part["listSelector"], {"title": f"{_own(part.get('titleSelector'))}@text", "url": _link(part.get("urlSelector"))})
+    return rows.filter("title <> ''").select(key, "ord", "title", resolve_plain(F.col("url"), F.lit(source["host"])).alias("url"))
+
+
+def image_rows(pages: DataFrame, key: str, html: str, source: dict) -> DataFrame:
+    """(key, ord, url): the images that a page shows, by the named attribute or the usual ones of images loaded late."""
+    part = source["images"]
+    attributes = [a for a in (part.get("srcAttribute"), "data-src", "data-original") if a]
+    rows = page_rows(pages, key, html, part["listSelector"], {"url": "||".join(f"*.0@{a}" for a in attributes)})
+    return rows.filter("url <> ''").select(key, "ord", resolve_plain(F.col("url"), F.lit(source["host"])).alias("url"))

@@ -17,6 +17,16 @@ BLOCK_SIGNS = [
     ("blocked_pattern", ["请求过于频繁", "rate limit", "访问过于频繁"]),
 ]
 STATUS_SIGNS = [("completed", ["完结", "完結", "completed"]), ("hiatus", ["停更", "休刊"])]
+#: The other sources' own signs, by containment or by equality.
+SHORT_STATUS_SIGNS = [("completed", ["完结", "完結"]), ("hiatus", ["停更"])]
+STATUS_VALUES = {"completed": "completed", "完结": "completed"}
+# Headers that a source may set, and those sent where it doesn't.
+HEADER_KEYS = ["user-agent", "accept", "accept-language", "referer", "cookie"]
+DEFAULT_HEADERS = {
+    "User-Agent": "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36",
+    "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8",
+    "Accept-Language": "zh-CN,zh;q=0.9,en;q=0.8",
+}
 ERROR_SIGNS = [("DNS_FAILED", ["ENOTFOUND", "getaddrinfo"]), ("CONNECTION_REFUSED", ["ECONNREFUSED"]), ("TLS_FAILED", ["CERT_", "UNABLE_TO_VERIFY_LEAF_SIGNATURE", "SSL", "TLS"])]
 
 
@@ -33,6 +43,10 @@ def status_of(c: Column, signs: list = STATUS_SIGNS) -> Column:
     return first_rule("ongoing", *[(contains_any(c, *s), kind) for kind, s in signs])
 
 
+def status_value(c: Column) -> Column:
+    return first_rule("ongoing", *[(c == v, kind) for v, kind in STATUS_VALUES.items()])
+
+
 def error_class(c: Column) -> Column:
     return first_rule("FETCH_FAILED", *[(contains_any(c, *s), kind) for kind, s in ERROR_SIGNS])
 
@@ -55,3 +69,12 @@ def header_value(c: Column) -> Column:
 
 def tags_of(c: Column, separator: str = ",") -> Column:
     return F.filter(F.transform(F.split(c, separator), lambda t: F.trim(t)), lambda t: t != "")
+
+
+def merged_headers(extra: Column) -> Column:
+    """The default headers with those of `extra` that are allowed and not blank; a key takes a default's place only if it is spelled
+    like it, else both stand."""
+    defaults = F.create_map(*[F.lit(x) for kv in DEFAULT_HEADERS.items() for x in kv])
+    allowed = F.map_filter(F.coalesce(extra, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(F.trim(k)).isin(HEADER_KEYS))
+    own = F.map_filter(F.transform_values(allowed, lambda k, v: header_value(v)), lambda k, v: v.isNotNull())
+    return F.map_concat(F.map_filter(defaults, lambda k, v: ~F.array_contains(F.map_keys(own), k)), own)

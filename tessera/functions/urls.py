@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import encode_component
+from .values import encode_component, trimmed
 
 # What templates call the keyword, first match counts; and hosts that must not be read.
 PLACEHOLDERS = ["{{keyword}}", "{keyword}", "{{key}}", "{key}", "searchKey", "%s"]
@@ -84,3 +84,47 @@ def failover_hosts(host: Column) -> Column:
     """Hosts to try, in order: a cn. host also as www. and m."""
     rest = F.regexp_extract(host, r"^cn\.(.*)$", 1)
     return F.when(host.startswith("cn."), F.array(host, F.concat(F.lit("www."), rest), F.concat(F.lit("m."), rest))).otherwise(F.array(host))
+
+
+def replace_first(c: Column, piece: str, new: Column) -> Column:
+    """The text with the first occurrence of a fixed piece replaced."""
+    at = F.instr(c, piece)
+    return F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), new, F.substring(c, at + len(piece), F.length(c)))).otherwise(c)
+
+
+def keyword_url(template: Column, keyword: Column, host: Column) -> Column:
+    """The first form of search URLs: {{keyword}} percent-encoded, {{keyword.raw}} as it is, relative paths on the host."""
+    url = F.replace(F.replace(template, F.lit("{{keyword}}"), encode_component(keyword)), F.lit("{{keyword.raw}}"), keyword)
+    base = F.regexp_replace(host, "/+$", "")
+    return F.when(url.startswith("http://") | url.startswith("https://"), url).otherwise(F.concat(base, F.lit("/"), F.regexp_replace(url, "^/", "")))
+
+
+def safe_search_url(template: Column, keyword: Column, host: Column) -> Column:
+    """The search URL, or null if it mustn't be read."""
+    url = full_url(apply_keyword(template, keyword), host)
+    return F.when(is_safe(url), url)
+
+
+def looks_like_url(c: Column) -> Column:
+    return c.rlike(ABSOLUTE) | c.rlike("^/[^@]")
+
+
+# The fields in which a source may keep its search URL, first match counts; the last may also be a selector.
+URL_FIELDS = ["path", "searchUrl", "ruleSearchUrl", "url"]
+
+
+def template_of(search: dict[str, Column], raw: dict[str, Column]) -> Column:
+    """The first URL template among the fields of a source's search part and raw record, field by field; blank is missing."""
+    found = []
+    for field in URL_FIELDS:
+        for place in (search, raw):
+            if field in place:
+                value = F.nullif(trimmed(place[field]), F.lit(""))
+                found.append(F.when(looks_like_url(value), value) if field == "url" else value)
+    return F.coalesce(*found)
+
+
+def field_of(search: dict[str, Column], raw: dict[str, Column], names: list[str]) -> Column:
+    """The first text that isn't blank among alias names; a name that the search part has hides the raw record's."""
+    both = [F.coalesce(search.get(n, F.lit(None)), raw.get(n, F.lit(None))) for n in names]
+    return F.coalesce(*[F.nullif(trimmed(b), F.lit("")) for b in both], F.lit(""))

@@ -36,21 +36,25 @@ def failure_runs(df: DataFrame, key: str, failed: Column, order: list[str]) -> D
 
 
 class Breaker:
-    """State of one key: status, failures in a row, blocked until when (microseconds)."""
+    """State of one key: status, failures in a row, blocked until when (microseconds), last error."""
 
-    def __init__(self, status: str = "unknown", failures: int = 0, until: int | None = None) -> None:
-        self.status, self.failures, self.until = status, failures, until
+    def __init__(self, status: str = "unknown", failures: int = 0, until: int | None = None, error: str | None = None) -> None:
+        self.status, self.failures, self.until, self.error = status, failures, until, error
 
-    def step(self, at: int, failed: bool, hard: bool, cooldown: int) -> bool:
+    def recover(self) -> None:
+        """Someone opens the key again by hand."""
+        self.__init__()
+
+    def step(self, at: int, failed: bool, hard: bool, cooldown: int, error: str | None = None) -> bool:
         """Take one check; False if it is skipped because the key is blocked."""
         if self.status == "blocked":
             if at < self.until:
                 return False
             self.status, self.failures, self.until = "unknown", 0, None
         if not failed:
-            self.status, self.failures, self.until = "healthy", 0, None
+            self.__init__("healthy")
             return True
-        self.failures += 1
+        self.failures, self.error = self.failures + 1, error
         if hard or self.failures >= 3:
             self.status, self.until = "blocked", at + cooldown
         else:
@@ -58,31 +62,42 @@ class Breaker:
         return True
 
 
-BREAKER_SCHEMA = "key long, event_id long, ts timestamp_ntz, skipped boolean, status string, failures long, blocked_until timestamp_ntz"
+BREAKER_SCHEMA = "key long, event_id long, ts timestamp_ntz, skipped boolean, status string, failures long, blocked_until timestamp_ntz, last_error string"
+#: Columns that checks may have besides, and what counts where they are missing or null.
+OPTIONAL = {"recover": ("boolean", False), "cooldown_ms": ("long", None), "error": ("string", None)}
 
 
 def breaker_states(checks: DataFrame, cooldown_ms: int = DAY_MS) -> DataFrame:
-    """State after every check of checks(key, event_id, ts, failed, hard).
+    """State after every check of checks(key, event_id, ts, failed, hard), with the error of the last failure.
 
-    The state depends on all earlier checks of its key, so keys are sorted inside partitions and read as a stream: a key's rows
-    are never held together, whatever their number.
+    If there are such columns, cooldown_ms is the key's own cooldown, error the failure's text, and a row with recover is no check
+    but opens its key by hand. The state depends on all earlier checks of its key, so keys are sorted inside partitions and read as
+    a stream: a key's rows are never held together, whatever their number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, Breaker()
         for batch in batches:
-            keys, ats = batch.column("key").to_pylist(), batch.column("ts").cast(pa.int64()).to_pylist()
+            ats = batch.column("ts").cast(pa.int64()).to_pylist()
+            names = ("key", "failed", "hard", "recover", "cooldown_ms", "error")
             rows = []
-            for k, at, failed, hard in zip(keys, ats, batch.column("failed").to_pylist(), batch.column("hard").to_pylist(), strict=True):
+            for at, (k, failed, hard, recover, own, error) in zip(ats, zip(*(batch.column(c).to_pylist() for c in names), strict=True), strict=True):
                 if k != key:
                     key, state = k, Breaker()
-                taken = state.step(at, bool(failed), bool(hard), cooldown_ms * 1000)
-                rows.append((not taken, state.status, state.failures, state.until))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+                taken = True
+                if recover:
+                    state.recover()
+                else:
+                    taken = state.step(at, bool(failed), bool(hard), (own or cooldown_ms) * 1000, error)
+                rows.append((not taken, state.status, state.failures, state.until, state.error))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            types = (pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            skipped, status, failures, until, errors = (pa.array(list(c), t) for c, t in zip(cols, types, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("event_id"), batch.column("ts"), pa.array(list(cols[0]), pa.bool_()), pa.array(list(cols[1]), pa.string()), pa.array(list(cols[2]), pa.int64()), pa.array(list(cols[3]), pa.int64()).cast(pa.timestamp("us"))],
-                names=["key", "event_id", "ts", "skipped", "status", "failures", "blocked_until"],
+                [batch.column("key"), batch.column("event_id"), batch.column("ts"), skipped, status, failures, until.cast(pa.timestamp("us")), errors],
+                names=["key", "event_id", "ts", "skipped", "status", "failures", "blocked_until", "last_error"],
             )
 
-    ordered = checks.select("key", "event_id", "ts", "failed", "hard").repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    more = [F.col(c).cast(t) if c in checks.columns else F.lit(value).cast(t).alias(c) for c, (t, value) in OPTIONAL.items()]
+    ordered = checks.select("key", "event_id", "ts", "failed", "hard", *more).repartition("key").sortWithinPartitions("key", "ts", "event_id")
     return ordered.mapInArrow(run, BREAKER_SCHEMA)

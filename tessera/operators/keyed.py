@@ -92,3 +92,25 @@ def optional_filters(df: DataFrame, states: list[str] | None = None, languages:
     if text is not None:
         df = df.filter(reduce(lambda a, b: a | b, [F.lower(f).contains(text.lower()) for f in fields], F.lit(False)))
     return df
+
+
+def import_rows(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
+    """upsert() in which the fields of `keep` (such as the time a row was made) stay the old side's where it has them."""
+    rest = [c for c in old.columns if c not in keys]
+    both = old.alias("o").join(one_per_key(new, keys, False).alias("n"), keys, "full")
+    order = {c: ("o", "n") if c in keep else ("n", "o") for c in rest}
+    return both.select(*keys, *[F.coalesce(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")).alias(c) for c, (a, b) in order.items()])
+
+
+def patch(df: DataFrame, where: Column, column: str, **fields: Column) -> DataFrame:
+    """Some fields of a struct column set in the rows that `where` holds for; its other fields stay."""
+    new = reduce(lambda c, kv: c.withField(*kv), fields.items(), F.col(column))
+    return df.withColumn(column, F.when(where, new).otherwise(F.col(column)))
+
+
+def candidates(risk: Column, active: Column, reachable: Column, checked: Column, ok: Column, medium_at_most: bool = True, failed_too: bool = False) -> Column:
+    """Whether a search may ask a source: active, reachable and of low or medium risk (or just neither high nor blocked); failed_too
+    asks those as well whose last check failed."""
+    fine = risk.isin("low", "medium") if medium_at_most else ~risk.isin("high", "blocked")
+    out = fine & active & reachable
+    return F.coalesce(out if failed_too else out & ~(checked & ~ok), F.lit(False))

@@ -121,3 +121,14 @@ def representatives(rows: DataFrame, cluster: str, weight: str, source: str, nam
 
 def normalized(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("t", normalize_title(F.col(column)))
+
+
+def answers(rows: DataFrame, title: str, weight: str, key: str, dedupe: bool = True, folder: str | None = None) -> DataFrame:
+    """rows, heaviest first. With dedupe each row has the leader of its cluster of like titles: titles are taken by weight, then by
+    key, and the rows of one title are in one cluster."""
+    order = [F.coalesce(weight, F.lit(0)).desc(), F.col(key)]
+    if not dedupe:
+        return rows.orderBy(*order)
+    titled = normalized(rows, title)
+    ordered = titled.select("t", F.struct((-F.coalesce(weight, F.lit(0))).alias("w"), F.col(key).alias("k")).alias("ord"))
+    return titled.join(leader_clusters(ordered, folder), "t", "left").select(*rows.columns, "leader").orderBy(*order)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.keyed import top_per_key
 from tessera.sources.tables import table
 
 #: corpus -> columns of an item's number and its text, and rank among sources
@@ -35,3 +36,20 @@ def aggregated_search(spark: SparkSession, sf_dir: str, keyword: str = "ing") ->
 
 def summary(groups: DataFrame) -> DataFrame:
     return groups.agg(F.sum("results").alias("total"), F.count("*").alias("sources"), F.count_if(~F.col("ok")).alias("empty"))
+
+
+def outcome(asked: DataFrame) -> DataFrame:
+    """One row about asked(state, results): results in all, sources searched, failed and skipped."""
+    state = F.col("state")
+    return asked.agg(
+        F.coalesce(F.sum(F.when(state == "ok", F.col("results"))), F.lit(0)).alias("total_results"), F.count_if(state != "skipped").alias("searched"),
+        F.count_if(state == "failed").alias("failed"), F.count_if(state == "skipped").alias("skipped"),
+    )
+
+
+def grouped(found: DataFrame, each: int = 20) -> DataFrame:
+    """(source, results, items): of each source the number of hits and the first `each` items as an array, one page of them."""
+    hit = found.filter("hit")
+    first = top_per_key(hit.select("source", "item"), ["source"], [F.col("item")], each)
+    items = first.groupBy("source").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return hit.groupBy("source").agg(F.count("*").alias("results")).join(items, "source")

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.extract.selectors import page_fields, page_rows
+from tessera.extract.json_rows import response_rows, value_at
+from tessera.extract.selectors import alias_rows, chapter_rows, detail_fields, page_fields, page_rows, plain_rows
 from tessera.functions import text as X
 from tessera.functions import urls as U
 from tessera.functions import values as V
@@ -315,11 +316,36 @@ def failover_flag(spark: SparkSession, d: str) -> DataFrame:
     return latest.groupBy("user_id").agg((F.count_if(failed) == 2).alias("fails_over"))
 
 
-@query()
+def _breaker_sql(recover: str, cooldown: str, error: str, columns: str) -> str:
+    """The breaker as a recursion over each key's checks in order."""
+    base = "CASE WHEN s.status = 'blocked' THEN 0 ELSE s.failures END + 1"
+    return f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, ts, event_type = 'error' AS failed, event_type = 'error' AND value > 200 AS hard, {recover} AS recover,
+to_milliseconds({cooldown}) AS cooldown, {error} AS error, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, false AS skipped, 'unknown' AS status, CAST(0 AS BIGINT) AS failures,
+CAST(NULL AS TIMESTAMP) AS blocked_until, CAST(NULL AS VARCHAR) AS last_error FROM e UNION ALL
+SELECT key, n, event_id, ts, skip, CASE WHEN recover THEN 'unknown' WHEN skip THEN status WHEN NOT failed THEN 'healthy' WHEN block THEN 'blocked' WHEN f >= 2 THEN 'degraded' ELSE 'healthy' END,
+CASE WHEN recover THEN 0 WHEN skip THEN failures WHEN failed THEN f ELSE 0 END, CASE WHEN recover THEN NULL WHEN skip THEN blocked_until WHEN failed AND block THEN ts + cooldown END,
+CASE WHEN recover THEN NULL WHEN skip THEN last_error WHEN failed THEN error END FROM
+(SELECT e.*, s.status, s.failures, s.blocked_until, s.last_error, NOT e.recover AND s.status = 'blocked' AND e.ts < s.blocked_until AS skip, {base} AS f, e.hard OR {base} >= 3 AS block
+FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)) SELECT {columns} FROM s WHERE n > 0"""
+
+
+@query(_breaker_sql("false", "86400000", "CAST(NULL AS VARCHAR)", "key, event_id, ts, skipped, status, failures, blocked_until"))
 def breaker_states(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     checks = e.select(F.col("user_id").alias("key"), "event_id", "ts", (F.col("event_type") == "error").alias("failed"), ((F.col("event_type") == "error") & (F.col("value") > 200)).alias("hard"))
-    return H.breaker_states(checks)
+    return H.breaker_states(checks).drop("last_error")
+
+
+@query(_breaker_sql("event_type = 'purchase' AND event_id % 3 = 0", "CASE WHEN user_id % 2 = 0 THEN 3600000 ELSE 86400000 END", "props", "key, event_id, ts, skipped, status, failures, blocked_until, last_error"))
+def breaker_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """Cooldowns of each key's own, keys opened by hand, and the text of the last failure."""
+    e, failed = table(spark, d, "events"), F.col("event_type") == "error"
+    own = F.when(F.col("user_id") % 2 == 0, 3_600_000)
+    return H.breaker_states(e.select(
+        F.col("user_id").alias("key"), "event_id", "ts", failed.alias("failed"), (failed & (F.col("value") > 200)).alias("hard"), own.alias("cooldown_ms"), F.col("props").alias("error"),
+        ((F.col("event_type") == "purchase") & (F.col("event_id") % 3 == 0)).alias("recover"),
+    ))
 
 
 @query("""SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn, CAST(row_number() OVER w - 1 AS BIGINT) AS ord FROM conversations
@@ -735,3 +761,195 @@ def ttl_left(spark: SparkSession, d: str) -> DataFrame:
     now = F.broadcast(e.agg(F.unix_seconds(F.date_trunc("second", F.max("ts")).cast("timestamp")).alias("now")))
     age = F.col("now") - F.unix_seconds(F.date_trunc("second", F.col("ts")).cast("timestamp"))
     return e.filter("event_type = 'click'").join(now).select("event_id", F.greatest(F.lit(0).cast("long"), F.lit(86400) - age).alias("left_s"))
+
+
+# --- collation, headers, paths, templates and searches over sources -------------------------------------------
+
+
+@query(f"""SELECT s_suppkey, risk, s_name FROM ({_CATALOG}) ORDER BY CASE risk WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'blocked' THEN 3 ELSE 9 END, s_name COLLATE zh, s_suppkey LIMIT 50""")
+def risk_then_name(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of sources by risk, then by name in Chinese order."""
+    order = V.rank_of(F.col("risk"), ["low", "medium", "high", "blocked"])
+    return _catalog(spark, d).select("s_suppkey", "risk", "s_name").orderBy(order, F.collate("s_name", "zh"), "s_suppkey").limit(50)
+
+
+@query(f"""SELECT s_suppkey, risk NOT IN ('high', 'blocked') AND active AND reachable AND NOT (checked AND NOT ok) AS wide, risk IN ('low', 'medium') AND active AND reachable AS unified,
+risk IN ('low', 'medium') AND active AND reachable AND NOT (checked AND NOT ok) AS strict FROM
+(SELECT *, s_suppkey % 5 <> 0 AS active, s_suppkey % 7 <> 0 AS reachable, s_suppkey % 3 = 0 AS checked, s_suppkey % 2 = 0 AS ok FROM ({_CATALOG}))""")
+def candidate_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The three rules by which searches choose their sources."""
+    k = F.col("s_suppkey")
+    parts = (F.col("risk"), k % 5 != 0, k % 7 != 0, k % 3 == 0, k % 2 == 0)
+    return _catalog(spark, d).select(
+        "s_suppkey", K.candidates(*parts, medium_at_most=False).alias("wide"), K.candidates(*parts, failed_too=True).alias("unified"), K.candidates(*parts).alias("strict")
+    )
+
+
+_EXTRA = "MAP {'user-agent': s_name, 'Accept': CASE WHEN s_suppkey % 2 = 0 THEN ' a' || chr(10) || 'é' ELSE 'é' END, 'X-Own': 'x', 'Referer': 'https://r/'}"
+
+
+@query(f"""SELECT s_suppkey, {len(X.DEFAULT_HEADERS)} + 2 AS n, s_name AS agent, CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE '{X.DEFAULT_HEADERS["Accept"]}' END AS accept,
+map_extract(e, 'Referer')[1] AS referer, CAST(NULL AS VARCHAR) AS own, '{X.DEFAULT_HEADERS["User-Agent"]}' AS standard FROM (SELECT *, {_EXTRA} AS e FROM supplier)""")
+def header_merge(spark: SparkSession, d: str) -> DataFrame:
+    accept = F.when(F.col("s_suppkey") % 2 == 0, " a\né").otherwise("é")
+    extra = F.create_map(F.lit("user-agent"), F.col("s_name"), F.lit("Accept"), accept, F.lit("X-Own"), F.lit("x"), F.lit("Referer"), F.lit("https://r/"))
+    h = table(spark, d, "supplier").select("s_suppkey", X.merged_headers(extra).alias("h"))
+    of = {"agent": "user-agent", "accept": "Accept", "referer": "Referer", "own": "X-Own", "standard": "User-Agent"}
+    return h.select("s_suppkey", F.size("h").alias("n"), *[F.col("h")[k].alias(c) for c, k in of.items()])
+
+
+@query("""SELECT s_suppkey, s_name AS first_name, CAST(s_nationkey AS VARCHAR) AS second, CAST(NULL AS VARCHAR) AS beyond, s_name AS named, CAST(NULL AS VARCHAR) AS any_item FROM supplier""")
+def json_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths with numbers: places in arrays, names in objects; wildcards find nothing."""
+    item = lambda c: F.struct(F.col(c).cast("string").alias("name"))
+    body = F.to_json(F.struct(F.array(item("s_name"), item("s_nationkey")).alias("list"), F.struct(F.col("s_name").alias("0")).alias("by")))
+    paths = {"first_name": "$.list.0.name", "second": "list.1.name", "beyond": "$.list.2.name", "named": "$.by.0", "any_item": "$.list[*].name"}
+    return table(spark, d, "supplier").select("s_suppkey", body.alias("b")).select("s_suppkey", *[value_at(F.col("b"), p).alias(c) for c, p in paths.items()])
+
+
+@query("""SELECT s_suppkey, CAST(i AS BIGINT) AS ord, 's1' AS source_id, s_name AS title, CASE WHEN s_suppkey % 2 = 1 THEN 'https://h.com/h' WHEN i = 0 THEN 'https://h.com/c/' || s_suppkey ELSE 'https://h.com' END AS detail_url,
+CASE WHEN s_suppkey % 2 = 0 AND i = 0 THEN 'https://c.com/1' END AS cover, 100 AS weight FROM supplier, (VALUES (0), (2)) v(i) WHERE s_suppkey % 2 = 0 OR i = 0""")
+def response_search(spark: SparkSession, d: str) -> DataFrame:
+    """Answers in JSON with an item without a title, and in HTML."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    item = lambda t, u, c: F.struct(t.alias("t"), u.alias("u"), F.lit(c).alias("c"))
+    items = F.array(item(name, F.concat(F.lit("/c/"), k.cast("string")), "//c.com/1"), item(F.lit(""), F.lit("/x"), None), item(name, F.lit(None).cast("string"), None))
+    page = F.concat(F.lit('<ul><li class="t"><a class="t" href="/h">'), name, F.lit("</a></li></ul>"))
+    body = F.when(k % 2 == 0, F.to_json(F.struct(F.struct(items.alias("list")).alias("data")))).otherwise(page)
+    rule = {"id": "s1", "host": "https://h.com/", "search": {"item": "$.data.list", "title": "t", "url": "u", "cover": "c"}}
+    html = rule | {"search": {"item": "li", "title": "tag.a@text", "url": "tag.a@href"}}
+    answers = table(spark, d, "supplier").select("s_suppkey", body.alias("body"))
+    found = response_rows(answers, "s_suppkey", "body", rule).unionByName(response_rows(answers.filter(k % 2 == 1), "s_suppkey", "body", html))
+    return found.select("s_suppkey", "ord", "source_id", "title", "detail_url", "cover", "weight")
+
+
+_NAV = """(SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="[^"]*">[^<]*') AS m FROM pages))"""
+_HREF, _LABEL = _plain("regexp_extract(m[i], 'href=" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + "', 1)"), _plain("regexp_extract(m[i], '>([^<]*)$', 1)")
+_AT_HOST = "CASE WHEN u = '' THEN '' WHEN starts_with(u, 'http') THEN u WHEN starts_with(u, '//') THEN 'https:' || u WHEN starts_with(u, '/') THEN 'https://h.com' || u ELSE 'https://h.com/' || u END"
+
+
+@query(f"""SELECT page_id, ord, 's2:' || url AS result_id, 's2' AS source_id, 'Two' AS source_name, title, url AS detail_url, CAST(NULL AS VARCHAR) AS cover, title AS author, CAST(NULL AS VARCHAR) AS latest_chapter,
+CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS update_time, 100 AS weight FROM (SELECT page_id, ord, title, {_AT_HOST.replace("'https://h.com/' || u", "'https://' || u")} AS url FROM
+(SELECT page_id, CAST(i - 1 AS BIGINT) AS ord, {_HREF} AS u, {_LABEL} AS title FROM {_NAV})) WHERE title <> ''""")
+def alias_search(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by selectors that a source has under other names, some in its raw record."""
+    search = {"list": "nav li", "ruleSearchName": "tag.a@text", "author": "tag.a@text"}
+    source = {"id": "s2", "name": "Two", "host": "https://h.com/#n", "search": search, "metadata": {"raw": {"ruleSearchNoteUrl": "tag.a@href", "title": " "}}}
+    return alias_rows(table(spark, d, "pages"), "page_id", "html", source)
+
+
+@query(f"SELECT page_id, ord, title, {_AT_HOST} AS url FROM (SELECT page_id, CAST(i - 1 AS BIGINT) AS ord, {_HREF} AS u, {_LABEL} AS title FROM {_NAV}) WHERE title <> ''")
+def page_chapters(spark: SparkSession, d: str) -> DataFrame:
+    return chapter_rows(table(spark, d, "pages"), "page_id", "html", {"host": "https://h.com", "chapters": {"listSelector": "nav li a", "titleSelector": "&", "urlSelector": "&@href"}})
+
+
+@query(f"""SELECT page_id, ord, 's3' AS source_id, title, '' AS cover, {_AT_HOST} AS detail_url, title AS latest_chapter, '' AS status, '' AS update_time FROM
+(SELECT page_id, CAST(i - 1 AS BIGINT) AS ord, {_HREF} AS u, {_LABEL} AS title FROM {_NAV}) WHERE title <> ''""")
+def plain_search(spark: SparkSession, d: str) -> DataFrame:
+    search = {"listSelector": "nav li", "titleSelector": "a", "detailUrlSelector": "a", "coverSelector": "img", "latestChapterSelector": "a"}
+    return plain_rows(table(spark, d, "pages"), "page_id", "html", {"id": "s3", "host": "https://h.com/", "search": search})
+
+
+@query(f"""SELECT page_id, {_plain("trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1))")} AS title, '' AS cover, {_plain("trim(regexp_extract(html, '<div class=" + chr(34) + "ad" + chr(34) + ">([^<]*)</div>', 1))")} AS description,
+'' AS author, '' AS status, {_plain("trim(regexp_extract(html, '<nav><ul><li><a href=" + chr(34) + "[^" + chr(34) + "]*" + chr(34) + ">([^<]*)', 1))")} AS latest_chapter FROM pages""")
+def page_detail(spark: SparkSession, d: str) -> DataFrame:
+    detail = {"titleSelector": "h1", "coverSelector": "meta[property='og:image']", "descriptionSelector": "div.ad", "latestChapterSelector": "nav a"}
+    return detail_fields(table(spark, d, "pages"), "page_id", "html", {"host": "https://h.com", "detail": detail})
+
+
+_RAW_TEMPLATES = ["/s?q={{keyword}}", "s/{{keyword.raw}}", "https://api.test/{{keyword}}/{{keyword.raw}}"]
+
+
+@query(f"""SELECT s_suppkey, CASE WHEN starts_with(u, 'https://') THEN u WHEN starts_with(u, '/') THEN 'https://h.com' || u ELSE 'https://h.com/' || u END AS url FROM
+(SELECT s_suppkey, replace(replace(t, '{{{{keyword}}}}', 'a%20b'), '{{{{keyword.raw}}}}', 'a b') AS u FROM supplier JOIN (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(_RAW_TEMPLATES))}) x(i, t) ON s_suppkey % 3 = x.i)""")
+def url_templates_raw(spark: SparkSession, d: str) -> DataFrame:
+    t = F.get(F.array(*map(F.lit, _RAW_TEMPLATES)), (F.col("s_suppkey") % 3).cast("int"))
+    return table(spark, d, "supplier").select("s_suppkey", U.keyword_url(t, F.lit("a b"), F.lit("https://h.com//")).alias("url"))
+
+
+_HOSTS = ["h.com", "http://127.0.0.1", "localhost", "https://[::1]/"]
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'https://h.com/s?keyword=a%20b' END AS url FROM supplier")
+def safe_search_urls(spark: SparkSession, d: str) -> DataFrame:
+    host = F.get(F.array(*map(F.lit, _HOSTS)), (F.col("s_suppkey") % 4).cast("int"))
+    return table(spark, d, "supplier").select("s_suppkey", U.safe_search_url(F.lit("/s"), F.lit("a b"), host).alias("url"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_brand WHEN p_partkey % 2 = 0 THEN '/find' END AS template,
+CASE WHEN p_partkey % 2 = 0 THEN '/find' ELSE 'tag.a@href' END AS link FROM part""")
+def template_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The search URL in the first of four fields and two places that has one (a selector is none), and a selector by alias names."""
+    k = F.col("p_partkey")
+    url = F.when(k % 2 == 0, " /find ").otherwise("tag.a@href")
+    search = {"path": F.when(k % 3 == 0, F.col("p_name")).otherwise("  "), "url": url}
+    raw = {"searchUrl": F.when(k % 3 == 1, F.col("p_brand"))}
+    return table(spark, d, "part").select("p_partkey", U.template_of(search, raw).alias("template"), U.field_of(search, raw, ["url", "detailUrl"]).alias("link"))
+
+
+@query("SELECT page_id, CASE WHEN instr(url, 'e') > 0 THEN left(url, instr(url, 'e') - 1) || '<' || lower(left(url, 4)) || '>' || substr(url, instr(url, 'e') + 1) ELSE url END AS url FROM pages")
+def replace_first(spark: SparkSession, d: str) -> DataFrame:
+    new = F.concat(F.lit("<"), F.lower(F.left("url", F.lit(4))), F.lit(">"))
+    return table(spark, d, "pages").select("page_id", U.replace_first(F.col("url"), "e", new).alias("url"))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(b, '完结') OR contains(b, '完結') THEN 'completed' WHEN contains(b, '停更') THEN 'hiatus' ELSE 'ongoing' END AS short,
+CASE WHEN b IN ('completed', '完结') THEN 'completed' ELSE 'ongoing' END AS value FROM
+(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '已完結' WHEN 1 THEN '完结' WHEN 2 THEN 'completed' WHEN 3 THEN '停更中' WHEN 4 THEN '休刊' ELSE source END AS b FROM documents)""")
+def status_variants(spark: SparkSession, d: str) -> DataFrame:
+    words = {0: "已完結", 1: "完结", 2: "completed", 3: "停更中", 4: "休刊"}
+    b = reduce(lambda c, w: F.when(F.col("doc_id") % 6 == w[0], w[1]).otherwise(c), words.items(), F.col("source"))
+    return table(spark, d, "documents").select("doc_id", X.status_of(b, X.SHORT_STATUS_SIGNS).alias("short"), X.status_value(b).alias("value"))
+
+
+@query("""SELECT CAST(coalesce(sum(s_suppkey % 5) FILTER (s_acctbal >= 0 AND s_suppkey % 7 <> 0), 0) AS BIGINT) AS total_results, count(*) FILTER (s_acctbal >= 0) AS searched,
+count(*) FILTER (s_acctbal >= 0 AND s_suppkey % 7 = 0) AS failed, count(*) FILTER (s_acctbal < 0) AS skipped FROM supplier""")
+def search_outcome(spark: SparkSession, d: str) -> DataFrame:
+    state = V.first_rule("ok", (F.col("s_acctbal") < 0, "skipped"), (F.col("s_suppkey") % 7 == 0, "failed"))
+    return search.outcome(table(spark, d, "supplier").select(state.alias("state"), (F.col("s_suppkey") % 5).alias("results")))
+
+
+@query(f"""SELECT source, count(*) AS results, string_agg(item, ',' ORDER BY item) FILTER (r <= 5) AS items FROM
+(SELECT source, item, row_number() OVER (PARTITION BY source ORDER BY item) AS r FROM ({_HITS}) WHERE hit) GROUP BY source""")
+def results_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return search.grouped(search.hits(spark, d, "ing"), 5).select("source", "results", F.array_join("items", ",").alias("items"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, coalesce(string_agg(page_id, ',' ORDER BY page_id) FILTER (ok), '') AS recommended FROM
+(SELECT page_id, contains(lower(html), 'ing') AS ok FROM pages WHERE starts_with(url, 'http') ORDER BY page_id LIMIT 50)""")
+def diagnose_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of at most fifty sources, fifty being the feature's own limit: how many pass, and which."""
+    ok = F.lower("html").contains("ing")
+    batch = table(spark, d, "pages").filter(F.col("url").startswith("http")).select("page_id", ok.alias("ok")).orderBy("page_id").limit(50)
+    good = F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("page_id"))))
+    return batch.agg(F.count("*").alias("total"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.array_join(good, ",").alias("recommended"))
+
+
+@query("""SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.quality, o.quality) AS quality, coalesce(o.made, n.made) AS made FROM (SELECT doc_id, quality, 'old' AS made FROM labels) o
+FULL JOIN (SELECT doc_id, CAST(9 AS INTEGER) AS quality, 'new' AS made FROM documents WHERE doc_id % 2 = 0 GROUP BY doc_id) n ON o.doc_id = n.doc_id""")
+def import_keeping(spark: SparkSession, d: str) -> DataFrame:
+    """An import that replaces rows but keeps when they were made."""
+    old = table(spark, d, "labels").select("doc_id", F.col("quality").cast("int"), F.lit("old").alias("made"))
+    new = table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id", F.lit(9).alias("quality"), F.lit("new").alias("made"))
+    return K.import_rows(old, new, ["doc_id"], ["made"])
+
+
+@query("SELECT p_partkey, p_brand AS brand, CASE WHEN p_size > 25 THEN 'LARGE' ELSE p_type END AS type FROM part")
+def patch_nested(spark: SparkSession, d: str) -> DataFrame:
+    """One field of a nested record set in some rows."""
+    part = table(spark, d, "part").select("p_partkey", "p_size", F.struct(F.col("p_brand").alias("brand"), F.col("p_type").alias("type")).alias("r"))
+    return K.patch(part, F.col("p_size") > 25, "r", type=F.lit("LARGE")).select("p_partkey", "r.brand", "r.type")
+
+
+@query("SELECT p_partkey, p_name, p_size AS weight FROM part")
+def results_undeduped(spark: SparkSession, d: str) -> DataFrame:
+    """The answer of a search that keeps like titles: all rows, heaviest first."""
+    rows = table(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").alias("weight"))
+    return S.answers(rows, "p_name", "weight", "p_partkey", dedupe=False)
+
+
+@query()
+def title_clusters_by_weight(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of like titles, heavy titles first, with their size."""
+    rows = table(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").alias("weight"))
+    return S.answers(rows, "p_name", "weight", "p_partkey", folder=folder(spark))

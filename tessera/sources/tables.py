@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+# The formats of a registry's documents.
 RULE_SCHEMA = (
     "id STRING, name STRING, host STRING, language STRING, weight INT, enabledByDefault BOOLEAN, mode STRING, version STRING, riskLevel STRING, "
     "search STRUCT<path: STRING, item: STRING, title: STRING, url: STRING, cover: STRING, latest: STRING, status: STRING, updateTime: STRING>, "
@@ -19,6 +21,12 @@ INDEX_SCHEMA = (
     "version STRING, updatedAt STRING, count INT, sources ARRAY<STRUCT<id: STRING, name: STRING, language: STRING, host: STRING, version: STRING, riskLevel: STRING, "
     "enabledByDefault: BOOLEAN, url: STRING, status: STRING, failureCount: INT>>"
 )
+MANIFEST_SCHEMA = "name STRING, version STRING, updatedAt STRING, sourceCount INT, minClientVersion STRING, indexUrl STRING"
+AD_SCHEMA = "enabled BOOLEAN, configUrl STRING, updatedAt STRING"
+HEALTH_SCHEMA = (
+    "generatedAt STRING, total INT, checked INT, networkCheckEnabled BOOLEAN, stateChanges INT, items ARRAY<STRUCT<id: STRING, name: STRING, host: STRING, status: STRING, "
+    "riskLevel: STRING, ok: BOOLEAN, reason: STRING, checkedAt: STRING, consecutiveFailures: INT, consecutiveSuccesses: INT, totalFailures: INT, previousStatus: STRING>>"
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +43,21 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return read_documents(spark, path, INDEX_SCHEMA).selectExpr("inline(sources)")
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return read_documents(spark, path, MANIFEST_SCHEMA)
+
+
+def read_health(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each source that a health report lists."""
+    return read_documents(spark, path, HEALTH_SCHEMA).selectExpr("inline(items)")
+
+
+def read_ads(spark: SparkSession, path: str) -> DataFrame:
+    """The advertisement settings: off if they are missing or can't be read."""
+    found = read_first(spark, [path], AD_SCHEMA).agg(F.first("enabled", True).alias("enabled"), F.first("configUrl", True).alias("configUrl"), F.first("updatedAt", True).alias("updatedAt"))
+    return found.select(F.coalesce("enabled", F.lit(False)).alias("enabled"), F.coalesce("configUrl", F.lit("")).alias("configUrl"), "updatedAt")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

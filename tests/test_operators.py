@@ -5,9 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.extract.selectors import Selector, page_fields, page_rows, parse, search_rows
+from tessera.extract.json_rows import json_rows, response_rows
+from tessera.extract.selectors import Selector, alias_rows, chapter_rows, detail_fields, image_rows, plain_rows, page_fields, page_rows, parse, search_rows
 from tessera.functions import text, urls, values
 from tessera.operators import health, keyed, similarity
+from tessera.sources import tables
 
 CARDS = '<div class="card a"><a href="/x/1">T1</a><a href="/x/2">T2</a></div>'
 
@@ -163,6 +165,14 @@ def test_breaker(spark):
     assert run() == []
 
 
+def test_breaker_by_hand(spark):
+    rows = [(1, 0, T0, True, True, False, 1000, "a"), (1, 1, T0 + dt.timedelta(milliseconds=500), True, False, False, 1000, "b"), (1, 2, T0 + dt.timedelta(milliseconds=600), False, False, True, None, None)]
+    rows += [(1, 3, T0 + dt.timedelta(seconds=2), True, True, None, None, None), (1, 4, T0 + dt.timedelta(hours=23), False, False, None, None, None)]
+    df = spark.createDataFrame(rows, "key long, event_id long, ts timestamp_ntz, failed boolean, hard boolean, recover boolean, cooldown_ms long, error string")
+    got = [(r.status, r.failures, r.skipped, r.last_error) for r in health.breaker_states(df).orderBy("event_id").collect()]
+    assert got == [("blocked", 1, False, "a"), ("blocked", 1, True, "a"), ("unknown", 0, False, None), ("blocked", 1, False, None), ("blocked", 1, True, None)]
+
+
 def test_ewma_and_rollup(spark):
     df = spark.createDataFrame([(1, 100.0, 1), (1, 200.0, 2)], "k int, v double, t int")
     assert health.ewma(df, "k", "v", ["t"]).first()["ewma"] == pytest.approx(130)
@@ -194,3 +204,53 @@ def test_rules_that_cannot_be_read(spark):
 def test_bracketed_hosts(spark):
     given = spark.createDataFrame([("http://[::1]/x",), ("http://u@[::1]:80/",), ("http://[2001:db8::1]/",), ("http://a.b:80/",)], "u string")
     assert [r.s for r in given.select(urls.is_safe(F.col("u")).alias("s")).collect()] == [False, False, True, True]
+
+
+def test_chinese_order(spark):
+    names = spark.createDataFrame([("中",), ("安",), ("陈",), ("北",), (None,)], "n string")
+    assert [r.n for r in names.orderBy(F.collate("n", "zh")).collect()] == [None, "安", "北", "陈", "中"]
+
+
+def test_server_dialect(spark):
+    page = """<title> Site </title><meta name="d" content="About"><div class="bg" style="background: url('/c.jpg')"></div><ul><li data-u="x/1"><b>One</b><img data-original="//i/1"></li><li><b></b></li></ul>"""
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "id long, html string")
+    source = {"id": "s", "host": "https://h.com/", "search": {"listSelector": "li", "titleSelector": "b", "detailUrlSelector": "&@data-u", "coverSelector": "img"}}
+    source |= {"detail": {"coverSelector": ".bg", "descriptionSelector": "meta[name=d]"}, "chapters": {"listSelector": "li", "titleSelector": "b", "urlSelector": "b"}, "images": {"listSelector": "img", "srcAttribute": "src"}}
+    assert [(r.title, r.detail_url, r.cover) for r in plain_rows(pages, "id", "html", source).collect()] == [("One", "https://h.com/x/1", "https://i/1")]
+    one, *rest = detail_fields(pages, "id", "html", source).orderBy("id").collect()
+    assert (one.title, one.cover, one.description, one.author) == ("Site", "https://h.com/c.jpg", "About", "")
+    assert [(r.title, r.cover) for r in rest] == [("", ""), ("", "")]
+    assert [tuple(r) for r in chapter_rows(pages, "id", "html", source).collect()] == [(1, 0, "One", "")]
+    assert [tuple(r) for r in image_rows(pages, "id", "html", source).collect()] == [(1, 0, "https://i/1")]
+
+
+def test_alias_and_json_rows(spark):
+    pages = spark.createDataFrame([(1, "<p><i>T</i></p><p></p>"), (2, '{"a": [{"t": "J", "u": "/1"}, {"t": null}, 5, {"t": ""}]}'), (3, "{bad"), (4, None), (5, '{"a": {"t": 7}}')], "id long, html string")
+    rows = alias_rows(pages, "id", "html", {"id": "s", "host": "h.com", "metadata": {"raw": {"list": "p", "title": "tag.i@text"}}}).collect()
+    assert [(r.result_id, r.title, r.detail_url, r.author) for r in rows] == [("s:h.com", "T", "h.com", None)]
+    assert alias_rows(pages, "id", "html", {"id": "s"}).count() == 0
+    rule = {"id": "s", "host": "https://h.com", "search": {"item": "$.a", "title": "t", "url": "u"}}
+    assert [(r.id, r.ord, r.title, r.detail_url, r.cover) for r in json_rows(pages, "id", "html", rule).orderBy("id").collect()] == [(2, 0, "J", "https://h.com/1", None), (5, 0, "7", "https://h.com", None)]
+    assert response_rows(pages, "id", "html", rule | {"search": {"item": "p", "title": "tag.i@text"}}).count() == 1
+
+
+def test_clusters_by_weight(spark):
+    rows = spark.createDataFrame([(1, "abcdefgh", 1), (2, "abcdefgx", 5), (3, "zzzz", None), (4, "abcdefgx", 1)], "k int, n string, w int")
+    got = similarity.answers(rows, "n", "w", "k", folder=_folder(spark)).collect()
+    assert [(r.k, r.leader) for r in got] == [(2, "abcdefgx"), (1, "abcdefgx"), (4, "abcdefgx"), (3, "zzzz")]
+
+
+def _folder(spark):
+    from tessera.queries import folder
+
+    return folder(spark)
+
+
+def test_registry_readers(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"name": "r", "sourceCount": 2}')
+    (tmp_path / "h.json").write_text('{"total": 1, "items": [{"id": "a", "ok": false, "reason": "network-unreachable"}]}')
+    (tmp_path / "a.json").write_text("{broken")
+    assert tables.read_manifest(spark, f"{tmp_path}/m.json").first().sourceCount == 2
+    assert tables.read_health(spark, f"{tmp_path}/h.json").first().reason == "network-unreachable"
+    for name in ("a.json", "none.json"):
+        assert tuple(tables.read_ads(spark, f"{tmp_path}/{name}").first()) == (False, "", None)
