@@ -10,7 +10,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,6 +53,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def store_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """store() of frames of one schema, one after the other, into one table; each one's shuffle files go before the next is written."""
+    path = ""
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        path = path or new_path(spark, name)
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+        del df
+        clean(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
 def drop(*stored: DataFrame) -> None:
     """Delete tables of store() that nothing reads any more."""
     for df in stored:
