@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-import uuid
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_title
+from tessera.operators.stored import Rounds
 
 THRESHOLD = 0.75
 MOST_ROUNDS = 200
@@ -24,35 +22,67 @@ def similar(a: Column, b: Column, threshold: float = THRESHOLD) -> Column:
     return (a == b) | F.contains(a, b) | F.contains(b, a) | ((F.length(a) > 0) & (F.length(b) > 0) & (alike | common))
 
 
-def _parts(c: Column, n: int) -> Column:
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+def _alike_sets(t: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of titles(t) whose sets of characters are alike. Distinct sets are compared, not titles: two alike sets share two of the
+    rarest characters of each (a prefix in order of rarity, one longer than for one shared character), and the sizes allow it."""
+    sets = t.filter("t <> ''").select("t", F.array_join(F.array_sort(F.array_distinct(F.split("t", ""))), "").alias("s"))
+    every = sets.select("s").distinct().select("s", F.length("s").alias("n"), F.explode(F.split("s", "")).alias("c"))
+    ranked = every.join(every.groupBy("c").agg(F.count("*").alias("f")), "c").groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct("f", "c"))).alias("o"))
+    least = F.ceil(F.col("n") * threshold).cast("int")
+    prefix = ranked.filter("n > 1").withColumn("o", F.slice(F.col("o")["c"], 1, F.col("n") - least + 2))
+    twos = F.flatten(F.transform("o", lambda x, i: F.transform(F.slice(F.col("o"), i + 2, F.size("o")), lambda y: F.concat(x, y))))
+    keys = prefix.select("s", "n", least.alias("least"), F.explode(twos).alias("two"))
+    small = keys.select(F.col("s").alias("y"), "two", F.col("n").alias("size"))
+    large = keys.select(F.col("s").alias("x"), "two", F.explode(F.sequence("least", "n")).alias("size"))
+    both = large.join(small, ["two", "size"]).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    x, y = F.split("x", ""), F.split("y", "")
+    alike = both.filter(F.size(F.array_intersect(x, y)) >= threshold * F.size(F.array_union(x, y)))
+    alike = alike.unionByName(sets.select(F.col("s").alias("x"), F.col("s").alias("y")).distinct())
+    return alike.join(sets.select(F.col("s").alias("x"), F.col("t").alias("a")), "x").join(sets.select(F.col("s").alias("y"), F.col("t").alias("b")), "y").select("a", "b")
+
+
+def _common_runs(t: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of titles(t) where a run of threshold * length of a, the shorter one, stands in b too.
+
+    Each such run of a is a window of it. Of every window the rarest piece is looked up, pieces being as long as half of the
+    window at least (a power of two); where it is found, the whole window must fit at that place. A piece that all titles have
+    is the rarest of no window that also holds another.
+    """
+    t = t.filter("t <> ''").select("t", F.length("t").alias("n")).withColumn("r", F.ceil(F.col("n") * threshold).cast("int"))
+
+    def level(n: Column) -> Column:
+        return F.length(F.bin(n.cast("long"))) - 1
+
+    def pieces(k: Column) -> Column:
+        q = F.pow(F.lit(2), k).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.col("n") - q + 1), lambda i: F.struct(q.alias("q"), i.alias("p"), F.xxhash64(F.substr("t", i, q)).alias("g")))
+
+    held = t.select("t", "n", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), level(F.col("n"))), pieces))))
+    seen = held.groupBy("q", "g").agg(F.count("*").alias("f"))
+    own = t.select("t", "n", "r", F.inline(pieces(level(F.col("r"))))).join(seen, ["q", "g"])
+    own = own.groupBy("t", "n", "r", "q").agg(F.array_sort(F.collect_list(F.struct("p", "f", "g"))).alias("of"))
+    starts = F.sequence(F.lit(1), F.col("n") - F.col("r") + 1)
+    rarest = F.transform(starts, lambda o: F.array_min(F.transform(F.slice("of", o, F.col("r") - F.col("q") + 1), lambda x: F.struct(x["f"], x["p"], x["g"]))))
+    asked = own.select(F.col("t").alias("a"), F.col("n").alias("na"), "r", "q", F.inline(F.array_distinct(rarest)).alias("f", "p", "g"))
+    found = asked.join(held.select(F.col("t").alias("b"), F.col("n").alias("nb"), "q", "g", F.col("p").alias("at")), ["q", "g"]).filter("a <> b and na <= nb")
+    shift = F.col("at") - F.col("p")
+    first = F.greatest(F.lit(1), F.col("p") + F.col("q") - F.col("r"), F.lit(1) - shift)
+    last = F.least(F.col("p"), F.col("na") - F.col("r") + 1, F.col("nb") - F.col("r") + 1 - shift)
+    fits = F.exists(F.sequence(first, last), lambda o: F.substr("a", o, F.col("r")) == F.substr("b", o + shift, F.col("r")))
+    return found.filter(first <= last).filter(fits).select("a", "b")
 
 
 def candidate_pairs(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) with a < b: every pair of distinct normalised titles of titles(t) that can pass similar(), and few others.
 
-    Alike character sets share one of their rarest characters (a prefix of the set in order of rarity); a common run or a
-    containment shares a run of three characters, or the whole of a title shorter than that; the empty title is in all.
+    Alike sets of characters and common runs are each joined on rare parts; one in the other is a common run of the whole of it;
+    the empty title is in all. Null titles are like nothing. threshold: above one half.
     """
-    t = titles.select("t").distinct()
-    chars = t.filter("t <> ''").select("t", F.array_distinct(F.split("t", "")).alias("cs")).withColumn("n", F.size("cs"))
-    each = chars.select("t", "n", F.explode("cs").alias("c"))
-    rarity = each.groupBy("c").agg(F.count("*").alias("f"))
-    place = F.row_number().over(Window.partitionBy("t").orderBy("f", "c"))
-    prefix = each.join(rarity, "c").withColumn("p", place).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    keys = prefix.select("t", F.concat(F.lit("c"), "c").alias("k"))
-    keys = keys.unionByName(t.select("t", F.explode(_parts(F.col("t"), 3)).alias("k")).withColumn("k", F.concat(F.lit("r"), "k")))
-    both = keys.alias("x").join(keys.alias("y"), "k").select(F.col("x.t").alias("a"), F.col("y.t").alias("b"))
-    # the common run of a short pair may be shorter than three: short titles, and halves of titles of three or four, are looked up whole
-    most = 3 if math.ceil(3 * threshold) >= 3 else 4
-    inner = t.filter((F.length("t") > 0) & (F.length("t") <= most))
-    pieces = inner.select("t", F.explode(F.array_distinct(F.concat(F.array("t"), _parts(F.col("t"), 1), _parts(F.col("t"), 2)))).alias("k"))
-    needed = F.least(F.ceil(F.length("t") * threshold), F.lit(2))
-    pieces = pieces.filter((F.length("k") >= needed) & (F.length("k") <= 2))
-    outer = t.select(F.col("t").alias("b"), F.explode(F.concat(_parts(F.col("t"), 1), _parts(F.col("t"), 2))).alias("k"))
-    short = pieces.join(outer, "k").select(F.col("t").alias("a"), "b")
-    empty = t.filter("t = ''").select(F.col("t").alias("a"), F.lit(1).alias("j")).join(t.filter("t <> ''").select(F.col("t").alias("b"), F.lit(1).alias("j")), "j").drop("j")
-    every = both.unionByName(short).unionByName(empty)
+    if not 0.5 < threshold <= 1:
+        raise ValueError("threshold must be above 0.5 and at most 1")
+    t = titles.select("t").filter("t is not null").distinct()
+    empty = t.filter("t = ''").select(F.col("t").alias("a"))  # one row at most
+    every = _alike_sets(t, threshold).unionByName(_common_runs(t, threshold)).unionByName(t.select(F.col("t").alias("b")).join(F.broadcast(empty), F.lit(True)).select("a", "b"))
     return every.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -60,40 +90,39 @@ def similar_pairs(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return candidate_pairs(titles, threshold).filter(similar(F.col("a"), F.col("b"), threshold))
 
 
-def _kept(df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def leader_clusters(titles: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
     """(t, leader) of titles(t, ord): in order of ord each title joins the first leader that it resembles, or leads itself.
 
     All titles whose earlier look-alikes are settled are settled together, so a round is a few joins over the pairs and no
-    title waits for the whole table. folder: where rounds are written, shared by all executors.
+    title waits for the whole table. folder: where rounds are written, shared by all executors; the result is one table in it,
+    what the rounds wrote is deleted.
     """
+    rounds = Rounds(titles.sparkSession, folder)
     own = titles.groupBy("t").agg(F.min("ord").alias("ord"))
     pairs = similar_pairs(titles, threshold)
     pairs = pairs.join(own.withColumnRenamed("t", "a").withColumnRenamed("ord", "oa"), "a").join(own.withColumnRenamed("t", "b").withColumnRenamed("ord", "ob"), "b")
     early = F.when(F.col("oa") < F.col("ob"), F.struct(F.col("a").alias("e"), F.col("oa").alias("oe"), F.col("b").alias("t"))).otherwise(
         F.struct(F.col("b").alias("e"), F.col("ob").alias("oe"), F.col("a").alias("t"))
     )
-    edges = _kept(pairs.select(early.alias("x")).select("x.*"), folder)  # e stands before t
-    state = _kept(own.select("t", F.lit(None).cast("boolean").alias("leads")), folder)
+    edges = rounds.keep(pairs.select(early.alias("x")).select("x.*"))  # e stands before t
+    state = rounds.keep(own.select("t", F.lit(None).cast("boolean").alias("leads")))
     for _ in range(MOST_ROUNDS):
         seen = edges.join(state.select(F.col("t").alias("e"), F.col("leads").alias("e_leads")), "e").groupBy("t").agg(
             F.bool_or(F.coalesce("e_leads", F.lit(False))).alias("led"), F.bool_or(F.col("e_leads").isNull()).alias("waits")
         )
         # led by an earlier leader: no leader; nobody earlier left undecided: a leader
         new = F.when(F.col("led"), F.lit(False)).when(~F.coalesce("waits", F.lit(False)), F.lit(True))
-        state = _kept(state.join(seen, "t", "left").select("t", F.coalesce("leads", new).alias("leads")), folder)
+        before, state = state, rounds.keep(state.join(seen, "t", "left").select("t", F.coalesce("leads", new).alias("leads")))
+        rounds.drop(before)
         if state.filter("leads is null").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("clusters did not settle")
     leaders = state.filter("leads").select(F.col("t").alias("e"))
     joined = edges.join(leaders, "e").groupBy("t").agg(F.min_by("e", "oe").alias("leader"))
-    return state.join(joined, "t", "left").select("t", F.when(F.col("leads"), F.col("t")).otherwise(F.col("leader")).alias("leader"))
+    out = rounds.keep(state.join(joined, "t", "left").select("t", F.when(F.col("leads"), F.col("t")).otherwise(F.col("leader")).alias("leader")))
+    rounds.drop(edges, state)
+    return out
 
 
 def representatives(rows: DataFrame, cluster: str, weight: str, source: str, name: str, order: str, fill: list[str], cover: str) -> DataFrame:

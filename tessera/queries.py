@@ -15,6 +15,7 @@ from tessera.functions import values as V
 from tessera.operators import health as H
 from tessera.operators import keyed as K
 from tessera.operators import similarity as S
+from tessera.operators.stored import shared_folder
 from tessera.plans import search
 from tessera.sources.tables import table
 
@@ -35,9 +36,8 @@ def query(sql: str | None = None):
 
 
 def folder(spark: SparkSession) -> str:
-    """Where iterative operators write their rounds: the shared folder that the session names."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named or spark.conf.get('spark.sql.warehouse.dir')}/rounds"
+    """Where iterative operators write their rounds: in the shared folder that the session names."""
+    return f"{shared_folder(spark)}/rounds"
 
 
 # --- search ---------------------------------------------------------------------------------------------------
