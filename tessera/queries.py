@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from tessera.operators import similarity as S
 from tessera.operators.stored import shared_folder
 from tessera.plans import search
 from tessera.sources.tables import table
+from tessera.streaming import timers as T
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -309,6 +311,28 @@ def throttle_gaps(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.count_if(F.col("gap") < 300).alias("too_soon"), F.count("*").alias("n"))
 
 
+def _replayed(spark: SparkSession, events: DataFrame, operator, end: str = "2200-01-01") -> DataFrame:
+    return T.replayed(spark, events, end, "3650 days", operator, f"{folder(spark)}/{uuid.uuid4().hex}", 4).filter("key is not null")
+
+
+@query(ORACLES["throttle_gaps"])
+def throttle_gaps_stream(spark: SparkSession, d: str) -> DataFrame:
+    """throttle_gaps from a stream whose rows come in any order, a few files at a time."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    given = _replayed(spark, e.repartition(8), T.throttle_stream)
+    return given.groupBy(F.col("key").alias("user_id")).agg(F.max_by("too_soon", "n").alias("too_soon"), F.max("n").alias("n"))
+
+
+@query(ORACLES["ttl_freshness"])
+def ttl_freshness_stream(spark: SparkSession, d: str) -> DataFrame:
+    """ttl_freshness from a stream at the time of its newest row."""
+    ttl = F.when(F.col("event_type") == "click", 86400).when(F.col("event_type") == "view", 172800).otherwise(604800).cast("long")
+    e = table(spark, d, "events").select(F.col("event_type").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), ttl.alias("ttl"))
+    end = e.agg(F.max(F.col("ts") + F.expr("interval 3650 days")).cast("string")).first()[0]
+    given = T.freshness_now(_replayed(spark, e.repartition(8), T.freshness_stream, end or "2200-01-01"))
+    return given.select(F.col("key").alias("event_type"), "n", "fresh")
+
+
 @query(f"SELECT user_id, count(*) FILTER (event_type IN ('view', 'click') AND value >= 50) = 2 AS fails_over FROM {_LATEST} GROUP BY user_id")
 def failover_flag(spark: SparkSession, d: str) -> DataFrame:
     latest = K.latest_per_key(table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], "ts", "event_id")
@@ -635,6 +659,14 @@ def debounced_writes(spark: SparkSession, d: str) -> DataFrame:
     return K.latest_per_key(e, ["user_id", "hour"], "ts", "event_id").select("user_id", "hour", "event_id", "value")
 
 
+@query(ORACLES["debounced_writes"])
+def debounced_writes_stream(spark: SparkSession, d: str) -> DataFrame:
+    """debounced_writes from a stream: each interval's last write is given once, when the watermark has passed it."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    given = _replayed(spark, e.repartition(8), T.debounced_stream)
+    return given.select(F.col("key").alias("user_id"), F.col("start").cast("timestamp_ntz").alias("hour"), "event_id", "value")
+
+
 @query("""SELECT user_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1
 ORDER BY ts DESC, user_id, event_type LIMIT 100""")
 def cache_eviction(spark: SparkSession, d: str) -> DataFrame:

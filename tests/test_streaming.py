@@ -1,10 +1,13 @@
 """The streaming breaker takes the same decisions as the batch one; logs are appended once."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tessera.operators.health import breaker_states
 from tessera.sources.tables import INDEX_SCHEMA, append_log, export_json, read_first, read_index, snapshot, table
 from tessera.streaming.breakers import append_batches, breaker_stream
+from tessera.streaming.timers import debounced_stream, freshness_now, freshness_stream, replayed, throttle_stream
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,3 +42,30 @@ def test_logs_and_documents(spark, tmp_path):
     assert read_index(spark, f"{tmp_path}/index").select("id", "host").first() == ("s", None)
     assert read_first(spark, [f"{tmp_path}/none", f"{tmp_path}/index"], INDEX_SCHEMA).count() == 1
     assert read_first(spark, [f"{tmp_path}/none"], INDEX_SCHEMA).count() == 0
+
+
+def test_debounced_stream_gives_each_interval_once_and_drops_late_rows(spark, tmp_path):
+    rows = [(1, i, dt.datetime(2024, 1, 1, h, m), float(i)) for i, (h, m) in enumerate([(0, 5), (0, 59), (0, 30), (3, 0), (5, 0)])]
+    schema = "key long, event_id long, ts timestamp, value double"
+    for i, part in enumerate([rows[:4], rows[4:], [(1, 9, dt.datetime(2024, 1, 1, 0, 58), 9.0)], [(None, None, dt.datetime(2024, 1, 9), None)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = debounced_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withWatermark("ts", "10 minutes"))
+        q = q.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = [(r.start.hour, r.event_id) for r in spark.read.schema("key long, start timestamp, event_id long, value double").parquet(f"{tmp_path}/out").orderBy("start").collect()]
+        assert got == [[(0, 1)], [(0, 1), (3, 3)], [(0, 1), (3, 3)], [(0, 1), (3, 3), (5, 4)]][i]
+        assert sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"]) == (i == 2)
+
+
+def test_gaps_wait_for_rows_in_between(spark, tmp_path):
+    rows = [(1, 1, dt.datetime(2024, 1, 1, 0, 0)), (1, 2, dt.datetime(2024, 1, 1, 0, 8)), (1, 3, dt.datetime(2024, 1, 1, 0, 4)), (2, 4, dt.datetime(2024, 1, 1, 0, 0))]
+    events = spark.createDataFrame(rows, "key long, event_id long, ts timestamp").repartition(4)
+    got = replayed(spark, events, "2030-01-01", "1 day", throttle_stream, f"file://{tmp_path}/r", 1).filter("key is not null")
+    assert {(r.key, r.too_soon, r.n) for r in got.groupBy("key").agg(F.max_by("too_soon", "n").alias("too_soon"), F.max("n").alias("n")).collect()} == {(1, 2, 3), (2, 0, 1)}
+
+
+def test_entries_expire_with_the_watermark(spark, tmp_path):
+    rows = [("a", i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=1800 * i), 7200) for i in range(40)] + [("b", 99, dt.datetime(2024, 1, 1), 60)]
+    entries = spark.createDataFrame(rows, "key string, event_id long, ts timestamp, ttl long").repartition(3)
+    given = replayed(spark, entries, "2024-01-02 19:30:00", "1 day", freshness_stream, f"file://{tmp_path}/r", 1)
+    assert {(r.key, r.n, r.fresh) for r in freshness_now(given).collect()} == {("a", 40, 5), ("b", 1, 0)}
