@@ -284,6 +284,13 @@ def in_filter_column(bits_of, key) -> Column:
 MARK_BITS = 1 << 26
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named by their places, and the new name of each: Python stages can't take names with a dot. toDF(*df.columns)
+    turns the names back."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def row_key() -> Column:
     """A number for a row: doc_id and text decide."""
     return F.xxhash64("doc_id", F.xxhash64("text"))

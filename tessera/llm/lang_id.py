@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Places, drop, give_back, store
+from .common import Places, by_place, drop, give_back, store
 from .tokens import text_runs
 
 ORDER = 4
@@ -209,10 +209,10 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def _accept(shared):
+def _accept(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, lang, _, cost in judge(shared.value, batch.column("text")):
+            for a, b, lang, _, cost in judge(shared.value, batch.column(text)):
                 ok = pa.array([x != "und" and c <= FOREIGN_BITS for x, c in zip(lang, cost, strict=True)], pa.bool_())
                 yield batch.slice(a, b - a).filter(ok)
 
@@ -226,4 +226,5 @@ def accepted(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """
     model = train(docs, train_docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_accept(shared), docs.schema)
+    rows, names = by_place(docs)
+    return rows.mapInArrow(_accept(shared, names["text"]), rows.schema).toDF(*docs.columns)
