@@ -18,7 +18,9 @@ from tessera.operators import keyed as K
 from tessera.operators import similarity as S
 from tessera.operators.stored import shared_folder
 from tessera.plans import search
+from tessera.sources.buckets import BucketTable
 from tessera.sources.tables import table
+from tessera.streaming import rollups as R
 from tessera.streaming import timers as T
 
 QUERIES: dict = {}
@@ -141,6 +143,16 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return K.upsert(table(spark, d, "labels").select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int")), new, ["doc_id"])
 
 
+@query(ORACLES["upsert_merge"])
+def upsert_stored(spark: SparkSession, d: str) -> DataFrame:
+    """upsert_merge on a table in buckets: only buckets with new keys are read and written again."""
+    new = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    stored = BucketTable(spark, f"{folder(spark)}/{uuid.uuid4().hex}", ["doc_id"], 16)
+    stored.append(table(spark, d, "labels").select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int")))
+    stored.change(new, lambda old, more: K.upsert(old, more, ["doc_id"]))
+    return stored.rows()
+
+
 @query("""SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.day, b.day) AS day FROM
 (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click') a FULL JOIN
 (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND a.day = b.day WHERE a.user_id IS NULL OR b.user_id IS NULL""")
@@ -271,6 +283,14 @@ def health_rollup(spark: SparkSession, d: str) -> DataFrame:
     return latest.groupBy("user_id").agg(F.count("*").alias("checks"), H.rollup(F.col("value") < 50).alias("status"))
 
 
+@query(ORACLES["health_rollup"])
+def health_rollup_stored(spark: SparkSession, d: str) -> DataFrame:
+    """health_rollup from stored parts of each key, check and day, put together as the log arrives."""
+    checks = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("check"), "event_id", "ts", (F.col("value") < 50).alias("ok"))
+    parts = R.replayed_parts(spark, checks.repartition(6), folder(spark))
+    return R.latest_status(parts).select(F.col("key").alias("user_id"), "checks", "status")
+
+
 @query("""SELECT c_custkey, count(o_orderkey) AS checks, CASE WHEN count(o_orderkey) = 0 THEN 'disabled' WHEN bool_and(o_orderstatus <> 'F') THEN 'healthy'
 WHEN bool_or(o_orderstatus <> 'F') THEN 'degraded' ELSE 'unhealthy' END AS status FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
 def health_report(spark: SparkSession, d: str) -> DataFrame:
