@@ -1,287 +1,134 @@
-"""A small selector language for fields of HTML pages, used inside a UDTF-like scan: a page is parsed once for all fields.
+"""Fields and rows of HTML pages by a small selector language, evaluated over node rows.
 
 `tag.x`, `class.x y`, `id.x` or CSS (names, #id, .class, [attr], [attr=v], descendants, > and commas) as steps joined by @;
 `&` is the element itself, `.N` picks a match, from the end if negative; `@name` at the end takes text, html, ownText or an attribute. `||` tries
 alternatives, `&&` joins values, `##` deletes what its patterns match.
+
+Pages are parsed once into node rows, which are written to the shared folder for the run; steps, picks, values and fall-backs are
+filters, windows, joins and aggregates over them. What can't be read yields empty text, as the rule sets expect.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.extract.nodes import BLOCK, FACTS, Matches, chain, page_nodes, step
 from tessera.functions.urls import clean_host, resolve, resolve_plain
+from tessera.functions.values import trimmed
+from tessera.operators.stored import Rounds
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-
-
-class Node:
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def walk(self) -> Iterator[Node]:
-        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while todo:
-            yield (n := todo.pop())
-            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
-
-    def text(self, own: bool = False) -> str:
-        out, todo = [], list(reversed(self.children))
-        while todo:
-            c = todo.pop()
-            if isinstance(c, str):
-                out.append(c)
-            elif not own:
-                todo += reversed(c.children)
-        return "".join(out)
-
-    def html(self) -> str:
-        out, todo = [], list(reversed(self.children))
-        while todo:
-            c = todo.pop()
-            if isinstance(c, str):
-                out.append(c)
-                continue
-            out.append(f"<{c.tag}{''.join(f' {k}=\"{v}\"' for k, v in c.attrs.items())}>")
-            if c.tag not in VOID:
-                todo.append(f"</{c.tag}>")
-            todo += reversed(c.children)
-        return "".join(out)
-
-
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        if self.at.tag in IMPLIED.get(tag, ()):
-            self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_endtag(self, tag):
-        n = self.at
-        while n.parent is not None and n.tag != tag:
-            n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def parse(page: str | None) -> Node:
-    b = _Builder()
-    b.feed(page or "")
-    b.close()
-    return b.root
-
-
-_SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:([~^$*]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
-
-
-def _compound(text: str) -> list[tuple]:
-    parts, at = [], 0
-    while at < len(text):
-        m = _SIMPLE.match(text, at)
-        if not m:
-            raise ValueError(f"selector not understood: {text}")
-        parts.append(m.groups())
-        at = m.end()
-    return parts
-
-
-def _fits(n: Node, parts: list[tuple]) -> bool:
-    for name, ident, cls, attr, op, value in parts:
-        if name and name != "*" and n.tag != name.lower() or ident and n.attrs.get("id") != ident or cls and cls not in n.attrs.get("class", "").split():
-            return False
-        if attr:
-            have = n.attrs.get(attr)
-            if have is None or op and not {"=": have == value, "^=": have.startswith(value), "$=": have.endswith(value), "*=": value in have, "~=": value in have.split()}[op]:
-                return False
-    return True
-
-
-def css(selector: str) -> list[list[tuple[str, list[tuple]]]]:
-    """Alternatives, each a list of (combinator, compound)."""
-    out = []
-    for one in selector.split(","):
-        steps, joint = [], " "
-        for word in one.replace(">", " > ").split():
-            if word == ">":
-                joint = ">"
-            else:
-                steps.append((joint, _compound(word)))
-                joint = " "
-        if steps:
-            out.append(steps)
-    return out
 
+class Field:
+    """A field's rule: `||` alternatives of `&&` joined chains, and `##` filters."""
 
-def select(root: Node, alternatives) -> list[Node]:
-    def holds(n: Node, steps, k: int) -> bool:
-        if not _fits(n, steps[k][1]):
-            return False
-        if k == 0:
-            return True
-        up = n.parent
-        while up is not None and up is not root.parent:
-            if holds(up, steps, k - 1):
-                return True
-            if steps[k][0] == ">":
-                return False
-            up = up.parent
-        return False
-
-    return [n for n in root.walk() if any(holds(n, s, len(s) - 1) for s in alternatives)]
-
-
-def _step(text: str) -> tuple[list, int | None]:
-    pick = None
-    if m := re.search(r"\.(-?\d+)$", text):
-        pick, text = int(m[1]), text[: m.start()]
-    if text.startswith("class."):
-        text = "." + ".".join(text[6:].split())
-    elif text.startswith("tag."):
-        text = text[4:]
-    elif text.startswith("id."):
-        text = "#" + text[3:]
-    return css(text), pick
-
-
-class Selector:
-    """A compiled field selector; what it can't read yields empty text, as the rule sets expect."""
-
-    def __init__(self, text: str, doc_semantics: bool = False) -> None:
+    def __init__(self, text: str) -> None:
         head, *self.filters = text.split("##")
-        self.doc_semantics = doc_semantics
-        self.choices = [[self._chain(p.strip()) for p in choice.split("&&")] for choice in head.split("||")]
-
-    @staticmethod
-    def _chain(text: str) -> tuple[list, str] | None:
-        steps, value = [], "text"
-        while True:
-            m = re.search(r"@(?=tag\.|class\.|id\.)", text)
-            first = text.find("@")
-            if m and m.start() == first:
-                steps.append(text[:first])
-                text = text[first + 1 :]
-                continue
-            if first >= 0:
-                text, value = text[:first], text[first + 1 :]
-            steps.append(text)
-            break
-        try:
-            return [_step(s) for s in steps if s and s != "&"], value
-        except ValueError:
-            return None
-
-    @staticmethod
-    def _value(root: Node, chain) -> str:
-        if chain is None:
-            return ""
-        steps, kind = chain
-        at = [root]
-        for alternatives, pick in steps:
-            found = [n for a in at for n in select(a, alternatives)]
-            if pick is not None:
-                found = found[pick : pick + 1 or None] if -len(found) <= pick < len(found) else []
-            if not found:
-                return ""
-            at = found
-        n = at[0]
-        if kind in ("text", "ownText"):
-            return n.text(kind == "ownText").strip()
-        return n.html() if kind == "html" else n.attrs.get(kind, "")
-
-    def value(self, root: Node) -> str:
-        out = next((v for v in ("".join(self._value(root, c) for c in choice) for choice in self.choices) if v), "")
-        if self.doc_semantics and self.filters:
-            pattern, new = _pattern(self.filters[0]), self.filters[1] if len(self.filters) > 1 else ""
-            if pattern is None:
-                return out
-            if re.fullmatch(r"\$\d+", new):
-                return _group(pattern, new, out) or ""
-            return pattern.sub(lambda _: new, out)
-        last = None
-        for f in self.filters:
-            if re.fullmatch(r"\$\d+", f) and last is not None:
-                found = _group(last, f, out)
-                out = out if found is None else found
-            elif (pattern := _pattern(f)) is not None:
-                out, last = pattern.sub("", out), pattern
-        return out.strip() if self.filters else out
-
-
-def _pattern(text: str) -> re.Pattern | None:
-    """A filter's pattern, named groups in either spelling; None if it can't be read."""
-    try:
-        return re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", text))
-    except re.error:
-        return None
+        self.choices = [[chain(part.strip()) for part in choice.split("&&")] for choice in head.split("||")]
 
 
-def _group(pattern: re.Pattern, reference: str, text: str) -> str | None:
-    m, n = pattern.search(text), int(reference[1:])
-    return (m[n] or None) if m and n <= pattern.groups else None
+def _pattern(spark: SparkSession, text: str) -> tuple[str, int] | None:
+    """A filter's pattern, named groups in either spelling, and how many groups it has; None if it can't be read."""
+    pattern = text.replace("(?P<", "(?<")
+    try:
+        return pattern, spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
+    except IllegalArgumentException:
+        return None
 
 
-def _lists(item: str) -> list:
-    """The alternatives of an item selector that can be read."""
-    out = []
+def _filtered(spark: SparkSession, value: Column, filters: list[str], doc_semantics: bool) -> Column:
+    """A value after its `##` filters: each deletes what it matches, and `$N` takes a group of the pattern before it, if there is one in
+    what is left. doc_semantics: a pattern and what to put in its place, or the group to take."""
+    if not filters:
+        return value
+    if doc_semantics:
+        known, new = _pattern(spark, filters[0]), filters[1] if len(filters) > 1 else ""
+        if known is None:
+            return value
+        if re.fullmatch(r"\$\d+", new):
+            return F.regexp_extract(value, known[0], int(new[1:])) if int(new[1:]) <= known[1] else F.lit("")
+        return F.regexp_replace(value, known[0], re.sub(r"([\\$])", r"\\\1", new))
+    last = None
+    for f in filters:
+        if re.fullmatch(r"\$\d+", f) and last is not None:
+            if int(f[1:]) <= last[1]:
+                value = F.coalesce(F.nullif(F.regexp_extract(value, last[0], int(f[1:])), F.lit("")), value)
+        elif (known := _pattern(spark, f)) is not None:
+            value, last = F.regexp_replace(value, known[0], ""), known
+    return trimmed(value)
+
+
+def _fields(nodes: DataFrame, scope: list[str], keep: list[str], rules: dict[str, str], doc_semantics: bool = False) -> DataFrame:
+    """A row for each scope of node rows: the columns `keep` and one for each rule."""
+    spark, fields = nodes.sparkSession, {name: Field(text) for name, text in rules.items()}
+    matches, wanted = Matches(nodes, scope), {}
+    for field in fields.values():
+        for one in [c for choice in field.choices for c in choice if c is not None]:
+            if one not in wanted:
+                flag = matches.follow(one[0])
+                wanted[one] = f"_v{len(wanted)}", matches.value(flag, one[1])
+    gathered = matches.rows.groupBy(*keep, *[c for c in scope if c not in keep]).agg(F.count("*").alias("_n"), *[v.alias(n) for n, v in wanted.values()])
+
+    def value(one) -> Column:
+        if one is None:
+            return F.lit("")
+        out = F.coalesce(wanted[one][0], F.lit(""))
+        return trimmed(out) if one[1] in ("text", "ownText") else out
+
+    def chosen(field: Field) -> Column:
+        tries = [F.concat(*[value(c) for c in choice]) for choice in field.choices]
+        return F.coalesce(*[F.nullif(t, F.lit("")) for t in tries], F.lit(""))
+
+    return gathered.select(*keep, *[_filtered(spark, chosen(f), f.filters, doc_semantics).alias(name) for name, f in fields.items()])
+
+
+def _item_rows(nodes: DataFrame, item: str) -> DataFrame:
+    """Node rows of each item of a page, numbered by _ord, with a root above it. Of the alternatives the first with a match counts."""
+    lists = []
     for x in item.split("||"):
         try:
-            out.append(_step(x.strip())[0])
+            lists.append(step(x.strip())[0])
         except ValueError:
             continue
+    matches = Matches(nodes, ["_page"])
+    flags = [matches.select(matches.root, alternatives) for alternatives in lists]
+    for k, flag in enumerate(flags):
+        matches.rows = matches.rows.withColumn(f"_any{k}", F.max(flag).over(matches.every))
+    is_item = F.coalesce(*[F.when(F.col(f"_any{k}"), F.col(flag)) for k, flag in enumerate(flags)], F.lit(False))
+    found = matches.rows.filter(is_item).select("_page", F.col("node").alias("_item"), F.col("last").alias("_upto"))
+    found = found.withColumn("_ord", F.row_number().over(matches.every.orderBy("_item")).cast("long") - 1)
+    blocks = F.sequence(F.expr(f"_item div {BLOCK}"), F.expr(f"_upto div {BLOCK}"))
+    meet = found.withColumn("_block", F.explode(blocks)).join(nodes.withColumn("_block", F.expr(f"node div {BLOCK}")), ["_page", "_block"])
+    inside = meet.filter((F.col("node") >= F.col("_item")) & (F.col("node") <= F.col("_upto")))
+    first = F.col("node") == F.col("_item")
+    inside = inside.withColumn("parent", F.when(first, -1).otherwise(F.col("parent"))).select("_key", "_page", "_ord", *FACTS)
+    root = {"node": F.lit(-1), "last": F.col("last"), "parent": F.lit(-2), "tag": F.lit("")}
+    none = {c: F.lit(None).cast(nodes.schema[c].dataType) for c in FACTS if c not in root}
+    roots = inside.filter("parent = -1").select("_key", "_page", "_ord", *[(root | none)[c].alias(c) for c in FACTS])
+    return inside.unionByName(roots)
+
+
+def page_fields(pages: DataFrame, key: str, html: str, rules: dict[str, str], doc_semantics: bool = False) -> DataFrame:
+    """key and one text column for each rule, for every row of pages; a null page is an empty one."""
+    rounds = Rounds(pages.sparkSession)
+    nodes = rounds.keep(page_nodes(pages, key, html))
+    out = rounds.keep(_fields(nodes, ["_page"], ["_key"], rules, doc_semantics).withColumnRenamed("_key", key))
+    rounds.drop(nodes)
     return out
 
 
-def page_fields(pages: DataFrame, key: str, html: str, rules: dict[str, str]) -> DataFrame:
-    """key and one text column for each rule; a page is parsed once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [Selector(s) for s in rules.values()]
-        for batch in batches:
-            rows = [[s.value(root) for s in compiled] for root in map(parse, batch.column(1).to_pylist())]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(rules)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.string()) for c in cols)], names=[key, *rules])
-
-    schema = f"{key} {pages.schema[key].dataType.simpleString()}, " + ", ".join(f"{f} string" for f in rules)
-    return pages.select(key, html).mapInArrow(run, schema)
-
-
 def page_rows(pages: DataFrame, key: str, html: str, item: str, rules: dict[str, str]) -> DataFrame:
     """A row for each match of `item` on a page: key, its number and one text column for each rule, read inside the match. An item
     selector that can't be read matches nothing, a filter that can't be read changes nothing."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [Selector(s) for s in rules.values()]
-        lists = _lists(item)
-        for batch in batches:
-            rows = []
-            for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                root = parse(page)
-                found = next((f for f in (select(root, a) for a in lists) if f), [])
-                for i, n in enumerate(found):
-                    inside = Node("", {}, None)
-                    inside.children = [n]
-                    rows.append((k, i, *(s.value(inside) for s in compiled)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * (2 + len(rules))
-            types = [batch.schema.field(0).type, pa.int64(), *[pa.string()] * len(rules)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=[key, "ord", *rules])
-
-    schema = f"{key} {pages.schema[key].dataType.simpleString()}, ord long, " + ", ".join(f"{f} string" for f in rules)
-    return pages.select(key, html).mapInArrow(run, schema)
+    rounds = Rounds(pages.sparkSession)
+    nodes = rounds.keep(page_nodes(pages, key, html))
+    rows = _fields(_item_rows(nodes, item), ["_page", "_ord"], ["_key", "_ord"], rules)
+    out = rounds.keep(rows.withColumnsRenamed({"_key": key, "_ord": "ord"}))
+    rounds.drop(nodes)
+    return out
 
 
 #: Fields of a rule's `search` part and the columns of a result row.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.extract.json_rows import json_rows, response_rows
-from tessera.extract.selectors import Selector, alias_rows, chapter_rows, detail_fields, image_rows, plain_rows, page_fields, page_rows, parse, search_rows
+from tessera.extract.selectors import alias_rows, chapter_rows, detail_fields, image_rows, page_fields, page_rows, plain_rows, search_rows
 from tessera.functions import text, urls, values
 from tessera.operators import health, keyed, similarity
 from tessera.sources import tables
@@ -18,31 +18,64 @@ def one(spark, c):
     return spark.range(1).select(c.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(
-    ("selector", "want"),
-    [
-        ("tag.a@href", "/x/1"),
-        ("tag.a.1@text", "T2"),
-        ("tag.a.-1@href", "/x/2"),
-        ("class.card a@tag.a@href", "/x/1"),
-        ("tag.b@text||tag.a@text", "T1"),
-        ("tag.a.0@text&&tag.a.1@text", "T1T2"),
-        (r"tag.a@text##\d", "T"),
-        ("tag.a@text##T##X", "1"),
-        (r"tag.a@text##(T)(\d)##$2", ""),
-        ("tag.h3@a@text", ""),
-        ("div.card > a[href='/x/2']@text", "T2"),
-        ("!bad", ""),
-        ("tag.a.7@text", ""),
-    ],
-)
-def test_selectors(selector, want):
-    assert Selector(selector).value(parse(CARDS)) == want
-
-
-def test_documented_replacement():
-    assert Selector("tag.a@text##T##X", doc_semantics=True).value(parse(CARDS)) == "X1"
-    assert Selector(r"tag.a@text##(T)(\d)##$2", doc_semantics=True).value(parse(CARDS)) == "1"
+# Selectors and what they give on CARDS.
+SELECTORS = [
+    ("tag.a@href", "/x/1"),
+    ("tag.a.1@text", "T2"),
+    ("tag.a.-1@href", "/x/2"),
+    ("class.card a@tag.a@href", "/x/1"),
+    ("tag.b@text||tag.a@text", "T1"),
+    ("tag.a.0@text&&tag.a.1@text", "T1T2"),
+    (r"tag.a@text##\d", "T"),
+    ("tag.a@text##T##X", "1"),
+    (r"tag.a@text##(T)(\d)##$2", ""),
+    ("tag.h3@a@text", ""),
+    ("div.card > a[href='/x/2']@text", "T2"),
+    ("!bad", ""),
+    ("tag.a.7@text", ""),
+    ("div@tag.a.0@html", "T1"),
+    ("div@html", '<a href="/x/1">T1</a><a href="/x/2">T2</a>'),
+    ("div@ownText", ""),
+    ("&@text", "T1T2"),
+    ("div > a.-2@text", "T1"),
+    ("p > a@text||div a@text", "T1"),
+    ("* a.1@href", "/x/2"),
+    ("#x,a[href$='2'],a[href=z]@href", "/x/2"),
+    ("a[href^='/x']@nothing", ""),
+]
+
+
+def field_of(spark, page, rule, **more):
+    return page_fields(spark.createDataFrame([(1, page)], "id long, html string"), "id", "html", {"f": rule}, **more).first()["f"]
+
+
+def test_selectors(spark):
+    rules = {f"f{k}": rule for k, (rule, _) in enumerate(SELECTORS)}
+    pages = spark.createDataFrame([(7, CARDS), (None, None)], "id long, html string")
+    got = {r.id: r for r in page_fields(pages, "id", "html", rules).collect()}
+    assert [(rule, got[7][f"f{k}"]) for k, (rule, _) in enumerate(SELECTORS)] == SELECTORS
+    assert all(got[None][f] == "" for f in rules)
+
+
+def test_documented_replacement(spark):
+    assert field_of(spark, CARDS, "tag.a@text##T##X$", doc_semantics=True) == "X$1"
+    assert field_of(spark, CARDS, r"tag.a@text##(T)(\d)##$2", doc_semantics=True) == "1"
+
+
+def test_nested_items_and_implied_ends(spark):
+    page = "<ul><li>a<ul><li>b<li>c</ul></li><li>d<p>e<p>f</ul><table><tr><td>1<td>2<tr><td>3</table><br>x</b></i>"
+    pages = spark.createDataFrame([(1, page), (1, page), (2, "<p>only")], "id long, html string")
+    rows = page_rows(pages, "id", "html", "li", {"own": "*.0@ownText", "all": "&@text", "deep": "li li@text", "p": "p.1@text"})
+    want = [(1, 0, "a", "abc", "b", ""), (1, 1, "b", "b", "", ""), (1, 2, "c", "c", "", ""), (1, 3, "d", "def", "", "f")]
+    assert sorted(map(tuple, rows.collect())) == sorted(want * 2)
+    cells = page_rows(pages, "id", "html", "none||tr > td", {"t": "&"}).filter("id = 1").dropDuplicates(["ord"])
+    assert [r.t for r in cells.orderBy("ord").collect()] == ["1", "2", "3"]
+
+
+def test_page_plan_has_no_python_behind_the_parse(spark):
+    pages = spark.createDataFrame([(1, CARDS)], "id long, html string")
+    plan = page_rows(pages, "id", "html", "div a", {"u": "tag.a@href"})._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "CartesianProduct" not in plan
 
 
 def test_page_rows(spark):
@@ -56,8 +89,8 @@ def test_search_rows(spark):
     rule = {"id": "s1", "host": "https://h.com/#note", "search": {"item": "li.c", "title": "tag.a@text", "url": "tag.a@href", "cover": "img@src||img@data-src"}}
     rows = search_rows(spark.createDataFrame([(1, page)], "id long, html string"), "id", "html", rule).collect()
     assert [(r.ord, r.title, r.detail_url, r.cover, r.status, r.weight) for r in rows] == [(0, "One", "https://h.com/x/1", "https://i.com/1.png", None, 100)]
-    assert Selector("meta[property=og:title]@content").value(parse(page)) == "Og"
-    assert Selector("li@&@class").value(parse(page)) == "" and Selector("class.c@class").value(parse(page)) == "c"
+    fields = {"og": "meta[property=og:title]@content", "odd": "li@&@class", "c": "class.c@class"}
+    assert page_fields(spark.createDataFrame([(1, page)], "id long, html string"), "id", "html", fields).select(*fields).first()[:] == ("Og", "", "c")
 
 
 @pytest.mark.parametrize(
