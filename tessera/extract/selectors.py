@@ -120,13 +120,17 @@ def page_fields(pages: DataFrame, key: str, html: str, rules: dict[str, str], do
     return out
 
 
+def item_fields(nodes: DataFrame, item: str, rules: dict[str, str]) -> DataFrame:
+    """_key, _ord and one text column for each rule, of every item on the pages of some node rows."""
+    return _fields(_item_rows(nodes, item), ["_page", "_ord"], ["_key", "_ord"], rules)
+
+
 def page_rows(pages: DataFrame, key: str, html: str, item: str, rules: dict[str, str]) -> DataFrame:
     """A row for each match of `item` on a page: key, its number and one text column for each rule, read inside the match. An item
     selector that can't be read matches nothing, a filter that can't be read changes nothing."""
     rounds = Rounds(pages.sparkSession)
     nodes = rounds.keep(page_nodes(pages, key, html))
-    rows = _fields(_item_rows(nodes, item), ["_page", "_ord"], ["_key", "_ord"], rules)
-    out = rounds.keep(rows.withColumnsRenamed({"_key": key, "_ord": "ord"}))
+    out = rounds.keep(item_fields(nodes, item, rules).withColumnsRenamed({"_key": key, "_ord": "ord"}))
     rounds.drop(nodes)
     return out
 
@@ -135,17 +139,23 @@ def page_rows(pages: DataFrame, key: str, html: str, item: str, rules: dict[str,
 RESULT_FIELDS = {"title": "title", "url": "detail_url", "cover": "cover", "latest": "latest_chapter", "status": "status", "updateTime": "update_time"}
 
 
-def search_rows(pages: DataFrame, key: str, html: str, rule: dict) -> DataFrame:
-    """Result rows that a source's rule document finds on its pages: links are made absolute, missing fields are null, rows
-    without a title go, a weight that isn't given is 100."""
-    search = rule["search"]
-    fields = {f: search.get(f) or "class.none" for f in RESULT_FIELDS}
-    rows = page_rows(pages, key, html, search["item"], fields)
-    host = clean_host(F.lit(rule["host"]))
+def rule_fields(rule: dict) -> dict[str, str]:
+    """The selectors of a rule document's fields."""
+    return {f: rule["search"].get(f) or "class.none" for f in RESULT_FIELDS}
+
+
+def result_columns(rule: dict) -> list[Column]:
+    """The columns of a result row from the rule's fields: links are made absolute, missing fields are null, a weight that isn't given
+    is 100."""
+    host, weight = clean_host(F.lit(rule["host"])), rule.get("weight")
     value = {f: F.nullif(f, F.lit("")) for f in RESULT_FIELDS} | {"url": resolve(F.col("url"), host), "cover": F.nullif(resolve(F.col("cover"), host), F.lit(""))}
-    columns = [value[f].alias(c) for f, c in RESULT_FIELDS.items()]
-    weight = rule.get("weight")
-    return rows.filter("title <> ''").select(key, "ord", F.lit(rule["id"]).alias("source_id"), *columns, F.lit(100 if weight is None else weight).alias("weight"))
+    return [*[value[f].alias(c) for f, c in RESULT_FIELDS.items()], F.lit(100 if weight is None else weight).alias("weight")]
+
+
+def search_rows(pages: DataFrame, key: str, html: str, rule: dict) -> DataFrame:
+    """Result rows that a source's rule document finds on its pages; rows without a title go."""
+    rows = page_rows(pages, key, html, rule["search"]["item"], rule_fields(rule)).withColumnsRenamed({key: "_key", "ord": "_ord"})
+    return rows.filter("title <> ''").select(F.col("_key").alias(key), F.col("_ord").alias("ord"), F.lit(rule["id"]).alias("source_id"), *result_columns(rule))
 
 
 # The names that a result field goes by in a source's search part or raw record, first match counts.

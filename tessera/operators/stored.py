@@ -25,9 +25,10 @@ class Rounds:
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark, self.path, self.paths = spark, f"{folder or shared_folder(spark) + '/rounds'}/{uuid.uuid4().hex}", {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """by: a column whose values become folders that later reads can skip."""
         path = f"{self.path}/{len(self.paths)}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path, out
         return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.extract.json_rows import response_rows, value_at
-from tessera.extract.selectors import alias_rows, chapter_rows, detail_fields, page_fields, page_rows, plain_rows
+from tessera.extract.selectors import alias_rows, chapter_rows, detail_fields, image_rows, page_fields, page_rows, plain_rows
 from tessera.functions import text as X
 from tessera.functions import urls as U
 from tessera.functions import values as V
@@ -17,7 +17,7 @@ from tessera.operators import health as H
 from tessera.operators import keyed as K
 from tessera.operators import similarity as S
 from tessera.operators.stored import shared_folder
-from tessera.plans import search
+from tessera.plans import search, source_search
 from tessera.sources.buckets import BucketTable
 from tessera.sources.tables import table
 from tessera.streaming import rollups as R
@@ -588,6 +588,47 @@ def diagnose_stage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", stage.alias("failed_at"))
 
 
+_SEARCHED = ["https://blog.tionsh.example.net", "http://blog.ththan.example.net", "https://thther.example.org"]
+
+
+@query(f"""WITH r AS (SELECT * FROM (VALUES {", ".join(f"('s{i}', '{h}', '{x}')" for i, h in enumerate(_SEARCHED) for x in ["/en/", "/es/", "/fr/"][i : i + 1])}) r(source_id, host, path)),
+k AS (SELECT DISTINCT regexp_extract(url, '/([0-9]+)[^/]*/?$', 1) AS keyword FROM pages), q AS (SELECT keyword, source_id, host, host || path || keyword AS url FROM k, r WHERE keyword <> ''),
+l AS (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="[^"]*">[^<]*') AS m FROM pages)),
+t AS (SELECT page_id, i - 1 AS i, {_plain("regexp_extract(m[i], 'href=" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + "', 1)")} AS u, {_plain("regexp_extract(m[i], '>([^<]*)$', 1)")} AS title FROM l)
+SELECT q.keyword, q.source_id, q.url, CAST(t.i AS BIGINT) AS ord, t.title, q.host || t.u AS detail_url, CASE WHEN source_id = 's1' THEN 50 ELSE 100 END AS weight
+FROM q JOIN pages p ON p.url = q.url JOIN t ON t.page_id = p.page_id WHERE t.title <> ''""")
+def sources_search(spark: SparkSession, d: str) -> DataFrame:
+    """Three sources, each with its own path, selectors and weight, searched for all keywords in one plan."""
+    items = ["nav li", "nav > ul > li||p", "ul@li||nav li"]
+    rules = [{"id": f"s{i}", "host": h + "/#note", "search": {"path": p + "{{keyword}}", "item": x, "title": "tag.a@text", "url": "tag.a@href"}} for i, (h, p, x) in enumerate(zip(_SEARCHED, ["/en/", "/es/", "/fr/"], items, strict=True))]
+    rules[1]["weight"] = 50
+    pages = table(spark, d, "pages")
+    keywords = pages.select(F.regexp_extract("url", "/([0-9]+)[^/]*/?$", 1).alias("keyword")).filter("keyword <> ''")
+    found = source_search.search_sources(spark, keywords, pages, rules)
+    return found.select("keyword", "source_id", "url", "ord", "title", "detail_url", "weight")
+
+
+_WITH_COVERS = """(SELECT page_id, regexp_replace(html, '<a href="([^"]*)">', '<img data-original="\\1.jpg"><a href="\\1">', 'g') AS html FROM pages)"""
+_COVERS = f"""(SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<img data-original="[^"]*">') AS m FROM {_WITH_COVERS}))"""
+
+
+def _with_covers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.regexp_replace("html", '<a href="([^"]*)">', '<img data-original="$1.jpg"><a href="$1">').alias("html"))
+
+
+@query(f"""SELECT page_id, CAST(i - 1 AS BIGINT) AS ord, 'https://h.com' || {_plain("regexp_extract(m[i], 'original=" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + "', 1)")} AS url FROM {_COVERS}""")
+def page_images(spark: SparkSession, d: str) -> DataFrame:
+    """The images of a chapter, loaded late: the attribute that the source names has none, a usual one has."""
+    return image_rows(_with_covers(spark, d), "page_id", "html", {"host": "https://h.com", "images": {"listSelector": "nav li > img", "srcAttribute": "src"}})
+
+
+@query(f"""SELECT page_id, CAST(i - 1 AS BIGINT) AS ord, 'https://h.com' || {_plain("regexp_extract(m[i], 'original=" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + "', 1)")} AS cover FROM {_COVERS}""")
+def plain_search_covers(spark: SparkSession, d: str) -> DataFrame:
+    search = {"listSelector": "nav li", "titleSelector": "&", "detailUrlSelector": "a", "coverSelector": "img"}
+    rows = plain_rows(_with_covers(spark, d), "page_id", "html", {"id": "s3", "host": "https://h.com/", "search": search})
+    return rows.select("page_id", "ord", "cover")
+
+
 # --- similarity -----------------------------------------------------------------------------------------------
 
 _TITLES = f"(SELECT DISTINCT regexp_replace(lower(p_name), '{_NOISE}', '', 'g') AS t FROM part)"
@@ -778,6 +819,12 @@ def catalog_filter_full(spark: SparkSession, d: str) -> DataFrame:
     return K.optional_filters(some, text="E", fields=("source", "lang")).select("doc_id", "lang", "source")
 
 
+@query("""SELECT doc_id, lang FROM documents WHERE lang IS NULL OR lang IN ('de')""")
+def catalog_filter_absent(spark: SparkSession, d: str) -> DataFrame:
+    """Only the languages are asked for: states and text are left out and filter nothing."""
+    return K.optional_filters(table(spark, d, "documents").select("doc_id", "lang"), states=None, languages=["de"], text=None, fields=("lang",))
+
+
 @query("""SELECT doc_id, source FROM documents d WHERE source <> 'web' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)""")
 def searchable(spark: SparkSession, d: str) -> DataFrame:
     """Rows that aren't of a mode that only links outside, and that no check has blocked."""
@@ -825,6 +872,28 @@ def risk_then_name(spark: SparkSession, d: str) -> DataFrame:
     return _catalog(spark, d).select("s_suppkey", "risk", "s_name").orderBy(order, F.collate("s_name", "zh"), "s_suppkey").limit(50)
 
 
+_SAID = ["getaddrinfo ", "connect ECONNREFUSED ", "CERT_HAS_EXPIRED ", "timeout after "]
+
+
+@query(f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'DNS_FAILED' WHEN 1 THEN 'CONNECTION_REFUSED' WHEN 2 THEN 'TLS_FAILED' ELSE 'FETCH_FAILED' END AS error_class FROM events WHERE event_type = 'error'""")
+def error_classes(spark: SparkSession, d: str) -> DataFrame:
+    """What kind of failure the text of an error tells of."""
+    said = F.get(F.array(*map(F.lit, _SAID)), (F.col("event_id") % 4).cast("int"))
+    errors = table(spark, d, "events").filter("event_type = 'error'")
+    return errors.select("event_id", X.error_class(F.concat(said, "props")).alias("error_class"))
+
+
+# Names in the order of their sounds, which isn't the order of their code points.
+_SOUNDS = "安北陈东飞高海江李明"
+
+
+@query(f"""SELECT s_suppkey, name FROM (SELECT s_suppkey, lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS k, translate(k, '0123456789', '{_SOUNDS}') AS name FROM supplier) ORDER BY k, s_suppkey LIMIT 50""")
+def names_in_chinese_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of names in Chinese order."""
+    digits = F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0")
+    return table(spark, d, "supplier").select("s_suppkey", F.translate(digits, "0123456789", _SOUNDS).alias("name")).orderBy(F.collate("name", "zh"), "s_suppkey").limit(50)
+
+
 @query(f"""SELECT s_suppkey, risk NOT IN ('high', 'blocked') AND active AND reachable AND NOT (checked AND NOT ok) AS wide, risk IN ('low', 'medium') AND active AND reachable AS unified,
 risk IN ('low', 'medium') AND active AND reachable AND NOT (checked AND NOT ok) AS strict FROM
 (SELECT *, s_suppkey % 5 <> 0 AS active, s_suppkey % 7 <> 0 AS reachable, s_suppkey % 3 = 0 AS checked, s_suppkey % 2 = 0 AS ok FROM ({_CATALOG}))""")
