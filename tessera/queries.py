@@ -19,6 +19,8 @@ from tessera.operators import similarity as S
 from tessera.operators.stored import shared_folder
 from tessera.plans import search, source_search
 from tessera.sources.buckets import BucketTable
+from tessera.sources.clustered import PagedLog, write_clustered
+from tessera.sources.postings import Postings
 from tessera.sources.tables import table
 from tessera.streaming import rollups as R
 from tessera.streaming import timers as T
@@ -69,6 +71,31 @@ def keyword_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(search.matches(F.col("text"), "License") | search.matches(F.col("source"), "SRC1")).select("doc_id", "source")
 
 
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license')")
+def keyword_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with a keyword by an index of runs of three characters."""
+    index = Postings(spark, f"{folder(spark)}/{uuid.uuid4().hex}")
+    index.build(table(spark, d, "documents").select("doc_id", "source", "text"), "text")
+    return index.search("License").select("doc_id", "source")
+
+
+@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50 OFFSET 900")
+def log_page_deep(spark: SparkSession, d: str) -> DataFrame:
+    """A page far behind, from a log that is stored in order."""
+    log = PagedLog(spark, f"{folder(spark)}/{uuid.uuid4().hex}")
+    log.build(table(spark, d, "events").select("event_id", "ts", "event_type"), F.desc("ts"), F.col("event_id"))
+    return log.page(50, 900)
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_id = 77 OR user_id = 3")
+def look_up_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by the key that the file is clustered by, and by another one with a Bloom filter."""
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    write_clustered(table(spark, d, "events").select("event_id", "user_id", "value"), path, ["event_id"], {"user_id": 1000})
+    rows = spark.read.parquet(path)
+    return rows.filter("event_id = 77").unionByName(rows.filter("user_id = 3 and event_id <> 77"))
+
+
 @query("""SELECT source, word, ord FROM (SELECT source, word, ord, row_number() OVER (PARTITION BY source ORDER BY ord) AS r FROM
 (SELECT DISTINCT d.source, k.word, k.ord FROM documents d JOIN (VALUES ('license', 0), ('moron', 1), ('the', 2)) k(word, ord) ON contains(d.text, k.word))) WHERE r = 1""")
 def first_match(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import keyed
 from tessera.sources.buckets import BucketTable
+from tessera.sources.clustered import PagedLog, write_clustered
+from tessera.sources.postings import Postings
 from tessera.streaming import rollups
 
 T0 = dt.datetime(2024, 1, 1)
@@ -134,3 +136,88 @@ def test_deletes_nulls_and_inserts(spark, tmp_path):
     t.change(new, lambda old, more: old.join(more.select(F.col("k").alias("x")), F.col("k").eqNullSafe(F.col("x")), "left_anti"))
     assert t.look_up(None).count() == 0 and t.look_up(5).count() == 0 and t.rows().count() == 19
     assert t.change(new.limit(0), upsert) == []
+
+
+# --- postings ---------------------------------------------------------------------------------------------------
+
+
+def rows_read(df):
+    """Rows that the scans of a frame's plan gave when it ran."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+            continue
+        if hasattr(p, "plan") and "QueryStage" in p.getClass().getSimpleName():
+            todo.append(p.plan())
+            continue
+        children = p.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if "Scan" in p.getClass().getSimpleName():
+            total += p.metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_postings_find_what_a_scan_finds_and_read_less(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    words = [a + b + c for a in ("th", "an", "re") for b in ("ing", "er", "on") for c in ("", "s", "ed")]
+    rows = [(i, " ".join(r.choice(words) for _ in range(30)) + (" Zebra" if i % 500 == 7 else "") + (" okapi" if i % 2 else ""), i) for i in range(4000)]
+    rows += [(1, None, 0), (None, "ZEBRA é日本語", 0), (None, "ZEBRA é日本語", 0), (5, "", 0), (6, "ze", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long").repartition(4)
+    index = Postings(spark, f"file://{tmp_path}/index", row_group=20_000)
+    index.build(docs, "text")
+    for keyword in ("zebra", "ÉB", "é日本", "ing re", "okapi", "ze", "", "absent", "zebrab"):
+        want = docs.filter(F.contains(F.lower("text"), F.lower(F.lit(keyword))))
+        assert sorted(map(tuple, index.search(keyword).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr), keyword
+    assert index.search("zebra").columns == docs.columns
+    assert rows_read(index.search("zebra")) < rows_read(index.search("okapi")) / 2
+
+
+def test_postings_of_nothing(spark, tmp_path):
+    index = Postings(spark, f"file://{tmp_path}/index")
+    index.build(spark.createDataFrame([], "doc_id long, text string"), "text")
+    assert index.search("zebra").count() == 0 and index.search("").count() == 0
+
+
+# --- logs in order ----------------------------------------------------------------------------------------------
+
+
+def test_pages_of_a_log_read_their_own_ranges(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        log = PagedLog(spark, f"file://{tmp_path}/log")
+        log.build(spark.range(2000).select((F.col("id") % 10).alias("a"), "id").repartition(3), F.desc("a"), F.col("id"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(((i % 10, i) for i in range(2000)), key=lambda x: (-x[0], x[1]))
+    for limit, offset in ((None, None), (0, 0), (7, 1234), (1000, 700), (50, 1990), (5, 5000)):
+        page = log.page(limit, offset)
+        assert [tuple(r) for r in page.collect()] == want[(offset or 0) : (offset or 0) + (limit or 50)]
+    deep = log.page(10, 1500)
+    assert rows_read(deep) <= 600 and "Window" not in deep._jdf.queryExecution().toString()
+    a, i = want[1233]
+    upto = (F.col("a") > a) | (F.col("a") == a) & (F.col("id") <= i)
+    assert [tuple(r) for r in log.page_after(upto, 20).collect()] == want[1234:1254]
+    assert [tuple(r) for r in log.page_after(F.lit(False), 3).collect()] == want[:3] and log.page_after(F.lit(True), 3).count() == 0
+    assert log.count() == 2000
+
+
+def test_pages_of_an_empty_log(spark, tmp_path):
+    log = PagedLog(spark, f"file://{tmp_path}/log")
+    log.build(spark.range(3), "id")
+    assert log.page(5, 3).count() == 0 and log.page(5, 2).first().id == 2
+
+
+def test_look_ups_open_few_row_groups(spark, tmp_path):
+    df = spark.range(200_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("name"), (F.col("id") % 7).alias("x"))
+    write_clustered(df, f"file://{tmp_path}/c", ["id"], {"name": 50_000}, row_group=200_000)
+    rows = spark.read.parquet(f"file://{tmp_path}/c")
+    name = df.filter("id = 77777").first().name
+    by_key, by_name = rows.filter("id = 77777"), rows.filter(F.col("name") == name)
+    assert by_key.first().name == name and by_name.first().id == 77777
+    assert rows_read(by_key) <= 25_000 and rows_read(by_name) <= 25_000
+    assert rows_read(rows.filter("name = 'none'")) <= 25_000
