@@ -13,13 +13,12 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 U64 = np.uint64
 _ROOTS: dict[str, str] = {}
@@ -272,9 +271,9 @@ def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def in_filter_column(bits_of, key) -> Column:
     """Whether a column of longs passes the filter in the broadcast bits_of: only the keys go through Python."""
 
-    @pandas_udf("boolean")
-    def passes(k: pd.Series) -> pd.Series:
-        return pd.Series(in_filter(bits_of.value, k.to_numpy()))
+    @arrow_udf("boolean")
+    def passes(k: pa.Array) -> pa.Array:
+        return pa.array(in_filter(bits_of.value, k.to_numpy()), pa.bool_())
 
     return passes(key)
 
