@@ -25,14 +25,23 @@ def value_at(body: Column, path: str) -> Column:
     return F.coalesce(*[F.get_json_object(body, "$" + "".join(f)) for f in forms])
 
 
+def _items(body: Column, rule: dict) -> Column:
+    """The items that a rule's path finds in an answer; null for what is no JSON."""
+    at = value_at(body, rule["search"]["item"])
+    return F.when(body.rlike(JSON_START), F.when(at.startswith("["), F.from_json(at, "array<string>")).when(at.startswith("{"), F.array(at)))
+
+
+def _field(item: Column, rule: dict, field: str) -> Column:
+    path = rule["search"].get(field)
+    return F.nullif(value_at(item, path), F.lit("")) if path else F.lit(None).cast("string")
+
+
 def json_rows(answers: DataFrame, key: str, body: str, rule: dict) -> DataFrame:
     """Result rows, with the columns of search_rows(), of the items that a rule's paths find in JSON answers. Rows without a title go,
     links are made absolute and are the host where there is none; what is no JSON gives no rows."""
-    search, host = rule["search"], clean_host(F.lit(rule["host"]))
-    at = value_at(F.col(body), search["item"])
-    items = F.when(at.startswith("["), F.from_json(at, "array<string>")).when(at.startswith("{"), F.array(at))
-    rows = answers.filter(F.col(body).rlike(JSON_START)).select(key, F.posexplode(items).alias("ord", "item"))
-    value = {f: F.nullif(value_at(F.col("item"), search[f]), F.lit("")) if search.get(f) else F.lit(None).cast("string") for f in RESULT_FIELDS}
+    host = clean_host(F.lit(rule["host"]))
+    rows = answers.select(key, F.posexplode(_items(F.col(body), rule)).alias("ord", "item"))
+    value = {f: _field(F.col("item"), rule, f) for f in RESULT_FIELDS}
     value["url"] = F.coalesce(F.nullif(resolve(value["url"], host), F.lit("")), host)
     value["cover"] = F.nullif(resolve(value["cover"], host), F.lit(""))
     columns = [value[f].alias(c) for f, c in RESULT_FIELDS.items()]
@@ -40,7 +49,6 @@ def json_rows(answers: DataFrame, key: str, body: str, rule: dict) -> DataFrame:
 
 
 def response_rows(answers: DataFrame, key: str, body: str, rule: dict) -> DataFrame:
-    """Rows of answers read as JSON and, of those without any, read as HTML."""
-    found = json_rows(answers, key, body, rule)
-    rest = answers.join(found.select(key).distinct(), key, "left_anti")
-    return found.unionByName(search_rows(rest, key, body, rule))
+    """Rows of answers read as JSON and, of those without any, read as HTML. Each answer tells for itself whether it has any."""
+    any_item = F.coalesce(F.exists(_items(F.col(body), rule), lambda x: _field(x, rule, "title").isNotNull()), F.lit(False))
+    return json_rows(answers, key, body, rule).unionByName(search_rows(answers.filter(~any_item), key, body, rule))

@@ -1,4 +1,4 @@
-"""Streams with state and event-time timers: debounced writes, minimum intervals, freshness of entries.
+"""Streams with state and event-time timers: debounced writes, minimum intervals, breakers, freshness of entries.
 
 All of them wait for the watermark, so rows may come in any order within its delay and give what the batch queries give. Rows
 later than the watermark are dropped and counted by Spark (numRowsDroppedByWatermark), rows without a key only move it on. State
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from tessera.operators.health import DAY_MS, Breaker
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR_US = 3_600_000_000
 
@@ -121,6 +123,58 @@ def throttle_stream(events: DataFrame, least_us: int = 300_000_000) -> DataFrame
     return _processed(keyed, ["key"], _Gaps(least_us), "key long, too_soon long, n long", "update")
 
 
+class _Breakers(StatefulProcessor):
+    """Takes a key's checks in order, as the batch breaker does: they wait until the watermark has passed them."""
+
+    def __init__(self, cooldown_ms: int) -> None:
+        self.cooldown_us = cooldown_ms * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, failed boolean, hard boolean")
+        self.breaker = handle.getValueState("breaker", "status string, failures long, until long, error string")
+
+    def _wait(self, rows: list[tuple]) -> None:
+        if not rows:
+            self.waiting.clear()
+            return
+        self.waiting.put(rows)
+        self.handle.registerTimer(min(r[0] for r in rows) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        if pd.isna(key[0]):
+            return iter([])
+        new = _rows(rows)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        self._wait(held + [(int(us), int(e), bool(f), bool(h)) for us, e, f, h in zip(new.us, new.event_id, new.failed, new.hard, strict=True)])
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(tuple(x) for x in self.waiting.get())
+        self._wait([x for x in held if x[0] >= upto])
+        state, out = Breaker(*(self.breaker.get() if self.breaker.exists() else ())), []
+        for us, event_id, failed, hard in held:
+            if us < upto:
+                taken = state.step(us, failed, hard, self.cooldown_us)
+                out.append((key[0], event_id, not taken, state.status, state.failures))
+        if out:
+            self.breaker.update((state.status, state.failures, state.until, state.error))
+            yield pd.DataFrame(out, columns=["key", "event_id", "skipped", "status", "failures"])
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_breakers(checks: DataFrame, cooldown_ms: int = DAY_MS) -> DataFrame:
+    """(key, event_id, skipped, status, failures) after every check of checks(key, event_id, ts, failed, hard), a stream with a watermark on
+    ts whose rows may come in any order within its delay; a check is taken when the watermark has passed it. Append mode."""
+    keyed = checks.select("key", "event_id", "ts", F.unix_micros("ts").alias("us"), F.coalesce("failed", F.lit(False)).alias("failed"), F.coalesce("hard", F.lit(False)).alias("hard"))
+    return _processed(keyed, ["key"], _Breakers(cooldown_ms), "key long, event_id long, skipped boolean, status string, failures long", "append")
+
+
 class _Fresh(StatefulProcessor):
     """Counts entries and those not yet expired at the watermark: a count for each hour, and the seconds of each hour."""
 
@@ -197,7 +251,7 @@ def replayed(spark: SparkSession, events: DataFrame, end: str, delay: str, opera
     last = spark.range(1).select(*[F.lit(end).cast("timestamp").alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes])
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(source).withWatermark("ts", delay)
     result = operator(stream)
-    mode = "append" if operator is debounced_stream else "update"
+    mode = "append" if operator in (debounced_stream, ordered_breakers) else "update"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators.health import breaker_states
 from tessera.sources.tables import INDEX_SCHEMA, append_log, export_json, read_first, read_index, snapshot, table
 from tessera.streaming.breakers import append_batches, breaker_stream
-from tessera.streaming.timers import debounced_stream, freshness_now, freshness_stream, replayed, throttle_stream
+from tessera.streaming.timers import debounced_stream, freshness_now, freshness_stream, ordered_breakers, replayed, throttle_stream
 
 DATA = "/root/testdata/sf0.001"
 
@@ -69,3 +69,14 @@ def test_entries_expire_with_the_watermark(spark, tmp_path):
     entries = spark.createDataFrame(rows, "key string, event_id long, ts timestamp, ttl long").repartition(3)
     given = replayed(spark, entries, "2024-01-02 19:30:00", "1 day", freshness_stream, f"file://{tmp_path}/r", 1)
     assert {(r.key, r.n, r.fresh) for r in freshness_now(given).collect()} == {("a", 40, 5), ("b", 1, 0)}
+
+
+def test_ordered_breakers_equal_the_batch_for_rows_in_any_order(spark, tmp_path):
+    e = table(spark, DATA, "events").filter("user_id < 6")
+    failed = F.col("event_type") == "error"
+    checks = e.select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), failed.alias("failed"), (failed & (F.col("value") > 200)).alias("hard"))
+    shuffled = checks.repartition(5, F.xxhash64("event_id"))
+    got = replayed(spark, shuffled, "2040-01-01", "60 days", ordered_breakers, f"file://{tmp_path}/r", 2).filter("key is not null")
+    want = breaker_states(checks.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    columns = ["key", "event_id", "skipped", "status", "failures"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
