@@ -163,6 +163,9 @@ def breaker_states(checks: DataFrame, cooldown_ms: int = DAY_MS) -> DataFrame:
     rows = with_segments(checks.select(F.col("key").cast("long"), "event_id", "ts", "failed", "hard", *more), "key", "ts")
     rounds = Rounds(checks.sparkSession)
     hot = rounds.keep(rows.filter(F.col("_seg") != WHOLE).withColumn("_entry", F.lit(None).cast(_ENTRY)))
+    if not hot.limit(1).count():
+        rounds.drop(hot)
+        return _run_breakers(rows.withColumn("_entry", F.lit(None).cast(_ENTRY)), cooldown_ms, False)
     table = rounds.keep(_run_breakers(hot, cooldown_ms, True).withColumn("_entry", F.lit(None).cast(_ENTRY)))
     row = F.col("_key").eqNullSafe(F.col("key")) & (F.col("_at") == F.col("_seg"))
     place = [F.col("key").alias("_key"), F.col("_seg").alias("_at")]
