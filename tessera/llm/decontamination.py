@@ -18,6 +18,8 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Most prefix shingles, and contaminated rows, that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bits of the map of prefix shingles that thins the corpus before a shuffle join: one row for 64 of them at most.
+MAP_BITS = 1 << 25
 
 
 def words_of(text: Column) -> Column:
@@ -60,6 +62,15 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW
     return rows.join(bad, "_row", "left_anti").select("row.*")
 
 
+def _mapped(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose long h may be one of keys(h): a bit map in rows of 64 bits, broadcast, of a size that MAP_BITS bounds."""
+    bit = F.col("h").bitwiseAND(F.lit(MAP_BITS - 1))
+    words = keys.select(bit.alias("p")).groupBy(F.shiftright("p", 6).alias("_w"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_b"))
+    near = rows.withColumn("_w", F.shiftright(bit, 6)).join(F.broadcast(words), "_w")
+    return near.filter("shiftrightunsigned(_b, cast(h & 63 as int)) & 1 = 1").drop("_w", "_b")
+
+
 def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """contaminated() with _row, a struct of doc_id and the text's hash."""
     docs = _keyed(docs)
@@ -92,8 +103,9 @@ def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_ro
         if small:
             found = places.join(of, on).filter((start >= 0) & (start + F.col("len") <= F.col("n")))
             return found.filter(F.slice("words", start + 1, F.col("len")) == F.col("want")).select("_row", start.alias("start"), "len", "key")
-        # places meet prefixes by a hash of the shingle; texts move once, to the windows that may occur in them
-        at = places.select("_row", "n", "pos", F.xxhash64(*on).alias("h")).join(of.select(F.xxhash64(*on).alias("h"), "off", "len", "key"), "h")
+        # places that the map of prefixes lets pass meet prefixes by a hash of the shingle; texts move once, to the windows that may occur in them
+        of = of.select(F.xxhash64(*on).alias("h"), "off", "len", "key")
+        at = _mapped(places.select("_row", "n", "pos", F.xxhash64(*on).alias("h")), of).join(of, "h")
         at = at.filter((start >= 0) & (start + F.col("len") <= F.col("n"))).select("_row", F.struct(start.alias("start"), "len", "key").alias("c"))
         at = at.groupBy("_row").agg(F.collect_set("c").alias("c"))
         words = docs.select("_row", "text").join(at, "_row").select("_row", "c", words_of(F.col("text")).alias("words"))
