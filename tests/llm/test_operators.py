@@ -516,6 +516,25 @@ def test_heads_that_hold_overlapping_parts(spark):
     assert [(x.first_word, x.end_word, x.kept_doc_id) for x in found if x.doc_id is None] == [(1, 61, 7777)]
 
 
+def test_near_passages_behind_heads_that_hold_parts(spark):
+    # three earlier documents hold overlapping parts, too short for passages of their own, of what two later ones nearly share
+    r = random.Random(60)
+    rows, n, kinds = [], 150, ((60, 1, 35), (80, 2, 45), (100, 3, 48))
+    for k in range(n * len(kinds)):
+        size, edits, part = kinds[k // n]
+        p = [f"p{r.randrange(10**7)}" for _ in range(size)]
+        near = list(p)
+        for place in r.sample(range(8, size - 8), edits):
+            near[place] = f"e{r.randrange(10**7)}"
+        for j, at in enumerate((0, (size - part) // 2, size - part)):
+            rows.append((1000 * j + k, f"{prose(r, 40)} a{k}{j} {' '.join(p[at : at + part])} b{k}{j} {prose(r, 30)}"))
+        rows += [(10_000 + 1000 * j + k, f"{prose(r, 30)} c{k}{j} {' '.join(x)} d{k}{j} {prose(r, 30)}") for j, x in enumerate((p, near))]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = {x.doc_id - 11_000 for x in found if x.kept_doc_id == x.doc_id - 1000 and x.doc_id >= 11_000}
+    counts = [sum(k // n == of for k in linked) for of in range(len(kinds))]
+    assert min(counts) >= 0.98 * n, counts
+
+
 @pytest.mark.parametrize("edit", ["insertion", "deletion", "substitution"])
 def test_near_passages_are_found(edit):
     r = np.random.default_rng(4)
