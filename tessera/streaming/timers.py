@@ -31,43 +31,15 @@ def _rows(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True)
 
 
-class _LastOfInterval(StatefulProcessor):
-    """Keeps the last write of an interval and gives it when the watermark has passed the interval's end."""
-
-    def __init__(self, interval_us: int) -> None:
-        self.interval_us = interval_us
-
-    def init(self, handle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "us long, event_id long, value double")
-
-    def handleInputRows(self, key, rows, timerValues):
-        if pd.isna(key[0]):
-            return iter([])
-        new = _rows(rows).sort_values(["us", "event_id"]).iloc[-1]
-        best = (int(new.us), int(new.event_id), None if pd.isna(new.value) else float(new.value))
-        if not self.last.exists() or tuple(self.last.get())[:2] < best[:2]:
-            self.last.update(best)
-        self.handle.registerTimer((int(key[1]) + self.interval_us) // 1000)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.last.exists():
-            return
-        us, event_id, value = self.last.get()
-        self.last.clear()
-        yield pd.DataFrame({"key": [key[0]], "start_us": [key[1]], "event_id": [event_id], "value": [value]})
-
-    def close(self) -> None:
-        pass
-
-
 def debounced_stream(events: DataFrame, interval_us: int = HOUR_US) -> DataFrame:
     """(key, start, event_id, value) of the last event of each key and interval of events(key, event_id, ts, value), a stream with a
-    watermark on ts; given once, when the watermark has passed the interval. Append mode."""
-    us = F.unix_micros("ts")
-    keyed = events.select("key", "event_id", "ts", "value", us.alias("us"), (us - F.pmod(us, F.lit(interval_us))).alias("start_us"))
-    out = _processed(keyed, ["key", "start_us"], _LastOfInterval(interval_us), "key long, start_us long, event_id long, value double", "append")
-    return out.select("key", F.timestamp_micros("start_us").alias("start"), "event_id", "value")
+    watermark on ts; given once, when the watermark has passed the interval. A row is late if its interval has been given. Append
+    mode. The states are those of an aggregate by window: no Python, no timer for each key and interval."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    # a test of the key alone would go below the watermark, which rows without a key move on
+    keyed = events.filter(F.when(F.col("key").isNotNull(), F.col("ts")).isNotNull())
+    last = keyed.groupBy("key", F.window("ts", f"{interval_us} microseconds").alias("interval")).agg(F.max(F.struct("ts", "event_id", "value")).alias("last"))
+    return last.select("key", F.col("interval.start").alias("start"), "last.event_id", "last.value")
 
 
 class _Gaps(StatefulProcessor):

@@ -57,6 +57,19 @@ def test_debounced_stream_gives_each_interval_once_and_drops_late_rows(spark, tm
         assert sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"]) == (i == 2)
 
 
+def test_debounced_intervals_are_open_until_the_watermark_passes_their_end(spark, tmp_path):
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    schema = "key long, event_id long, ts timestamp, value double"
+    for part in [[(1, 0, at(5, 5), 0.0)], [(2, 1, at(5, 59), 1.0)], [(1, 2, at(5, 20), None)], [(None, None, at(23, 0), None)]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = debounced_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withWatermark("ts", "10 minutes"))
+        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.schema("key long, start timestamp, event_id long, value double").parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.key, r.start.hour, r.event_id) for r in got) == [(1, 5, 2), (2, 5, 1)]
+    assert "TransformWithState" not in out._jdf.queryExecution().analyzed().toString()
+
+
 def test_gaps_wait_for_rows_in_between(spark, tmp_path):
     rows = [(1, 1, dt.datetime(2024, 1, 1, 0, 0)), (1, 2, dt.datetime(2024, 1, 1, 0, 8)), (1, 3, dt.datetime(2024, 1, 1, 0, 4)), (2, 4, dt.datetime(2024, 1, 1, 0, 0))]
     events = spark.createDataFrame(rows, "key long, event_id long, ts timestamp").repartition(4)
