@@ -43,56 +43,68 @@ def debounced_stream(events: DataFrame, interval_us: int = HOUR_US) -> DataFrame
 
 
 class _Gaps(StatefulProcessor):
-    """Takes a key's events in order: they wait until the watermark has passed them."""
+    """Takes the events of one part of the keys in order: they wait, as arrays, until the watermark has passed them."""
 
     def __init__(self, least_us: int) -> None:
         self.least_us = least_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, event_id long")
-        self.done = handle.getValueState("done", "last_us long, too_soon long, n long")
+        self.waiting = handle.getListState("waiting", "keys binary, us binary")
+        self.done = handle.getValueState("done", "keys binary, last_us binary, too_soon binary, n binary")
 
-    def _wait(self, rows: list[tuple[int, int]]) -> None:
-        if not rows:
-            self.waiting.clear()
-            return
-        self.waiting.put(rows)
-        self.handle.registerTimer(min(us for us, _ in rows) // 1000 + 1)
+    def _timer(self, us: np.ndarray) -> None:
+        at, set_to = int(us.min()) // 1000 + 1, list(self.handle.listTimers())
+        if not set_to or at < min(set_to):
+            for old in set_to:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows, timerValues):
-        if pd.isna(key[0]):
-            return iter([])
         new = _rows(rows)
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        self._wait(held + [(int(us), int(e)) for us, e in zip(new.us, new.event_id, strict=True)])
+        keys, us = new.key.to_numpy(dtype=np.int64), new.us.to_numpy(dtype=np.int64)
+        self.waiting.appendValue((keys.tobytes(), us.tobytes()))
+        self._timer(us)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(x) for x in self.waiting.get())
-        ready = [us for us, _ in held if us < upto]
-        self._wait([x for x in held if x[0] >= upto])
-        if not ready:
+        held = [[np.frombuffer(x, dtype=np.int64) for x in row] for row in self.waiting.get()]
+        keys, us = (np.concatenate(x) for x in zip(*held, strict=True))
+        ready = us < upto
+        self.waiting.clear()
+        if not ready.all():
+            self.waiting.appendValue((keys[~ready].tobytes(), us[~ready].tobytes()))
+            self.handle.registerTimer(int(us[~ready].min()) // 1000 + 1)
+        if not ready.any():
             return
-        last, soon, n = self.done.get() if self.done.exists() else (None, 0, 0)
-        gaps = np.diff(np.array(ready if last is None else [last, *ready], dtype=np.int64))
-        soon, n = int(soon + (gaps < self.least_us).sum()), int(n + len(ready))
-        self.done.update((ready[-1], soon, n))
-        yield pd.DataFrame({"key": [key[0]], "too_soon": [soon], "n": [n]})
+        known, last, soon, n = (np.frombuffer(x, dtype=np.int64) for x in (self.done.get() if self.done.exists() else (b"",) * 4))
+        every, of = np.unique(np.concatenate([known, keys[ready]]), return_inverse=True)
+        # a key's last event so far comes before those that are ready
+        at = np.concatenate([last, us[ready]])
+        order = np.lexsort((at, of))
+        owner, at = of[order], at[order]
+        same = owner[1:] == owner[:-1]
+        more = np.bincount(of[len(known) :], minlength=len(every))
+        close = np.bincount(owner[1:][same & (np.diff(at) < self.least_us)], minlength=len(every))
+        close[of[: len(known)]] += soon
+        total = more.copy()
+        total[of[: len(known)]] += n
+        self.done.update(tuple(x.astype(np.int64).tobytes() for x in (every, at[np.append(~same, True)], close, total)))
+        yield pd.DataFrame({"key": every, "too_soon": close, "n": total})[more > 0]
 
     def close(self) -> None:
         pass
 
 
-def throttle_stream(events: DataFrame, least_us: int = 300_000_000) -> DataFrame:
+def throttle_stream(events: DataFrame, least_us: int = 300_000_000, parts: int = 512) -> DataFrame:
     """(key, too_soon, n) so far: how many of a key's events(key, event_id, ts) follow the one before sooner than least_us; a stream with
     a watermark on ts. A row for each key and batch in which the watermark passes events of it. Update mode; the row with the
-    greatest n of a key is the newest."""
-    keyed = events.select("key", "event_id", "ts", F.unix_micros("ts").alias("us"))
-    return _processed(keyed, ["key"], _Gaps(least_us), "key long, too_soon long, n long", "update")
+    greatest n of a key is the newest. Keys are dealt out to `parts` states, each with its keys' events as arrays."""
+    # a test of the key alone would go below the watermark, which rows without a key move on
+    keyed = events.filter(F.when(F.col("key").isNotNull(), F.col("ts")).isNotNull())
+    keyed = keyed.select("key", "ts", F.unix_micros("ts").alias("us"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"))
+    return _processed(keyed, ["part"], _Gaps(least_us), "key long, too_soon long, n long", "update")
 
 
 class _Breakers(StatefulProcessor):

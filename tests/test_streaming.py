@@ -77,6 +77,19 @@ def test_gaps_wait_for_rows_in_between(spark, tmp_path):
     assert {(r.key, r.too_soon, r.n) for r in got.groupBy("key").agg(F.max_by("too_soon", "n").alias("too_soon"), F.max("n").alias("n")).collect()} == {(1, 2, 3), (2, 0, 1)}
 
 
+def test_gaps_of_many_keys_share_states(spark, tmp_path):
+    schema, got = "key long, event_id long, ts timestamp", {}
+    for day in range(1, 5):
+        rows = [(k << 54 | k, 9, dt.datetime(2024, 1, day, 23 * (i > 2), 4 * i)) for k in range(40) for i in (5, 0, 4, 1, 3, 2)]
+        spark.createDataFrame([*rows, (None, 0, dt.datetime(2024, 1, day, 23, 59))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = throttle_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withWatermark("ts", "1 hour"), parts=2)
+        keep = lambda batch, number: got.update({r.key: (r.too_soon, r.n) for r in batch.orderBy("n").collect()})
+        out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        # the last three of a day wait for the next day
+        assert got == {k << 54 | k: (4 * day - 2, 6 * day - 3) for k in range(40)}
+    assert spark.read.format("statestore").option("path", f"{tmp_path}/c").option("stateVarName", "done").load().count() == 2
+
+
 def test_entries_expire_with_the_watermark(spark, tmp_path):
     rows = [("a", i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=1800 * i), 7200) for i in range(40)] + [("b", 99, dt.datetime(2024, 1, 1), 60)]
     entries = spark.createDataFrame(rows, "key string, event_id long, ts timestamp, ttl long").repartition(3)
