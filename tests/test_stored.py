@@ -177,6 +177,16 @@ def test_postings_find_what_a_scan_finds_and_read_less(spark, tmp_path):
     assert rows_read(index.search("zebra")) < rows_read(index.search("okapi")) / 2
 
 
+def test_postings_take_a_row_for_a_run_of_a_block(spark, tmp_path):
+    rows = [(i, "licence" if i % 2 else "License \U0001f600\U0001f600!") for i in range(1000)]
+    index = Postings(spark, f"file://{tmp_path}/index")
+    index.build(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "text")
+    assert spark.read.parquet(f"{tmp_path}/index/postings").groupBy("run", "block").count().agg({"count": "max"}).first()[0] <= 2
+    assert spark.read.parquet(f"{tmp_path}/index/postings").count() < 1000
+    for keyword, odd in (("CENS", 0), ("icence", 1), ("\U0001f600\U0001f600!", 0)):
+        assert sorted(r.doc_id for r in index.search(keyword).collect()) == [i for i in range(1000) if i % 2 == odd]
+
+
 def test_postings_of_nothing(spark, tmp_path):
     index = Postings(spark, f"file://{tmp_path}/index")
     index.build(spark.createDataFrame([], "doc_id long, text string"), "text")
