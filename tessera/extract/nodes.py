@@ -22,6 +22,8 @@ TEXT, MARKUP = 0, 1
 BATCH = 5000
 #: Elements that are matched together when elements meet the items they are inside.
 BLOCK = 256
+#: Node rows of a task that sorts them, once there are enough for all cores.
+TASK_ROWS = 250_000
 FACTS = ["node", "last", "parent", "tag", "ident", "classes", "attrs", "pieces"]
 NODE = "node int, last int, parent int, tag string, ident string, classes array<string>, attrs map<string, string>, pieces array<struct<at: int, kind: int, s: string>>"
 
@@ -97,6 +99,12 @@ def page_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
     return given.mapInArrow(run, f"_key {pages.schema[key].dataType.simpleString()}, _page long, {NODE}")
 
 
+def parts_of(nodes: DataFrame) -> int:
+    """How many parts stored node rows are dealt out in, so that a task's share doesn't grow with the table."""
+    n = nodes.count()
+    return max(1, min(nodes.sparkSession.sparkContext.defaultParallelism, n // 10_000), -(-n // TASK_ROWS))
+
+
 # --- the text of selectors --------------------------------------------------------------------------------------
 
 _SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:([~^$*]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
@@ -187,8 +195,8 @@ class Matches:
     """Node rows with a flag column for each step that has been asked for. Rows are of one scope where its columns agree; the scope's
     root is the row with an empty tag, everything else lies inside it."""
 
-    def __init__(self, rows: DataFrame, scope: list[str]) -> None:
-        self.rows, self.scope, self.known, self.root = rows.withColumn("_root", F.col("tag") == ""), scope, {}, "_root"
+    def __init__(self, rows: DataFrame, scope: list[str], parts: int) -> None:
+        self.rows, self.scope, self.parts, self.known, self.root = rows.repartition(parts, *scope).withColumn("_root", F.col("tag") == ""), scope, parts, {}, "_root"
         self.order = Window.partitionBy(*scope).orderBy("node")
         self.every = Window.partitionBy(*scope)
 
@@ -197,7 +205,7 @@ class Matches:
         self.rows = self.rows.withColumn(name, value)
         return name
 
-    def _inside(self, flag: str) -> Column:
+    def inside(self, flag: str) -> Column:
         """Inside an element that has the flag: the farthest end of those that began before lies behind."""
         if flag == self.root:
             return ~F.col(self.root)
@@ -210,7 +218,9 @@ class Matches:
         same = F.col("parent") == F.col("_p_node")
         for c in self.scope:
             same &= F.col(c) == F.col(f"_p_{c}")
-        self.rows = self.rows.join(have, same, "left").withColumn("_child", F.col("_p_node").isNotNull()).drop("_p_node", *[f"_p_{c}" for c in self.scope])
+        have = have.repartition(self.parts, *[f"_p_{c}" for c in self.scope], "_p_node")
+        met = self.rows.repartition(self.parts, *self.scope, "parent").join(have, same, "left").withColumn("_child", F.col("_p_node").isNotNull())
+        self.rows = met.drop("_p_node", *[f"_p_{c}" for c in self.scope]).repartition(self.parts, *self.scope)
         return F.col("_child")
 
     def select(self, inside: str, alternatives: tuple) -> str:
@@ -224,13 +234,13 @@ class Matches:
                 what = (inside, steps[: k + 1], "path")
                 if what not in self.known:
                     if k == 0:
-                        place = (F.col(inside) | self._inside(inside)) if len(steps) > 1 else self._inside(inside)
+                        place = (F.col(inside) | self.inside(inside)) if len(steps) > 1 else self.inside(inside)
                     else:
-                        place = self._below(flag) if joint == ">" else self._inside(flag)
+                        place = self._below(flag) if joint == ">" else self.inside(flag)
                     self._add(what, _fits(parts) & place)
                     self.rows = self.rows.drop("_child")
                 flag = self.known[what]
-            found |= F.col(flag) & self._inside(inside)
+            found |= F.col(flag) & self.inside(inside)
         return self._add((inside, alternatives), found)
 
     def pick(self, flag: str, number: int) -> str:

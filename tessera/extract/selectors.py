@@ -16,7 +16,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.extract.nodes import BLOCK, FACTS, Matches, chain, page_nodes, step
+from tessera.extract.nodes import BLOCK, FACTS, Matches, chain, page_nodes, parts_of, step
 from tessera.functions.urls import clean_host, resolve, resolve_plain
 from tessera.functions.values import trimmed
 from tessera.operators.stored import Rounds
@@ -61,10 +61,10 @@ def _filtered(spark: SparkSession, value: Column, filters: list[str], doc_semant
     return trimmed(value)
 
 
-def _fields(nodes: DataFrame, scope: list[str], keep: list[str], rules: dict[str, str], doc_semantics: bool = False) -> DataFrame:
-    """A row for each scope of node rows: the columns `keep` and one for each rule."""
+def _fields(nodes: DataFrame, scope: list[str], keep: list[str], rules: dict[str, str], parts: int, doc_semantics: bool = False) -> DataFrame:
+    """A row for each scope of node rows, dealt out in so many parts: the columns `keep` and one for each rule."""
     spark, fields = nodes.sparkSession, {name: Field(text) for name, text in rules.items()}
-    matches, wanted = Matches(nodes, scope), {}
+    matches, wanted = Matches(nodes, scope, parts), {}
     for field in fields.values():
         for one in [c for choice in field.choices for c in choice if c is not None]:
             if one not in wanted:
@@ -85,7 +85,7 @@ def _fields(nodes: DataFrame, scope: list[str], keep: list[str], rules: dict[str
     return gathered.select(*keep, *[_filtered(spark, chosen(f), f.filters, doc_semantics).alias(name) for name, f in fields.items()])
 
 
-def _item_rows(nodes: DataFrame, item: str) -> DataFrame:
+def _item_rows(nodes: DataFrame, item: str, parts: int) -> DataFrame:
     """Node rows of each item of a page, numbered by _ord, with a root above it. Of the alternatives the first with a match counts."""
     lists = []
     for x in item.split("||"):
@@ -93,15 +93,19 @@ def _item_rows(nodes: DataFrame, item: str) -> DataFrame:
             lists.append(step(x.strip())[0])
         except ValueError:
             continue
-    matches = Matches(nodes, ["_page"])
+    matches = Matches(nodes, ["_page"], parts)
     flags = [matches.select(matches.root, alternatives) for alternatives in lists]
     for k, flag in enumerate(flags):
         matches.rows = matches.rows.withColumn(f"_any{k}", F.max(flag).over(matches.every))
     is_item = F.coalesce(*[F.when(F.col(f"_any{k}"), F.col(flag)) for k, flag in enumerate(flags)], F.lit(False))
-    found = matches.rows.filter(is_item).select("_page", F.col("node").alias("_item"), F.col("last").alias("_upto"))
+    matches.rows = matches.rows.withColumn("_is", is_item)
+    found = matches.rows.filter("_is").select("_page", F.col("node").alias("_item"), F.col("last").alias("_upto"))
     found = found.withColumn("_ord", F.row_number().over(matches.every.orderBy("_item")).cast("long") - 1)
     blocks = F.sequence(F.expr(f"_item div {BLOCK}"), F.expr(f"_upto div {BLOCK}"))
-    meet = found.withColumn("_block", F.explode(blocks)).join(nodes.withColumn("_block", F.expr(f"node div {BLOCK}")), ["_page", "_block"])
+    # what lies in no item is left out before rows are dealt out again
+    within = matches.rows.withColumn("_in", F.col("_is") | matches.inside("_is")).filter("_in").select("_key", "_page", *FACTS)
+    within, found = within.withColumn("_block", F.expr(f"node div {BLOCK}")), found.withColumn("_block", F.explode(blocks))
+    meet = found.repartition(parts, "_page", "_block").join(within.repartition(parts, "_page", "_block"), ["_page", "_block"])
     inside = meet.filter((F.col("node") >= F.col("_item")) & (F.col("node") <= F.col("_upto")))
     first = F.col("node") == F.col("_item")
     inside = inside.withColumn("parent", F.when(first, -1).otherwise(F.col("parent"))).select("_key", "_page", "_ord", *FACTS)
@@ -115,14 +119,15 @@ def page_fields(pages: DataFrame, key: str, html: str, rules: dict[str, str], do
     """key and one text column for each rule, for every row of pages; a null page is an empty one."""
     rounds = Rounds(pages.sparkSession)
     nodes = rounds.keep(page_nodes(pages, key, html))
-    out = rounds.keep(_fields(nodes, ["_page"], ["_key"], rules, doc_semantics).withColumnRenamed("_key", key))
+    out = rounds.keep(_fields(nodes, ["_page"], ["_key"], rules, parts_of(nodes), doc_semantics).withColumnRenamed("_key", key))
     rounds.drop(nodes)
     return out
 
 
 def item_fields(nodes: DataFrame, item: str, rules: dict[str, str]) -> DataFrame:
-    """_key, _ord and one text column for each rule, of every item on the pages of some node rows."""
-    return _fields(_item_rows(nodes, item), ["_page", "_ord"], ["_key", "_ord"], rules)
+    """_key, _ord and one text column for each rule, of every item on the pages of some stored node rows."""
+    parts = parts_of(nodes)
+    return _fields(_item_rows(nodes, item, parts), ["_page", "_ord"], ["_key", "_ord"], rules, parts)
 
 
 def page_rows(pages: DataFrame, key: str, html: str, item: str, rules: dict[str, str]) -> DataFrame:

@@ -287,3 +287,17 @@ def test_registry_readers(spark, tmp_path):
     assert tables.read_health(spark, f"{tmp_path}/h.json").first().reason == "network-unreachable"
     for name in ("a.json", "none.json"):
         assert tuple(tables.read_ads(spark, f"{tmp_path}/{name}").first()) == (False, "", None)
+
+
+def test_node_rows_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
+    from tessera.extract import nodes as N
+    from tessera.extract.selectors import item_fields
+
+    monkeypatch.setattr(N, "TASK_ROWS", 50)
+    html = "<body><ul><li><a href='x'>a</a><ul><li><a>b</a></li></ul></li></ul>" + "<p>c</p>" * 10 + "</body>"
+    N.page_nodes(spark.createDataFrame([(i, html) for i in range(40)], "id long, html string"), "id", "html").write.parquet(f"{tmp_path}/nodes")
+    stored = spark.read.parquet(f"{tmp_path}/nodes")
+    found = item_fields(stored, "ul > li", {"t": "tag.a.0@text", "all": "text"})
+    assert N.parts_of(stored) == -(-stored.count() // 50) > 4
+    assert f", {N.parts_of(stored)}" in "".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x)
+    assert sorted((r["_key"], r["_ord"], r.t) for r in found.collect()) == [(i, k, "ab"[k]) for i in range(40) for k in range(2)]
