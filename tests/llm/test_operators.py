@@ -535,6 +535,43 @@ def test_near_passages_behind_heads_that_hold_parts(spark):
     assert min(counts) >= 0.98 * n, counts
 
 
+def test_near_passages_behind_many_heads_that_hold_parts(spark):
+    # more earlier documents than HEADS hold parts, too short for passages of their own, of what two later ones nearly share
+    r = random.Random(61)
+    rows, n, parts = [], 40, 12
+    for k in range(n):
+        p = [f"p{r.randrange(10**7)}" for _ in range(60)]
+        near = list(p)
+        near[r.randrange(8, 52)] = f"e{r.randrange(10**7)}"
+        for j in range(parts):
+            at = 25 * j // (parts - 1)
+            rows.append((1000 * j + k, f"{prose(r, 40)} a{k}x{j} {' '.join(p[at : at + 35])} b{k}x{j} {prose(r, 30)}"))
+        rows += [(50_000 + 1000 * j + k, f"{prose(r, 30)} c{k}x{j} {' '.join(x)} d{k}x{j} {prose(r, 30)}") for j, x in enumerate((p, near))]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = {x.doc_id - 51_000 for x in found if x.kept_doc_id == x.doc_id - 1000 and x.doc_id >= 51_000}
+    assert len(linked) >= 0.98 * n, sorted(linked)
+
+
+def test_rare_shingles_of_similar_runs_meet():
+    r = np.random.default_rng(3)
+    least, level = substring_dedup.LEAST, r.integers(0, 4, substring_dedup.CELLS).astype(np.uint8)
+    assert (substring_dedup.HELD, substring_dedup.RARE) == (40, 7)
+    for _ in range(300):
+        x = r.integers(0, 1 << 64, least, dtype=np.uint64)
+        y = x.copy()
+        y[r.choice(least, least - substring_dedup.HELD, replace=False)] = r.integers(0, 1 << 64, least - substring_dedup.HELD, dtype=np.uint64)
+        a, b = (set(z[substring_dedup.rare_places(z, np.zeros(1, dtype=np.int64), level)[0]].tolist()) for z in (x, r.permutation(y)))
+        assert a & b
+
+
+def test_copies_have_the_first_one_only(spark):
+    text, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(3, text), (1, text), (2, text), (None, text), (2, other), (5, f"a {other}"), (6, "a b"), (7, "a b"), (1, text)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(2, 0, 60, 1, 0, 60), (3, 0, 60, 1, 0, 60), (5, 1, 61, 2, 0, 60), (None, 0, 60, 1, 0, 60)]
+    assert sorted((tuple(x)[:6] for x in found), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("edit", ["insertion", "deletion", "substitution"])
 def test_near_passages_are_found(edit):
     r = np.random.default_rng(4)
