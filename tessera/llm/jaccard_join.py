@@ -4,7 +4,9 @@ Documents are sets of word shingles. Similar documents are first gathered into g
 bands), and the matrix stores each group's union of prefix tokens as rows (token, group). A document and a foreign group can
 only hold a link if enough of the document's prefix tokens occur in the group's union: a prefix holds the n - ceil(0.75 n) + k
 rarest tokens of a set, so linked sets share k of them, and more the nearer their sizes are. Only groups that reach that
-bound are opened, member by member, and the pairs found are compared exactly. Links between a group's own members cannot change components.
+bound are opened: sets and members are held against the group's core, what more than half of its members hold, and only members that
+share enough edits of the core with a set meet it; the pairs found are compared exactly. Links between a group's own members cannot
+change components, and one link to a group is as good as many.
 """
 
 from __future__ import annotations
@@ -224,7 +226,38 @@ def _shared(n_a: str, n_b: str) -> str:
     return f"((3 * ({n_a} + {n_b}) + 6) div 7 - greatest({_behind(n_a)}, {_behind(n_b)}))"
 
 
-def _matrix_pairs(tokens: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
+def _member_pairs(asking: DataFrame, members: DataFrame, content: DataFrame) -> DataFrame:
+    """(a, b) of asking(a, n_a, g) and members(b, n, g, size): one member that surely links if there is such, else those that may.
+
+    A group's core p is what more than half of its members hold. With D the part of p that a set lacks and E what it has besides,
+    |a & b| = |a & p| - |D_b - D_a| + |E_a & E_b|. What a lacks of the overlap, after |a & p|, must therefore come from edits that it
+    shares with b, and all members that differ from p only in edits of their own are passed over at once.
+    """
+    held = common.store(members.join(content.select(F.col("fp").alias("b"), "s"), "b"), "group-members")
+    core = held.select("g", "size", F.explode("s").alias("x")).groupBy("g", "x").agg(F.count("*").alias("c"), F.first("size").alias("size"))
+    core = core.filter("2 * c > size").groupBy("g").agg(F.collect_list("x").alias("p"))
+    core = held.select("g", "n").distinct().join(core, "g", "left").select("g", "n", F.coalesce("p", F.array().cast("array<long>")).alias("p"))
+    core = common.store(core, "group-cores")
+    edits = common.store(held.drop("n").join(core, "g").select("g", "b", F.array_except("p", "s").alias("lacks"), F.array_except("s", "p").alias("extra")), "group-edits")
+    nearest = edits.groupBy("g").agg(F.min(F.size("lacks")).alias("least"), F.min_by("b", F.struct(F.size("lacks"), "b")).alias("nearest"))
+    asked = asking.join(content.select(F.col("fp").alias("a"), "s"), "a").join(core, "g").join(nearest, "g")
+    asked = asked.select("a", "g", "least", "nearest", F.array_except("p", "s").alias("lacks"), F.array_except("s", "p").alias("extra"), F.expr("(3 * (n_a + n) + 6) div 7 - n_a").alias("more"))
+    asked = common.store(asked.withColumn("more", F.col("more") + F.size("extra")), "asked-cores")
+    sure = asked.filter("more + least <= 0").select("a", F.col("nearest").alias("b"))
+    # beyond that, so many edits must be shared; where the core itself is enough, those by which it is lacked count too
+    some = asked.filter("more + least > 0").select("a", "g", F.expr("if(more > 0, more, more + least)").alias("shared"), F.explode(F.expr("if(more > 0, extra, concat(extra, lacks))")).alias("x"))
+    edit = common.store(edits.select("g", "b", F.explode(F.concat("extra", "lacks")).alias("x")), "edits")
+    known = common.store(some.join(edit.groupBy("g", "x").agg(F.count("*").alias("c")), ["g", "x"]), "asked-edits")
+    # who shares so many has one of the rarest of them
+    own = Window.partitionBy("a", "g")
+    rare = known.withColumn("upto", F.row_number().over(own.orderBy("c", "x"))).withColumn("has", F.count("*").over(own)).filter("upto <= has - shared + 1")
+    maybe = rare.select("a", "g", "x").join(edit, ["g", "x"]).select("a", "b").distinct()
+    pairs = common.store(sure.unionByName(maybe), "member-pairs")
+    common.drop(held, core, edits, asked, edit, known)
+    return pairs
+
+
+def _matrix_pairs(tokens: DataFrame, sets: DataFrame, groups: DataFrame, content: DataFrame) -> DataFrame:
     """Pairs of sets in different components that the token-group matrix can't exclude.
 
     Groups are the sets of one component and one size, so that the bound is exact for every member.
@@ -243,12 +276,15 @@ def _matrix_pairs(tokens: DataFrame, sets: DataFrame, groups: DataFrame) -> Data
     asked = queries.join(matrix, "token").filter("c <> c_g and 4 * least(n, n_g) >= 3 * greatest(n, n_g) and (size_q < size or (size_q = size and g_q < g))")
     seen = asked.groupBy("fp", "g").agg(F.count("*").alias("seen"), F.first("n").alias("n"), F.first("n_g").alias("n_g"))
     opened = common.store(seen.filter(F.expr(f"seen >= {_shared('n', 'n_g')}")).select("fp", "g"), "opened")
-    members = rows.select("token", F.col("fp").alias("b"), F.col("n").alias("n_b"), "g")
-    asking = rows.drop("g").join(opened, "fp").select("token", F.col("fp").alias("a"), F.col("n").alias("n_a"), "g")
-    pairs = asking.join(members, ["token", "g"]).groupBy("a", "b").agg(F.count("*").alias("seen"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    pairs = pairs.filter(F.expr(f"seen >= {_shared('n_a', 'n_b')}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = rows.select("g", F.col("fp").alias("b"), "n").distinct()
+    asking = opened.withColumnRenamed("fp", "a").join(sets.select(F.col("fp").alias("a"), F.col("n").alias("n_a")), "a").join(sizes, "g", "left")
+    asking = common.store(asking, "asking")
+    alone = asking.filter("size is null").select("a", "g").join(members, "g").select("a", "b")
+    several = members.join(sizes, "g").join(opened.select("g").distinct(), "g", "left_semi")
+    pairs = alone.unionByName(_member_pairs(asking.filter("size > 1"), several, content))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = common.store(pairs, "matrix-pairs")
-    common.drop(rows, opened, size)
+    common.drop(rows, opened, size, asking)
     return pairs
 
 
@@ -274,7 +310,7 @@ def jaccard_rows(docs: DataFrame, width: int = WIDTH, heavy_rows: int = HEAVY) -
     links = _star_links(wanted, content)
     common.clean(docs.sparkSession)
     groups = connected(links)
-    pairs = _matrix_pairs(tokens, wanted, groups)
+    pairs = _matrix_pairs(tokens, wanted, groups, content)
     rest = common.store(verified(_possible(pairs, wanted), content), "matrix-links")
     common.drop(shared, wanted, content, links, pairs)
     common.clean(docs.sparkSession)

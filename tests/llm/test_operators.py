@@ -866,6 +866,58 @@ def test_jaccard_odd_rows(spark, odd, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_members_of_an_opened_group_meet_by_shared_edits(spark):
+    # 30 members and 30 sets that hold the whole prefix but only 68 of the 80 tokens besides, one of them with a member's edits
+    core = list(range(100))
+    sets = {b: [*core[:96], *range(1000 * b, 1000 * b + 4)] for b in range(1, 31)}
+    sets |= {a: [*core[:80], *range(1000 * a, 1000 * a + 20)] for a in range(31, 61)}
+    sets[60] = [*core[:82], *sets[7][96:], *range(60_000, 60_014)]
+    tokens = spark.createDataFrame([(t, k) for k, s in sets.items() for t in s[:30]], "token long, fp long")
+    rows = spark.createDataFrame([(k, 100) for k in sets], "fp long, n long")
+    groups = spark.createDataFrame([(b, 1) for b in range(1, 31)], "node long, component long")
+    pairs = {tuple(x) for x in jaccard_join._matrix_pairs(tokens, rows, groups, spark.createDataFrame(list(sets.items()), "fp long, s array<long>")).collect()}
+    assert {(a, b) for a in range(1, 31) for b in range(31, 61) if 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})} == {(7, 60)}
+    assert (7, 60) in pairs and sum(a <= 30 for a, _ in pairs) <= 30
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_linking_member_of_each_group_is_found(spark, seed):
+    r = random.Random(seed)
+    sets, members, asking = {}, [], []
+
+    def varied(core, n, at_most):
+        own = set(core)
+        for _ in range(r.randint(0, at_most)):
+            own.discard(r.choice(sorted(own)))
+        while len(own) < n:
+            own.add(r.choice((r.randrange(1000, 1012), r.randrange(10**6))))
+        return frozenset(list(own)[:n])
+
+    for g in range(12):
+        n = r.randint(4, 30)
+        core = frozenset(range(100 * g, 100 * g + n))
+        inside = list({varied(core, n, n // 3) for _ in range(r.randint(2, 8))})
+        if len(inside) < 2:
+            continue
+        own = []
+        for s in inside:
+            sets[len(sets)] = s
+            own.append(len(sets) - 1)
+        members += [(b, n, g, len(own)) for b in own]
+        for _ in range(12):
+            m = max(1, n + r.randint(-2, 2))
+            sets[len(sets)] = varied(r.choice(inside) if r.random() < 0.5 else core, m, n // 2)
+            asking.append((len(sets) - 1, m, g))
+    content = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "fp long, s array<long>")
+    got = jaccard_join._member_pairs(spark.createDataFrame(asking, "a long, n_a long, g long"), spark.createDataFrame(members, "b long, n long, g long, size long"), content)
+    pairs, linked = {tuple(x) for x in got.collect()}, 0
+    for a, _, g in asking:
+        good = {b for b, _, h, _ in members if h == g and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+        linked += bool(good)
+        assert not good or any((a, b) in pairs for b in good)
+    assert linked > 10
+
+
 def test_shared_prefix_bound_holds():
     r = random.Random(5)
 
