@@ -866,6 +866,18 @@ def test_jaccard_odd_rows(spark, odd, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_stored_buckets_are_joined_in_place(spark):
+    rows = spark.range(2000).select(F.col("id").alias("r"), F.col("id").alias("t"), F.lit("x").alias("text"))
+    texts = common.store_bucketed(rows.repartition(4, "r"), "texts", "r")
+    found = spark.range(2000).select(F.col("id").alias("r"), (F.col("id") * 2).alias("t"), F.lit(3).alias("first_word"), F.lit(9).alias("end_word"))
+    spans = substring_dedup._with_spans(texts, found.hint("merge"))
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*\n?[^\n]*FileScan", plan)
+    assert {r.r for r in spans.collect() if r.spans} == {0} and spans.count() == 2000
+    common.drop(texts)
+    assert not spark.catalog.tableExists(texts._named)
+
+
 def test_members_of_an_opened_group_meet_by_shared_edits(spark):
     # 30 members and 30 sets that hold the whole prefix but only 68 of the 80 tokens besides, one of them with a member's edits
     core = list(range(100))
