@@ -1,5 +1,6 @@
 """Corpus operators on small odd tables, against brute force, exact round trips and held-out accuracy."""
 
+import bisect
 import collections
 import hashlib
 import itertools
@@ -9,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -593,6 +595,40 @@ def test_near_passages_are_found(edit):
     assert met >= 0.98 * 300  # the recall that AGREE and GROUPS are set for
 
 
+def test_starts_without_hope_are_not_joined(monkeypatch):
+    r = np.random.default_rng(12)
+    kinds = r.integers(0, 1 << 62, 400).astype(np.uint64)
+    lines = [kinds[k : k + 9] for k in range(0, 360, 9)]
+    tried = []
+    monkeypatch.setattr(substring_dedup, "bisect_right", lambda *a: tried.append(1) or bisect.bisect_right(*a))
+    # all lines of x come again and again, and y has one of them as often
+    x = np.concatenate([lines[0] if k % 2 else lines[k % 8] for k in range(120)])
+    y = np.concatenate([lines[0] if k % 2 else lines[20 + k % 8] for k in range(120)])
+    assert substring_dedup.passages(x, y) == [] and not tried
+    cases = [(np.tile(kinds[:1], 300), np.concatenate([kinds[5:60], np.tile(kinds[:1], 80), kinds[60:90]]))]
+    for k in range(200):
+        n = int(r.integers(2, 9))
+        a, b = (np.concatenate([lines[i] for i in r.integers(0, n, 25)]) for _ in range(2))
+        for z in (a, b):
+            z[r.integers(0, len(z), 6)] = kinds[r.integers(0, 400, 6)]
+        cases.append((a, b))
+    got = [substring_dedup.passages(a, b) for a, b in cases]
+    monkeypatch.setattr(substring_dedup, "_hopeful", lambda a, at, y, starts, starts_y: np.ones(len(starts), dtype=bool))
+    assert got == [substring_dedup.passages(a, b) for a, b in cases]
+    assert 0 < sum(map(bool, got)) < len(got)
+
+
+def test_words_of_copies_are_counted_for_copies_only(spark):
+    texts = [None, "", " ", "a", "a  b\tc\n", "\x0bä\fß\r", "x" * 600_000 + " y", *(" ".join("w" * n) for n in (49, 50))]
+    batch = pa.RecordBatch.from_pydict({"t": list(range(len(texts))), "text": texts})
+    assert [r["n"] for b in substring_dedup._word_counts(iter([batch])) for r in b.to_pylist()] == [len((t or "").split()) for t in texts]
+    docs = spark.createDataFrame([(i, i, i // 2, "w " * 60) for i in range(8)], "r long, doc_id long, t long, text string")
+    copies = docs.filter("r % 2 = 1").select("r", "t", "doc_id", (F.col("r") - 1).alias("kept_doc_id"))
+    plan = substring_dedup._copied(docs, copies)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("ArrowEvalPython") and "regexp" not in plan
+    assert substring_dedup._copied(docs, copies).count() == 4
+
+
 def test_wide_gaps_and_repeated_lines(monkeypatch):
     r = np.random.default_rng(6)
     a, b, gap, line = (r.integers(0, 1 << 62, n).astype(np.uint64) for n in (49, 49, 13, 7))
