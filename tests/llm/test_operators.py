@@ -629,6 +629,19 @@ def test_words_of_copies_are_counted_for_copies_only(spark):
     assert substring_dedup._copied(docs, copies).count() == 4
 
 
+def test_driver_gives_back_filters_and_garbage(spark, monkeypatch):
+    cleaned, gone, clean = [], [], common.clean
+    monkeypatch.setattr(common, "clean", lambda s: cleaned.append(1) or clean(s))
+    kind = type(spark.sparkContext.broadcast(0))
+    destroy = kind.destroy
+    monkeypatch.setattr(kind, "destroy", lambda self, *a, **b: gone.append(1) or destroy(self, *a, **b))
+    stored, store = [], common.store
+    monkeypatch.setattr(common, "store", lambda df, name: stored.append(name) or store(df, name))
+    docs = spark.createDataFrame([(1, " ".join(f"x{i}" for i in range(60))), (2, " ".join(f"x{i}" for i in range(61)))], "doc_id long, text string")
+    assert substring_dedup.repeated_passages(docs).count() == 1
+    assert len(cleaned) >= len(stored) > 8 and len(gone) >= 4
+
+
 def test_wide_gaps_and_repeated_lines(monkeypatch):
     r = np.random.default_rng(6)
     a, b, gap, line = (r.integers(0, 1 << 62, n).astype(np.uint64) for n in (49, 49, 13, 7))
