@@ -629,6 +629,32 @@ def test_words_of_copies_are_counted_for_copies_only(spark):
     assert substring_dedup._copied(docs, copies).count() == 4
 
 
+def test_pairs_move_in_as_many_rounds_as_there_are_texts_for(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    texts = spark.createDataFrame([(k, k, k, f"{text} e{k}") for k in range(9)], "r long, doc_id long, t long, text string")
+    want = [(r, h) for r in range(9) for h in range(r)]
+    moved, store_parts = [], common.store_parts
+    monkeypatch.setattr(common, "store_parts", lambda parts, name: store_parts((moved.append(name) or p for p in parts), name))
+    monkeypatch.setattr(substring_dedup, "FEW_PAIRS", 10)
+    found = substring_dedup._verified(spark.createDataFrame(want, "r long, head long"), texts).collect()
+    assert len(moved) == 4 and sorted((x.doc_id, x.kept_doc_id) for x in found) == want
+
+    # rare shingles meet in rounds of their askers, with the same pairs
+    r = np.random.default_rng(8)
+    base, rows = [f"w{k}" for k in range(80)], []
+    for k in range(12):
+        words = list(base)
+        for i in r.choice(80, 4, replace=False):
+            words[i] = f"n{k}x{i}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = sorted(map(tuple, substring_dedup.repeated_passages(docs).collect()))
+    moved.clear()
+    monkeypatch.setattr(substring_dedup, "_rounds", lambda rows, few, most: 3)
+    assert once and sorted(map(tuple, substring_dedup.repeated_passages(docs).collect())) == once
+    assert moved.count("rare-pairs") == 3
+
+
 def test_driver_gives_back_filters_and_garbage(spark, monkeypatch):
     cleaned, gone, clean = [], [], common.clean
     monkeypatch.setattr(common, "clean", lambda s: cleaned.append(1) or clean(s))
